@@ -33,12 +33,11 @@ def two_sided_cusum(series: KeyedSeries, score: str, up: str, down: str, slack:
 def with_streaks(series: KeyedSeries, flag: Column, out: str = "streak") -> KeyedSeries:
     """Number of consecutive flagged rows ending at the current one.
 
-    It is the distance to the last unflagged row, whose position is a running maximum
-    (taken as a running minimum of negated positions).
+    It is the distance to the last unflagged row, whose position is a running maximum.
     """
     marked = series.transform(lambda df: df.withColumn("_flag", F.coalesce(flag, F.lit(False))))
-    last_clear = marked.running(F.when(~F.col("_flag"), -F.col(POS)), "_clear", "min")
-    length = F.when(F.col("_flag"), F.col(POS) + F.coalesce(F.col("_clear"), F.lit(0))).otherwise(F.lit(0))
+    last_clear = marked.running(F.when(~F.col("_flag"), F.col(POS)), "_clear", "max")
+    length = F.when(F.col("_flag"), F.col(POS) - F.coalesce(F.col("_clear"), F.lit(0))).otherwise(F.lit(0))
     return last_clear.transform(lambda df: df.withColumn(out, length.cast("long")).drop("_flag", "_clear"))
 
 

@@ -50,9 +50,10 @@ def diagnose_v1(
     use_forest: bool = True,
     retrain: Column | int = 72,
     history: Column | int = 168,
+    scored: bool = False,
 ) -> KeyedSeries:
-    """Add Z-scores, baselines, forest score, max_z, and whether the reading is anomalous."""
-    scored = baseline_v1(rolling_z(series, features, 1), features)
+    """Add Z-scores (unless `scored`), baselines, forest score, max_z, and whether the reading is anomalous."""
+    scored = baseline_v1(series if scored else rolling_z(series, features, 1), features)
     if use_forest:
         epochs = iforest.epochs_v1(retrain=retrain, history=history)
         scored = iforest.forest_scores(scored.transform(lambda df: df.withColumns(epochs)), features, iforest.V1_FOREST)
@@ -379,16 +380,20 @@ def fold_series_v2(
     is_train: str | None = None,
     use_forest: bool = True,
     min_consecutive: int = 2,
+    train_rows: str | None = None,
 ) -> DataFrame:
-    """Thresholds, diagnostics and fold over ordered readings; returns the alerting rows."""
+    """Thresholds, diagnostics and fold over ordered readings; returns the alerting rows.
+
+    `train_rows` names a column with the number of training rows of the key, if there is one.
+    """
     thresholds = None
     if is_train is not None:
-        sizes = series.rows().groupBy(*series.keys).agg(F.count_if(F.col(is_train)).alias("train_rows"))
-        series = series.transform(lambda df: df.join(sizes, series.keys))
-        thresholds = calibrate(series, features, "train_rows")
-    diagnosed = diagnose_v2(
-        series, thresholds, features, "train_rows" if is_train else None, use_forest, min_consecutive=min_consecutive
-    )
+        if train_rows is None:
+            train_rows = "train_rows"
+            sizes = series.rows().groupBy(*series.keys).agg(F.count_if(F.col(is_train)).alias(train_rows))
+            series = series.transform(lambda df: df.join(sizes, series.keys))
+        thresholds = calibrate(series, features, train_rows)
+    diagnosed = diagnose_v2(series, thresholds, features, train_rows, use_forest, min_consecutive=min_consecutive)
     live = diagnosed.rows()
     if is_train is not None:
         live = live.filter(~F.col(is_train))

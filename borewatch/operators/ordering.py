@@ -98,8 +98,8 @@ class KeyedSeries:
         return out if keep_position else out.drop(POS, BLOCK)
 
     def running(self, value: Column, out: str, how: str = "sum") -> "KeyedSeries":
-        """Running sum or minimum from the first row of the key up to the current row."""
-        combine = {"sum": F.sum, "min": F.min}[how]
+        """Running sum, minimum or maximum from the first row of the key up to the current row."""
+        combine = {"sum": F.sum, "min": F.min, "max": F.max}[how]
         own = F.when(~F.col(HALO), value) if self.split else value
         upto = self.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
         local = self.df.withColumn("_own", own).withColumn(out, combine("_own").over(upto))
@@ -116,7 +116,7 @@ class KeyedSeries:
         if how == "sum":
             value_upto = F.coalesce(F.col(out), F.lit(0)) + F.coalesce(F.col("_before"), F.lit(0))
         else:
-            value_upto = F.least(F.col(out), F.col("_before"))
+            value_upto = {"min": F.least, "max": F.greatest}[how](F.col(out), F.col("_before"))
         return replace(self, df=joined.withColumn(out, value_upto).drop("_own", "_before"))
 
 

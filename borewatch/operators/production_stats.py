@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from borewatch.functions.fixed import FIELDS, FIELDS_DDL, PUBLISHED_DDL, PUBLISHED_STATISTICS
 from borewatch.functions.severity import round_tie_even
+from borewatch.schema import fixed_table
 
 
 def last_rows(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
@@ -17,8 +18,7 @@ def last_rows(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataF
 
 def first_max(row: Column, value: str, order: list[str]) -> Column:
     """The row with the largest value; among equals the earliest (A5)."""
-    smallest = F.min_by(row, F.struct((-F.col(value)).alias("v"), *order))
-    return smallest
+    return F.min_by(row, F.struct((-F.col(value)).alias("v"), *order))
 
 
 def well_statistics(df: DataFrame) -> DataFrame:
@@ -163,11 +163,11 @@ def well_catalogue(telemetry: DataFrame) -> DataFrame:
 
 
 def field_dimension(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FIELDS, FIELDS_DDL)
+    return fixed_table(spark, FIELDS, FIELDS_DDL)
 
 
 def published_statistics(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PUBLISHED_STATISTICS, PUBLISHED_DDL)
+    return fixed_table(spark, PUBLISHED_STATISTICS, PUBLISHED_DDL)
 
 
 def with_field_facts(names: DataFrame, measured: DataFrame) -> DataFrame:

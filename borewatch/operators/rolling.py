@@ -79,11 +79,8 @@ def short_window_z(series: KeyedSeries, features: list[str], window: Column, lon
             df = df.withColumn(f"_h_{f}", F.when(F.col(POS) > F.col("_w"), tail))
             mean = F.aggregate(f"_h_{f}", F.lit(0.0), lambda a, x: a + x) / F.col("_w")
             df = df.withColumn(f"_mu_{f}", mean)
-            square = F.aggregate(
-                F.transform(f"_h_{f}", lambda x, mu=f"_mu_{f}": (x - F.col(mu)) * (x - F.col(mu))),
-                F.lit(0.0),
-                lambda a, x: a + x,
-            )
+            mu = F.col(f"_mu_{f}")
+            square = F.aggregate(f"_h_{f}", F.lit(0.0), lambda a, x: a + (x - mu) * (x - mu))
             df = df.withColumn(f"_sd_{f}", F.sqrt(square / (F.col("_w") - 1)))
             df = df.withColumn(f"z_{f}", F.when(F.col(POS) > F.col("_w"), _score(f, 1)).otherwise(F.lit(0.0)))
         return df.drop("_w", *[f"{p}_{f}" for p in ("_h", "_mu", "_sd") for f in features])

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from borewatch.functions.severity import round_tie_even
-from borewatch.operators.ordering import POS, KeyedSeries
+from borewatch.operators.ordering import KeyedSeries
 from borewatch.schema import FEATURES
 
 
@@ -16,47 +16,74 @@ def in_window(telemetry: DataFrame, well: str, end: Column, hours_back: int = 72
     return telemetry.filter((F.col("well_id") == well) & F.col("timestamp").between(start, end))
 
 
-def readings_before(alerts: DataFrame, telemetry: DataFrame, hours_back: int = 72, ts: str = "timestamp") -> DataFrame:
-    """Pairs of alert and reading of the same well within the hours up to the alert.
-
-    The join key holds a time bucket as long as the window, so a reading meets the alerts of two
-    buckets instead of every alert of its well.
-    """
-    width = hours_back * 3600
-    bucket = F.floor(F.unix_seconds(ts) / width)
-    left = alerts.select("alert_id", "well_id", F.col(ts).alias("alert_ts"), bucket.alias("_own")).withColumn(
-        "_bucket", F.explode(F.array(F.col("_own") - 1, F.col("_own")))
-    ).drop("_own")
-    right = telemetry.withColumn("_bucket", bucket)
-    inside = F.col(ts).between(F.col("alert_ts") - F.make_interval(hours=F.lit(hours_back)), F.col("alert_ts"))
-    return left.join(right, ["well_id", "_bucket"]).filter(inside).drop("_bucket")
-
-
-def summarise_windows(
-    pairs: DataFrame, order: list[str], keys: list[str], features: list[str] = FEATURES, hours: int = 72
+def summarise_before(
+    alerts: DataFrame,
+    telemetry: DataFrame,
+    order: list[str],
+    features: list[str] = FEATURES,
+    hours_back: int = 72,
+    key: str = "well_id",
+    ts: str = "timestamp",
 ) -> DataFrame:
-    """Per window and feature: mean, population deviation, minimum, maximum and trend.
+    """Per alert and feature: mean, population deviation, minimum, maximum, trend of the hours before.
+
+    Alerts are laid into the timeline of their well as marker rows and read their range frame, so
+    no alert-reading pairs are formed.  The timeline is cut into buckets as long as the frame;
+    each bucket also holds the bucket before it, which bounds what one task sees.
 
     As published the late mean of the trend is the mean of the whole window (`trend_pct`);
-    `trend_tail_pct` uses the last tenth.  Ordinals come from `KeyedSeries`, so a window that
-    holds very many readings is not sorted by one task.
+    `trend_tail_pct` uses the last tenth.
     """
-    series = KeyedSeries.build(pairs, keys, order)
-    n = F.col("record_count")
-    tenth = F.greatest(F.lit(1), F.floor(n / 10))
-    sized = series.rows().join(pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("record_count")), keys)
-    head, tail = F.col(POS) <= tenth, F.col(POS) > n - tenth
-    aggregates = []
+    width = hours_back * 3600
+    # Readings first among equal times, as the window includes its end.
+    tie = [c for c in order if c != ts]
+    timeline = telemetry.select(
+        key, ts, F.struct(*tie).alias("_tie") if tie else F.lit(None).cast("struct<x:int>").alias("_tie"),
+        *features, F.lit(True).alias("_reading"), F.lit(None).cast("string").alias("alert_id"),
+    ).unionByName(
+        alerts.select(key, F.col(ts), F.lit(False).alias("_reading"), F.col("alert_id").cast("string")),
+        allowMissingColumns=True,
+    )
+    own = F.floor(F.unix_seconds(ts) / width)
+    copies = F.when(
+        F.col("_reading"),
+        F.array(F.struct(own.alias("_bucket"), F.lit(True).alias("_own")), F.struct((own + 1).alias("_bucket"), F.lit(False).alias("_own"))),
+    ).otherwise(F.array(F.struct(own.alias("_bucket"), F.lit(True).alias("_own"))))
+    placed = timeline.withColumn("_copy", F.explode(copies)).select("*", "_copy.*").drop("_copy")
+    group = [key, "_bucket"]
+    ordered = Window.partitionBy(*group).orderBy(ts, F.desc("_reading"), "_tie")
+    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    micros = Window.partitionBy(*group).orderBy("_us").rangeBetween(-width * 1_000_000, Window.currentRow)
+    placed = placed.withColumn("_us", F.unix_micros(ts))
+    placed = placed.withColumn("_idx", F.sum(F.col("_reading").cast("int")).over(upto))
+    placed = placed.withColumns({f"_upto_{f}": F.coalesce(F.sum(f).over(upto), F.lit(0.0)) for f in features})
+    frame = {"record_count": F.count_if("_reading").over(micros), "_last": F.max(F.when(F.col("_reading"), F.col("_idx"))).over(micros)}
     for f in features:
-        aggregates += [
-            F.avg(f).alias(f"_mean_{f}"),
-            F.stddev_pop(f).alias(f"_std_{f}"),
-            F.min(f).alias(f"_min_{f}"),
-            F.max(f).alias(f"_max_{f}"),
-            F.avg(F.when(head, F.col(f))).alias(f"_early_{f}"),
-            F.avg(F.when(tail, F.col(f))).alias(f"_late_{f}"),
+        frame[f"_mean_{f}"] = F.avg(f).over(micros)
+        frame[f"_std_{f}"] = F.stddev_pop(f).over(micros)
+        frame[f"_min_{f}"] = F.min(f).over(micros)
+        frame[f"_max_{f}"] = F.max(f).over(micros)
+    framed = placed.withColumns(frame).filter(~F.col("_reading") & (F.col("record_count") > 0))
+    tenth = F.greatest(F.lit(1), F.floor(F.col("record_count") / 10))
+    # Sums over the first and the last tenth are differences of running sums at four ordinals.
+    marks = {
+        "b": F.col("_last") - F.col("record_count"),
+        "h": F.col("_last") - F.col("record_count") + tenth,
+        "t": F.col("_last") - tenth,
+        "e": F.col("_last"),
+    }
+    stops = framed.select(
+        *group, "alert_id",
+        F.explode(F.array(*[F.struct(F.lit(k).alias("_mark"), v.cast("long").alias("_idx")) for k, v in marks.items()])).alias("_stop"),
+    ).select(*group, "alert_id", "_stop.*")
+    sums = placed.filter("_reading").select(*group, "_idx", *[f"_upto_{f}" for f in features])
+    found = stops.join(sums, [*group, "_idx"], "left").groupBy("alert_id").agg(
+        *[
+            F.coalesce(F.max(F.when(F.col("_mark") == k, F.col(f"_upto_{f}"))), F.lit(0.0)).alias(f"_{k}_{f}")
+            for f in features
+            for k in marks
         ]
-    wide = sized.groupBy(*keys, "record_count").agg(*aggregates)
+    )
     per_feature = F.explode(
         F.array(
             *[
@@ -67,22 +94,26 @@ def summarise_windows(
                     round_tie_even(F.col(f"_std_{f}"), 2).alias("std"),
                     round_tie_even(F.col(f"_min_{f}"), 2).alias("min"),
                     round_tie_even(F.col(f"_max_{f}"), 2).alias("max"),
-                    _trend(f"_mean_{f}", f"_early_{f}").alias("trend_pct"),
-                    _trend(f"_late_{f}", f"_early_{f}").alias("trend_tail_pct"),
+                    _trend(F.col(f"_mean_{f}"), (F.col(f"_h_{f}") - F.col(f"_b_{f}")) / tenth).alias("trend_pct"),
+                    _trend(
+                        (F.col(f"_e_{f}") - F.col(f"_t_{f}")) / tenth, (F.col(f"_h_{f}") - F.col(f"_b_{f}")) / tenth
+                    ).alias("trend_tail_pct"),
                 )
                 for i, f in enumerate(features)
             ]
         )
     )
     return (
-        wide.withColumn("_s", per_feature)
-        .filter(F.col("_s.mean").isNotNull())
-        .select(*keys, "record_count", completeness(n, hours).alias("completeness"), "_s.*")
+        framed.select("alert_id", key, "record_count", *[f"_{m}_{f}" for f in features for m in ("mean", "std", "min", "max")])
+        .join(found, "alert_id")
+        .withColumn("completeness", completeness(F.col("record_count"), hours_back))
+        .select("alert_id", key, "record_count", "completeness", per_feature.alias("_s"))
+        .select("alert_id", key, "record_count", "completeness", "_s.*")
     )
 
 
-def _trend(late: str, early: str) -> Column:
-    change = (F.col(late) - F.col(early)) / F.nullif(F.abs(F.col(early)), F.lit(0.0)) * 100
+def _trend(late: Column, early: Column) -> Column:
+    change = F.try_divide(late - early, F.abs(early)) * 100
     return round_tie_even(F.coalesce(change, F.lit(0.0)), 1)
 
 
@@ -151,46 +182,21 @@ def latest_reading(telemetry: DataFrame, order: list[str], columns: list[str] =
     return telemetry.groupBy("well_id").agg(F.max_by(row, F.struct(*order)).alias("latest")).select("well_id", "latest.*")
 
 
-def reading_as_of(alerts: DataFrame, telemetry: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
+def reading_as_of(
+    alerts: DataFrame, telemetry: DataFrame, order: list[str], columns: list[str] = FEATURES, key: str = "well_id"
+) -> DataFrame:
     """Newest reading of the well at or before each alert.
 
-    Readings of one well are first reduced to the newest per hour; alerts look their own hour up
-    in full and earlier hours through the reduced table, so no alert meets a whole history.
+    Alerts become marker rows behind the readings of the same instant; the running maximum of
+    (order, reading) at a marker is the reading looked for.
     """
-    hour = F.date_trunc("hour", "timestamp")
-    row = F.struct("timestamp", *columns)
-    same_hour = (
-        alerts.select("alert_id", "well_id", F.col("timestamp").alias("alert_ts"), hour.alias("_hour"))
-        .join(telemetry.select("well_id", hour.alias("_hour"), row.alias("_r")), ["well_id", "_hour"])
-        .filter(F.col("_r.timestamp") <= F.col("alert_ts"))
-        .groupBy("alert_id")
-        .agg(F.max("_r").alias("_near"))
-    )
-    hourly = telemetry.groupBy("well_id", hour.alias("_hour")).agg(F.max(row).alias("_r"))
-    asked = alerts.select("alert_id", "well_id", "timestamp", hour.alias("_hour"))
-    marks = asked.select("well_id", "_hour", F.lit(None).cast(hourly.schema["_r"].dataType).alias("_r"), "alert_id")
-    timeline = hourly.withColumn("alert_id", F.lit(None).cast("string")).unionByName(marks)
+    row = F.struct(*order, *[c for c in columns if c not in order])
+    readings = telemetry.select(key, F.col(order[0]).alias("_at"), F.lit(0).alias("_mark"), row.alias("_row"))
+    markers = alerts.select(key, F.col("timestamp").alias("_at"), F.lit(1).alias("_mark"), "alert_id")
     series = KeyedSeries.build(
-        timeline.withColumn("_mark", F.col("alert_id").isNotNull().cast("int")), ["well_id"],
-        ["_hour", "_mark", "alert_id"],
-    )
-    # The hour's own row sorts before its alerts; earlier hours are those before that row.
-    numbered = series.running(F.when(F.col("_r").isNotNull(), F.lit(1)).otherwise(F.lit(0)), "_seen", "sum").rows()
-    rows = numbered.filter("_mark = 0").select("well_id", F.col("_hour").alias("_row_hour"), "_seen", "_r")
-    seen = numbered.filter("_mark = 1").select("alert_id", "well_id", "_hour", "_seen")
-    back = (
-        seen.withColumn("_seen", F.explode(F.array(F.col("_seen"), F.col("_seen") - 1)))
-        .join(rows, ["well_id", "_seen"])
-        .filter(F.col("_row_hour") < F.col("_hour"))
-        .groupBy("alert_id")
-        .agg(F.max("_r").alias("_far"))
-    )
-    return (
-        alerts.join(same_hour, "alert_id", "left")
-        .join(back, "alert_id", "left")
-        .withColumn("as_of", F.coalesce("_near", "_far"))
-        .drop("_near", "_far")
+        readings.unionByName(markers, allowMissingColumns=True), [key], ["_at", "_mark", "_row", "alert_id"]
     )
+    return series.running(F.col("_row"), "as_of", "max").rows().filter("_mark = 1").select("alert_id", "as_of")
 
 
 def recent_alert_counts(alerts: DataFrame, now: Column, days: int = 7) -> DataFrame:

@@ -1,5 +1,7 @@
 """Importing this package registers every query."""
 
 from borewatch.plans.registered import (  # noqa: F401
+    benchmarks,
     detection,
+    telemetry,
 )

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The telemetry features, in their canonical order.
 FEATURES = [
@@ -96,6 +97,26 @@ MODEL_VERSION = (
 )
 
 
+def fixed_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A small table of constants that lives in the plan: no Python data source, known size."""
+    fields = T.StructType.fromDDL(ddl).fields
+
+    def literal(value) -> str:
+        if value is None:
+            return "NULL"
+        if isinstance(value, (list, tuple)):
+            return f"array({', '.join(literal(v) for v in value)})"
+        if isinstance(value, str):
+            quoted = value.replace("\\", "\\\\").replace("'", "\\'")
+            return f"'{quoted}'"
+        return f"{value!r}D" if isinstance(value, float) else str(value)
+
+    values = ", ".join(f"({', '.join(literal(v) for v in row)})" for row in rows)
+    names = ", ".join(f.name for f in fields)
+    table = spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
+    return table.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
+
+
 def rank_of(column: Column, ordered: list[str]) -> Column:
     """Position of an enumerated value in its order, for comparisons such as "at least HIGH"."""
     return F.array_position(F.array(*[F.lit(v) for v in ordered]), column)
