@@ -3,5 +3,7 @@
 from borewatch.plans.registered import (  # noqa: F401
     benchmarks,
     detection,
+    retrieval,
     telemetry,
+    texts,
 )

@@ -255,7 +255,7 @@ SELECT alert_id, event_id FROM j WHERE back = 1""",
 )
 def readings_as_of(spark: SparkSession, folder: str) -> DataFrame:
     users = readings(spark, folder).agg((F.max("user_id") + 1).alias("users"))
-    asked = table(spark, folder, "orders").join(F.broadcast(users)).select(
+    asked = table(spark, folder, "orders").withColumn("users", users.scalar()).select(
         F.col("o_orderkey").alias("alert_id"),
         (F.col("o_custkey") % F.col("users")).alias("user_id"),
         F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01").cast("timestamp")) + F.col("o_orderkey") * 37 % 2592000).alias("timestamp"),
@@ -286,7 +286,7 @@ def well_status_texts(spark: SparkSession, folder: str) -> DataFrame:
     alerts = (
         source.filter("event_type = 'error'")
         .withColumn("severity", F.when(F.col("oil_rate_bopd") > 30, "HIGH").otherwise("LOW"))
-        .join(F.broadcast(newest))
+        .withColumn("now", newest.scalar())
     )
     counts = wt.recent_alert_counts(alerts, F.col("now"))
     latest = wt.latest_reading(source, ["timestamp", "event_id"], columns)
