@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from borewatch.functions.fixed import (
@@ -79,33 +79,41 @@ def chunk_starts(n: Column, size: int = CHUNK_WORDS, overlap: int = OVERLAP_WORD
     return F.transform(F.sequence(F.lit(0), last), lambda i: i * step)
 
 
-def chunks(text: Column, size: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS) -> Column:
-    """Array of (content, token_count): overlapping windows of words."""
-    w = words(text)
-    cut = F.transform(
+def _cut(w: Column, size: int, overlap: int, **extra: Column) -> Column:
+    """Chunks of an array of words.  `w` must be a column or lambda variable: it is read per chunk."""
+    return F.transform(
         chunk_starts(F.size(w), size, overlap),
         lambda s: F.struct(
+            *[c.alias(n) for n, c in extra.items()],
             F.array_join(F.slice(w, s + 1, F.lit(size)), " ").alias("content"),
             F.least(F.lit(size), F.size(w) - s).alias("token_count"),
         ),
     )
-    return F.when(F.size(w) > 0, cut).otherwise(F.filter(cut, lambda c: F.lit(False)))
 
 
-def document_chunks(text: Column, size: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS) -> Column:
-    """Array of (section, content, token_count) over all sections with content."""
-    filled = F.filter(sections(text), lambda s: strip(s["body"]) != "")
-    return F.flatten(
+def explode_chunks(
+    df: DataFrame, text: str, keep: list[str], size: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS, by_section: bool = True
+) -> DataFrame:
+    """One row per chunk: the kept columns, chunk_index, section, content, token_count.
+
+    Texts are split into words once, in a column of their own; the outer generator keeps the
+    optimizer from evaluating the split a second time for a size check.
+    """
+    if by_section:
+        parts = F.transform(sections(F.col(text)), lambda s: F.struct(s["heading"].alias("heading"), words(s["body"]).alias("words")))
+    else:
+        parts = F.array(F.struct(F.lit(None).cast("string").alias("heading"), words(F.col(text)).alias("words")))
+    cut = F.flatten(
         F.transform(
-            filled,
-            lambda s: F.transform(
-                chunks(s["body"], size, overlap),
-                lambda c: F.struct(
-                    s["heading"].alias("section"), c["content"].alias("content"), c["token_count"].alias("token_count")
-                ),
-            ),
+            F.filter("_parts", lambda p: F.size(p["words"]) > 0), lambda p: _cut(p["words"], size, overlap, section=p["heading"])
         )
     )
+    return (
+        df.select(*keep, parts.alias("_parts"))
+        .select(*keep, F.posexplode_outer(cut).alias("chunk_index", "_c"))
+        .filter(F.col("chunk_index").isNotNull())
+        .select(*keep, "chunk_index", "_c.section", "_c.content", "_c.token_count")
+    )
 
 
 def well_id(text: Column) -> Column:
@@ -156,10 +164,19 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN_PATTERN})"), F.lit(1))
 
 
+def is_stopword(token: Column) -> Column:
+    """A long IN list, which Spark turns into a hash lookup."""
+    return token.isin(list(dict.fromkeys(STOPWORDS)))
+
+
+def meaningful_tokens(text: Column) -> Column:
+    """Tokens in order, with repetitions, without stopwords."""
+    return F.filter(tokens(text), lambda t: ~is_stopword(t))
+
+
 def substantive_tokens(text: Column) -> Column:
     """Distinct tokens of three characters or more that are no stopwords, in order."""
-    stop = F.array(*[F.lit(w) for w in dict.fromkeys(STOPWORDS)])
-    return F.array_distinct(F.filter(tokens(text), lambda t: (F.length(t) >= 3) & ~F.array_contains(stop, t)))
+    return F.array_distinct(F.filter(tokens(text), lambda t: (F.length(t) >= 3) & ~is_stopword(t)))
 
 
 def share_contained(terms: Column, lowered: Column) -> Column:
@@ -170,8 +187,7 @@ def share_contained(terms: Column, lowered: Column) -> Column:
 
 def coverage_terms(query: Column) -> Column:
     """Terms for coverage: substantive tokens, else plain words of four characters or more."""
-    stop = F.array(*[F.lit(w) for w in dict.fromkeys(STOPWORDS)])
-    plain = F.filter(words(F.lower(query)), lambda w: (F.length(w) >= 4) & ~F.array_contains(stop, w))
+    plain = F.filter(words(F.lower(query)), lambda w: (F.length(w) >= 4) & ~is_stopword(w))
     main = substantive_tokens(query)
     return F.when(F.size(main) > 0, main).otherwise(plain)
 

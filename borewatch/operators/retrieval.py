@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from borewatch.functions import text as tx
-from borewatch.functions.fixed import INCIDENT_WORDS, STOPWORDS
+from borewatch.functions.fixed import INCIDENT_WORDS
 from borewatch.functions.severity import round_tie_even
 from borewatch.session import cut_lineage
 
@@ -64,7 +64,8 @@ def hashed_embedding(df: DataFrame, keys: list[str], text: str, size: int = EMBE
     bucket = F.conv(F.substring(digest, 1, 6), 16, 10).cast("long") % size
     sign = F.when(F.conv(F.substring(digest, 7, 1), 16, 10).cast("int") < 8, 1.0).otherwise(-1.0)
     parts = (
-        df.select(*keys, F.explode(tx.tokens(F.col(text))).alias("term"))
+        df.select(*keys, F.explode_outer(tx.tokens(F.col(text))).alias("term"))
+        .filter(F.col("term").isNotNull())
         .select(*keys, bucket.alias("_d"), sign.alias("_s"))
         .groupBy(*keys, "_d")
         .agg(F.sum("_s").alias("_v"))
@@ -252,21 +253,23 @@ def approximate_top_k(
 
 
 def postings(chunks: DataFrame, keys: list[str] = CHUNK_KEY, text: str = "content") -> DataFrame:
-    """Inverted index: keys, term, tf, length.  Stopwords are left out, as queries leave them out."""
-    stop = F.array(*[F.lit(w) for w in dict.fromkeys(STOPWORDS)])
-    terms = F.filter(tx.tokens(F.col(text)), lambda t: ~F.array_contains(stop, t))
+    """Inverted index: keys, length, term, tf, and `head` on one row per chunk.
+
+    Stopwords are left out, as queries leave them out.  A chunk is exploded and counted in one
+    task, so what is shuffled is already one row per chunk and term.
+    """
     return (
-        chunks.select(*keys, terms.alias("_t"))
-        .select(*keys, F.size("_t").alias("length"), F.explode("_t").alias("term"))
+        chunks.select(*keys, tx.meaningful_tokens(F.col(text)).alias("_t"))
+        .select(*keys, F.size("_t").alias("length"), F.posexplode_outer("_t").alias("_p", "term"))
+        .filter(F.col("term").isNotNull())
         .groupBy(*keys, "length", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
+        .agg(F.count(F.lit(1)).alias("tf"), F.bool_or(F.col("_p") == 0).alias("head"))
     )
 
 
 def query_ladder(queries: DataFrame, query_key: str = "query_id", text: str = "query") -> DataFrame:
     """Per query the term sets tried in turn: all terms, the first 14, then one term at a time by length."""
-    stop = F.array(*[F.lit(w) for w in dict.fromkeys(STOPWORDS)])
-    every = F.array_distinct(F.filter(tx.tokens(F.col(text)), lambda t: ~F.array_contains(stop, t)))
+    every = F.array_distinct(tx.meaningful_tokens(F.col(text)))
     main = F.col("_main")
     by_length = F.transform(
         F.array_sort(F.transform(main, lambda t, i: F.struct((-F.length(t)).alias("n"), i.alias("i"), t.alias("t")))),
@@ -304,9 +307,9 @@ def lexical_top_k(
     named = queries.select(query_key, F.sha2(text, 256).alias("_q"), text)
     ladder = query_ladder(named.select("_q", text).dropDuplicates(["_q"]), "_q", text)
     frequency = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    asked = ladder.select("_q", "level", F.size("terms").alias("n_terms"), F.explode("terms").alias("term")).join(
-        frequency, "term"
-    )
+    rungs = ladder.select("_q", "level", F.size("terms").alias("n_terms"), F.explode_outer("terms").alias("term"))
+    # Query terms only: read by every step below.
+    asked = cut_lineage(rungs.join(frequency, "term"))
     # At most `limit` rows per query; the second stage needs to know which queries are left.
     strict = cut_lineage(_matching(asked.filter("level < 2"), index, limit, keys))
     rest = asked.filter("level >= 2").join(strict.select("_q").distinct(), "_q", "left_anti")
@@ -332,8 +335,10 @@ def _matching(asked: DataFrame, index: DataFrame, limit: int, keys: list[str]) -
         .agg(F.collect_list(F.struct("term", "df", "tf")).alias("_hits"))
         .filter(F.size("_hits") == F.col("n_terms"))
     )
-    reached = hits.groupBy("_q").agg(F.min("level").alias("level"))
-    corpus = index.select(*keys, "length").distinct().agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")))
+    # Each chunk counts once, in the row marked as its head.
+    corpus = index.agg(
+        F.struct(F.count_if("head").alias("n"), (F.sum(F.when(F.col("head"), F.col("length"))) / F.count_if("head")).alias("mean"))
+    )
     facts = F.col("_corpus")
 
     def weight(hit: Column) -> Column:
@@ -342,13 +347,17 @@ def _matching(asked: DataFrame, index: DataFrame, limit: int, keys: list[str]) -
         return idf * hit["tf"] * (BM25_K1 + 1) / (hit["tf"] + damp)
 
     total = F.aggregate(F.array_sort("_hits"), F.lit(0.0), lambda acc, h: acc + weight(h))
-    order = Window.partitionBy("_q").orderBy(F.desc("score"), *keys)
+    # Lower rungs sort first, so cutting to the limit also keeps the best rung; the second window
+    # then sees at most `limit` rows of a query.
+    order = Window.partitionBy("_q").orderBy("level", F.desc("score"), *keys)
+    best_rung = F.min("level").over(Window.partitionBy("_q"))
     return (
-        hits.join(reached, ["_q", "level"])
-        .withColumn("_corpus", corpus.scalar())
+        hits.withColumn("_corpus", corpus.scalar())
         .withColumn("score", F.round(total, 9))
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= limit)
+        .withColumn("_best", best_rung)
+        .filter(F.col("level") == F.col("_best"))
         .select("_q", *keys, "level", "score", "rank")
     )
 
