@@ -4,7 +4,9 @@ from borewatch.plans.registered import (  # noqa: F401
     benchmarks,
     decisions,
     detection,
+    generation,
     retrieval,
+    streams,
     telemetry,
     texts,
 )
