@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from borewatch.functions.fixed import ACTIONS, CAUSAL_CHAINS, INCIDENTS, NO_INCIDENT, URGENCY
-from borewatch.functions.severity import round_tie_even
+from borewatch.functions.severity import round_settled, round_tie_even
 
 # Prices and costs in USD.
 OIL_PRICE = 80.0
@@ -40,9 +40,9 @@ def economic_impact(price: float = OIL_PRICE) -> Column:
     )
     details = F.when(F.size(parts) > 0, F.array_join(parts, "; ")).otherwise("Operational impact unquantified")
     return F.struct(
-        round_tie_even(revenue + handling, 2).alias("revenue_at_risk_usd_per_day"),
-        round_tie_even(oil_loss, 1).alias("oil_loss_bopd"),
-        round_tie_even(water, 1).alias("water_excess_bbl_per_day"),
+        round_settled(revenue + handling, 2).alias("revenue_at_risk_usd_per_day"),
+        round_settled(oil_loss, 1).alias("oil_loss_bopd"),
+        round_settled(water, 1).alias("water_excess_bbl_per_day"),
         details.alias("details"),
     )
 

@@ -39,6 +39,15 @@ def round_tie_even(column: Column, digits: int) -> Column:
     return F.rint(column * scale) / scale
 
 
+def round_settled(column: Column, digits: int) -> Column:
+    """Round a value that came from a sum or mean.
+
+    The order of a distributed sum varies, and with it the last bits; settling nine decimals
+    first keeps them from deciding a tie.
+    """
+    return round_tie_even(F.rint(column * 1e9) / 1e9, digits)
+
+
 def severity_v1(max_z: Column, forest: Column) -> Column:
     combined = F.greatest(max_z / 6.0, forest)
     return (
@@ -114,7 +123,7 @@ def deviation_v1(features: list[str], affected: Column) -> Column:
 
     def percent(f: str) -> Column:
         base = F.col(f"base_{f}")
-        return round_tie_even(100 * F.try_divide(F.col(f) - base, F.abs(base)), 1)
+        return round_settled(100 * F.try_divide(F.col(f) - base, F.abs(base)), 1)
 
     return _feature_map(features, affected, percent, keep=lambda f: F.col(f"base_{f}") != 0)
 
@@ -124,13 +133,13 @@ def deviation_v2(features: list[str], affected: Column) -> Column:
 
     def percent(f: str) -> Column:
         base = F.col(f"base_{f}")
-        return round_tie_even(100 * (F.col(f) - base) / F.greatest(F.abs(base), F.lit(1e-6)), 1)
+        return round_settled(100 * (F.col(f) - base) / F.greatest(F.abs(base), F.lit(1e-6)), 1)
 
     return _feature_map(features, affected, percent)
 
 
 def rounded_map(features: list[str], affected: Column, prefix: str = "") -> Column:
-    return _feature_map(features, affected, lambda f: round_tie_even(F.col(f"{prefix}{f}"), 2))
+    return _feature_map(features, affected, lambda f: round_settled(F.col(f"{prefix}{f}"), 2))
 
 
 def feature_phrases(affected: Column, deviation: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from borewatch.functions.fixed import FIELDS, FIELDS_DDL, PUBLISHED_DDL, PUBLISHED_STATISTICS
-from borewatch.functions.severity import round_tie_even
+from borewatch.functions.severity import round_settled
 from borewatch.schema import fixed_table
 
 
@@ -82,17 +82,17 @@ def field_statistics(monthly: DataFrame) -> DataFrame:
     whole = (
         monthly.groupBy("field_name")
         .agg(
-            F.rint(total).alias("total_oil_thousand_bbl"),
+            round_settled(total, 0).alias("total_oil_thousand_bbl"),
             F.when(peak > 0, F.rint(peak)).otherwise(F.lit(0.0)).alias("peak_oil_bopd"),
             F.when(peak > 0, year_of_peak).otherwise(F.lit(0)).alias("peak_year"),
-            round_tie_even(F.avg("water_cut_pct"), 1).alias("avg_water_cut_pct"),
-            F.rint(F.avg("gor_scf_bbl")).alias("avg_gor_scf_bbl"),
+            round_settled(F.avg("water_cut_pct"), 1).alias("avg_water_cut_pct"),
+            round_settled(F.avg("gor_scf_bbl"), 0).alias("avg_gor_scf_bbl"),
             F.concat_ws("-", F.min("year").cast("string"), F.max("year").cast("string")).alias("production_years"),
             F.count(F.lit(1)).alias("months_of_data"),
         )
     )
     return whole.join(late, "field_name").withColumn(
-        "late_field_water_cut_pct", round_tie_even(F.col("_late"), 1)
+        "late_field_water_cut_pct", round_settled(F.col("_late"), 1)
     ).drop("_late")
 
 

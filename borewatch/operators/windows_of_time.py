@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from borewatch.functions.severity import round_tie_even
+from borewatch.functions.severity import round_settled, round_tie_even
 from borewatch.operators.ordering import KeyedSeries
 from borewatch.schema import FEATURES
 
@@ -90,10 +90,10 @@ def summarise_before(
                 F.struct(
                     F.lit(i).alias("feature_no"),
                     F.lit(f).alias("feature"),
-                    round_tie_even(F.col(f"_mean_{f}"), 2).alias("mean"),
-                    round_tie_even(F.col(f"_std_{f}"), 2).alias("std"),
-                    round_tie_even(F.col(f"_min_{f}"), 2).alias("min"),
-                    round_tie_even(F.col(f"_max_{f}"), 2).alias("max"),
+                    round_settled(F.col(f"_mean_{f}"), 2).alias("mean"),
+                    round_settled(F.col(f"_std_{f}"), 2).alias("std"),
+                    round_settled(F.col(f"_min_{f}"), 2).alias("min"),
+                    round_settled(F.col(f"_max_{f}"), 2).alias("max"),
                     _trend(F.col(f"_mean_{f}"), (F.col(f"_h_{f}") - F.col(f"_b_{f}")) / tenth).alias("trend_pct"),
                     _trend(
                         (F.col(f"_e_{f}") - F.col(f"_t_{f}")) / tenth, (F.col(f"_h_{f}") - F.col(f"_b_{f}")) / tenth
@@ -114,7 +114,7 @@ def summarise_before(
 
 def _trend(late: Column, early: Column) -> Column:
     change = F.try_divide(late - early, F.abs(early)) * 100
-    return round_tie_even(F.coalesce(change, F.lit(0.0)), 1)
+    return round_settled(F.coalesce(change, F.lit(0.0)), 1)
 
 
 def completeness(n: Column, expected: int) -> Column:

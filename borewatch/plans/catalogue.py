@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from borewatch.session import ship_package
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -18,7 +21,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(run: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = run
+
+        @wraps(run)
+        def prepared(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
+            return run(spark, folder)
+
+        QUERIES[name] = prepared
         if sql is not None:
             ORACLES[name] = sql
         return run

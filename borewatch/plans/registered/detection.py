@@ -15,6 +15,7 @@ from borewatch.plans.roles import (
     TELEMETRY_ORDER,
     TELEMETRY_SQL,
     readings,
+    settled_sql,
     telemetry,
 )
 from borewatch.schema import FEATURES
@@ -236,7 +237,7 @@ def _deviation_sql(condition: str, base: str, skip_zero: bool) -> str:
     for f in FEATURES:
         scale = f"abs(base_{f})" if skip_zero else f"greatest(abs(base_{f}), 1e-6)"
         keep = f" AND base_{f} <> 0" if skip_zero else ""
-        number = f"round_even(100 * ({f} - base_{f}) / {scale} * 10, 0) / 10"
+        number = settled_sql(f"100 * ({f} - base_{f}) / {scale}", 1)
         parts.append(f"CASE WHEN {condition.format(f=f)}{keep} THEN printf('%s=%.1f', '{f}', {number}) END")
     return f"coalesce(concat_ws(',', {', '.join(parts)}), '')"
 
@@ -331,8 +332,8 @@ def _alerts_v2_sql() -> str:
   {_affected_sql("z_{f} >= threshold_{f} * 0.8")} AS affected_features,
   {_deviation_sql("z_{f} >= threshold_{f} * 0.8", "base", False)} AS deviation_pct,
   drift AS cusum_triggered, step AS step_change_triggered, 2 AS consecutive_days,
-  round_even(({loss} * 80 + {water} * 4.5) * 100, 0) / 100 AS revenue_at_risk_usd_per_day,
-  round_even({loss} * 10, 0) / 10 AS oil_loss_bopd, round_even({water} * 10, 0) / 10 AS water_excess_bbl_per_day
+  {settled_sql(f"{loss} * 80 + {water} * 4.5", 2)} AS revenue_at_risk_usd_per_day,
+  {settled_sql(loss, 1)} AS oil_loss_bopd, {settled_sql(water, 1)} AS water_excess_bbl_per_day
 FROM fold JOIN live USING (well_id, pos) WHERE alert"""
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from borewatch.plans import corpus
 from borewatch.plans.catalogue import query
 from borewatch.plans.registered.telemetry import daily
-from borewatch.plans.roles import DAILY_SQL
+from borewatch.plans.roles import DAILY_SQL, settled_sql
 
 FACTS_SQL = DAILY_SQL + """,
 peaks AS (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY oil_rate_bopd DESC, "timestamp", water_cut_pct, gas_oil_ratio) AS a,
@@ -22,11 +22,11 @@ tot AS (SELECT strftime(min("timestamp"), '%Y-%m-%d') AS d0, strftime(max("times
 
 
 def _one(x: str) -> str:
-    return f"printf('%.1f', round_even({x} * 10, 0) / 10)"
+    return f"printf('%.1f', {settled_sql(x, 1)})"
 
 
 def _none(x: str) -> str:
-    return f"printf('%.0f', round_even({x}, 0))"
+    return f"printf('%.0f', {settled_sql(x, 0)})"
 
 
 GOLDEN_SQL = f"""{FACTS_SQL},

@@ -16,6 +16,7 @@ from borewatch.plans.roles import (
     raw_daily,
     raw_monthly,
     readings,
+    settled_sql,
     table,
     telemetry,
 )
@@ -113,11 +114,11 @@ def recent_monthly_means(spark: SparkSession, folder: str) -> DataFrame:
 kept AS (SELECT * FROM monthly WHERE "year" BETWEEN 1990 AND 2024),
 r AS (SELECT *, row_number() OVER (PARTITION BY field_name ORDER BY "year" DESC, "month" DESC) AS back,
              row_number() OVER (PARTITION BY field_name ORDER BY oil_bopd DESC, "year", "month") AS top FROM kept)
-SELECT field_name, round_even(sum(oil_net_mill_sm3) * 1e6 * 6.28981 / 1000, 0) AS total_oil_thousand_bbl,
+SELECT field_name, {settled_sql('sum(oil_net_mill_sm3) * 1e6 * 6.28981 / 1000', 0)} AS total_oil_thousand_bbl,
        max(oil_bopd) AS peak_oil_bopd, max(CASE WHEN top = 1 THEN "year" END) AS peak_year,
-       round_even(avg(water_cut_pct) * 10, 0) / 10 AS avg_water_cut_pct, round_even(avg(gor_scf_bbl), 0) AS avg_gor_scf_bbl,
+       {settled_sql('avg(water_cut_pct)', 1)} AS avg_water_cut_pct, {settled_sql('avg(gor_scf_bbl)', 0)} AS avg_gor_scf_bbl,
        min("year") || '-' || max("year") AS production_years, count(*) AS months_of_data,
-       round_even(avg(water_cut_pct) FILTER (WHERE back <= 24) * 10, 0) / 10 AS late_field_water_cut_pct
+       {settled_sql('avg(water_cut_pct) FILTER (WHERE back <= 24)', 1)} AS late_field_water_cut_pct
 FROM r GROUP BY field_name""",
 )
 def field_statistics(spark: SparkSession, folder: str) -> DataFrame:
@@ -192,9 +193,9 @@ def error_alerts(spark: SparkSession, folder: str) -> DataFrame:
 
 def _summary_sql() -> str:
     def feature(i: int, f: str) -> str:
-        trend = "round_even(coalesce(({late} - early) / nullif(abs(early), 0) * 100, 0) * 10, 0) / 10"
+        trend = settled_sql("coalesce(({late} - early) / nullif(abs(early), 0) * 100, 0)", 1)
         return f"""SELECT alert_id, user_id, record_count, completeness, {i} AS feature_no, '{f}' AS feature,
-  round_even(mean * 100, 0) / 100 AS mean, round_even(std * 100, 0) / 100 AS std, mn AS min, mx AS max,
+  {settled_sql("mean", 2)} AS mean, {settled_sql("std", 2)} AS std, mn AS min, mx AS max,
   {trend.format(late="mean")} AS trend_pct, {trend.format(late="late")} AS trend_tail_pct
 FROM (SELECT alert_id, user_id, n AS record_count, round_even(least(1.0, n / 72.0) * 1000, 0) / 1000 AS completeness, avg({f}) AS mean,
              stddev_pop({f}) AS std, min({f}) AS mn, max({f}) AS mx,

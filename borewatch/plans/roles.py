@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+def settled_sql(x: str, digits: int) -> str:
+    """SQL of `round_settled`."""
+    settled = f"(round_even(({x}) * 1e9, 0) / 1e9)"
+    return f"round_even({settled}, 0)" if digits == 0 else f"(round_even({settled} * {10**digits}, 0) / {10**digits})"
+
+
 LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 EVENT_ORDER = ["ts", "event_id"]
 

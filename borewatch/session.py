@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +27,26 @@ def build_session(app_name: str = "borewatch", master: str | None = None, **conf
         builder = builder.master(master).config("spark.ui.enabled", "false")
     for name, value in conf.items():
         builder = builder.config(name.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Without it workers find the package only where it is installed or on their path.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_borewatch_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="borewatch-package-")) / "borewatch.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._borewatch_shipped = True
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
