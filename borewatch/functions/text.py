@@ -40,7 +40,7 @@ def strip(text: Column) -> Column:
 def title(text: Column, fallback: Column) -> Column:
     """First level-1 or level-2 heading, else the fallback."""
     stripped = F.transform(lines(text), strip)
-    heading = F.filter(stripped, lambda s: s.startswith("# ") | s.startswith("## "))[0]
+    heading = F.get(F.filter(stripped, lambda s: s.startswith("# ") | s.startswith("## ")), F.lit(0))
     return F.coalesce(strip(F.regexp_replace(heading, r"^#{1,2} ", "")), fallback)
 
 
