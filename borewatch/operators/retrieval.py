@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from borewatch.functions import text as tx
 from borewatch.functions.fixed import INCIDENT_WORDS
 from borewatch.functions.severity import round_tie_even
+from borewatch.operators.ordering import small_side
 from borewatch.session import cut_lineage
 
 # Retrieval settings.
@@ -310,26 +311,31 @@ def lexical_top_k(
     rungs = ladder.select("_q", "level", F.size("terms").alias("n_terms"), F.explode_outer("terms").alias("term"))
     # Query terms only: read by every step below.
     asked = cut_lineage(rungs.join(frequency, "term"))
+    terms = asked.count()
     # At most `limit` rows per query; the second stage needs to know which queries are left.
-    strict = cut_lineage(_matching(asked.filter("level < 2"), index, limit, keys))
+    strict = cut_lineage(_matching(asked.filter("level < 2"), terms, index, limit, keys))
     rest = asked.filter("level >= 2").join(strict.select("_q").distinct(), "_q", "left_anti")
     longest = rest.groupBy("_q").agg(F.min(F.struct("level", "n_terms", "term", "df")).alias("_m")).select("_q", "_m.*")
-    found = strict.unionByName(_matching(longest, index, limit, keys))
+    found = strict.unionByName(_matching(longest, terms, index, limit, keys))
     return found.join(named.select(query_key, "_q"), "_q").select(query_key, *keys, "level", "score", "rank")
 
 
-def _matching(asked: DataFrame, index: DataFrame, limit: int, keys: list[str]) -> DataFrame:
-    """Best chunks per query that hold all terms of its lowest rung with any match."""
+def _matching(asked: DataFrame, terms: int, index: DataFrame, limit: int, keys: list[str]) -> DataFrame:
+    """Best chunks per query that hold all terms of its lowest rung with any match.
+
+    `terms` bounds the rows of `asked`.  The index is never broadcast, whatever its estimated size.
+    """
     rung = ["_q", "level", "n_terms"]
     rarest = (
         asked.groupBy(*rung)
         .agg(F.min(F.struct("df", "term"))["term"].alias("term"), F.count(F.lit(1)).alias("_known"))
         .filter(F.col("_known") == F.col("n_terms"))
     )
-    candidates = rarest.select(*rung, "term").join(index.select(*keys, "term"), "term").drop("term")
+    whole = index.hint("merge")
+    candidates = small_side(rarest.select(*rung, "term"), terms).join(whole.select(*keys, "term"), "term").drop("term")
     hits = (
-        candidates.join(asked.select("_q", "level", "term", "df"), ["_q", "level"])
-        .join(index, [*keys, "term"])
+        candidates.join(small_side(asked.select("_q", "level", "term", "df"), terms), ["_q", "level"])
+        .join(whole, [*keys, "term"])
         # One entry per term of the query.
         .groupBy(*rung, *keys, "length")
         .agg(F.collect_list(F.struct("term", "df", "tf")).alias("_hits"))
@@ -471,7 +477,8 @@ def retrieve(
     content = chunks.select(*CHUNK_KEY, "title", "content", *(["well_id"] if well_filter else []))
     if well_filter:
         content = content.withColumnRenamed("well_id", "_chunk_well")
-    read = listed.join(content, CHUNK_KEY).join(spec, "query_id")
+    # Texts are large whatever the estimate says: never the broadcast side.
+    read = listed.join(content.hint("merge"), CHUNK_KEY).join(spec, "query_id")
     if well_filter:
         read = read.filter(F.col("well_id").isNull() | (F.col("well_id") == F.col("_chunk_well")))
     candidate = (F.col("_any_kept") == 0) | (F.col("relevance") >= min_fused)
@@ -520,7 +527,7 @@ def answer(queries: DataFrame, retrieved: DataFrame, chunks: DataFrame) -> DataF
         F.substring("content", 1, 300).alias("excerpt"),
     )
     grouped = (
-        retrieved.join(content, CHUNK_KEY)
+        retrieved.join(content.hint("merge"), CHUNK_KEY)
         .groupBy("query_id")
         .agg(
             F.array_sort(

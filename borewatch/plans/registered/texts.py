@@ -20,7 +20,7 @@ from borewatch.functions.fixed import (
 from borewatch.operators.metrics import ratio
 from borewatch.operators.retrieval import hashed_embedding
 from borewatch.plans.catalogue import query
-from borewatch.plans.roles import CORPUS_SQL, PROMPTS_SQL, corpus, prompts, table
+from borewatch.plans.roles import CORPUS_SQL, PROMPTS_SQL, corpus, prompts, table, texts
 from borewatch.schema import GUARD_SEVERITIES, rank_of
 from borewatch.sources.documents import as_chunks, as_documents
 from borewatch.sources.tables import insert_absent, table_counts, upsert
@@ -112,7 +112,7 @@ SELECT d.doc_id, coalesce(md5(string_agg(term, ' ' ORDER BY i)), md5('')) AS tok
 FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id""",
 )
 def substantive_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    found = table(spark, folder, "documents").withColumn("_t", tx.substantive_tokens(F.col("text")))
+    found = texts(spark, folder, "documents").withColumn("_t", tx.substantive_tokens(F.col("text")))
     return found.select("doc_id", F.md5(F.array_join("_t", " ")).alias("tokens_md5"), F.size("_t").alias("n"))
 
 
@@ -150,7 +150,7 @@ embedded AS MATERIALIZED (SELECT n.{key}, list(coalesce(b.v, 0.0) / norm ORDER B
 SELECT doc_id, CAST(unnest(range(64)) AS INTEGER) AS pos, round(unnest(v), 6) AS value FROM embedded""",
 )
 def hashed_embeddings(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = hashed_embedding(table(spark, folder, "documents"), ["doc_id"], "text")
+    vectors = hashed_embedding(texts(spark, folder, "documents"), ["doc_id"], "text")
     return vectors.select("doc_id", F.posexplode("embedding").alias("pos", "value")).withColumn("value", F.round("value", 6))
 
 
@@ -208,7 +208,7 @@ def guard_scan(spark: SparkSession, folder: str) -> DataFrame:
     f"""WITH {guard_sql("documents", "doc_id")} SELECT doc_id, CAST(match_count AS INTEGER) AS match_count, guard_severity FROM judged""",
 )
 def guard_scan_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return guard.scan(table(spark, folder, "documents"), "text").select("doc_id", "match_count", "guard_severity")
+    return guard.scan(texts(spark, folder, "documents"), "text").select("doc_id", "match_count", "guard_severity")
 
 
 @query(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from borewatch.session import spread
+
 def settled_sql(x: str, digits: int) -> str:
     """SQL of `round_settled`."""
     settled = f"(round_even(({x}) * 1e9, 0) / 1e9)"
@@ -19,6 +21,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of long texts, spread over all cores."""
+    return spread(table(spark, folder, name))
+
+
 def telemetry(spark: SparkSession, folder: str) -> DataFrame:
     """`lineitem` as a six-feature telemetry table: a supplier is a well.
 
@@ -178,7 +185,7 @@ def corpus(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("# Report "), F.col("doc_id"), F.lit(" \n"), well, F.lit("\n## Findings\n"), F.col("text"),
         F.lit("\n## Empty\n## Blank\n\n## Remarks \nFiled under "), F.col("source"), F.lit("\n"),
     )
-    return table(spark, folder, "documents").select(
+    return texts(spark, folder, "documents").select(
         F.concat(F.lit("docs/"), place, F.lit("/doc_"), F.col("doc_id"), F.lit(".md")).alias("path"),
         text.alias("text"),
         "doc_id",

@@ -68,3 +68,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise to the shared checkpoint folder, so that later reads see fixed rows."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute a scan that has fewer partitions than the cluster has slots.
+
+    For work that costs far more per row than moving the row, such as patterns over long texts.
+    Inputs with enough splits, as large ones have, pass through unchanged.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
