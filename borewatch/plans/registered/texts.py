@@ -88,11 +88,12 @@ def document_upsert(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "inserted_if_absent",
-    """SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""",
+    """SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""",
 )
 def inserted_if_absent(spark: SparkSession, folder: str) -> DataFrame:
-    known = table(spark, folder, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return insert_absent(known, table(spark, folder, "customer").select("c_custkey", "c_name"), ["c_custkey"])
+    """Orders that no line item mentions."""
+    known = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return insert_absent(known, table(spark, folder, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"])
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -35,7 +36,9 @@ def build_session(app_name: str = "borewatch", master: str | None = None, **conf
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application.
 
-    Without it workers find the package only where it is installed or on their path.
+    Without it workers find the package only where it is installed or on their path.  The worker
+    that prepares a stateful stream runs beside the driver and reads no shipped files, so it is
+    given the path as well.
     """
     context = spark.sparkContext
     if getattr(context, "_borewatch_shipped", False):
@@ -46,6 +49,8 @@ def ship_package(spark: SparkSession) -> None:
         for source in sorted(root.rglob("*.py")):
             out.write(source, source.relative_to(root.parent))
     context.addPyFile(str(archive))
+    paths = [context.environment.get("PYTHONPATH"), str(root.parent)]
+    context.environment["PYTHONPATH"] = os.pathsep.join(p for p in paths if p)
     context._borewatch_shipped = True
 
 
