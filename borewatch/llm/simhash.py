@@ -88,14 +88,22 @@ def _variants(fp, flips: list[int]):
     return F.transform(F.lit(flips), lambda x: fp.bitwiseXOR(x))
 
 
+def _spread(prints: DataFrame) -> DataFrame:
+    """Deal a small table out anew, for work that makes many rows of each of its rows."""
+    return prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def links_of_two(prints: DataFrame) -> DataFrame:
-    """Edges that connect all fingerprints at most two bits apart: neighbours in the order of those that share a variant."""
-    ball = prints.select("fp", F.explode(_variants(F.col("fp"), _masks(list(range(64)), 1))).alias("at"))
-    chain = Window.partitionBy("at").orderBy("fp")
-    return ball.select(F.col("fp").alias("a"), F.lag("fp").over(chain).alias("b")).where("b is not null").distinct()
+    """Edges of numbers that connect all fingerprints at most two bits apart: neighbours in the order of those that share
+    a variant. prints: (fp, node)."""
+    flips = _masks(list(range(64)), 1)
+    ball = _spread(prints).select("node", F.explode(_variants(F.col("fp"), flips)).alias("at"))
+    chain = Window.partitionBy("at").orderBy("node")
+    edges = ball.select(F.col("node").alias("a"), F.lag("node").over(chain).alias("b"))
+    return edges.where("b is not null").distinct()
 
 
-def _outside(prints: DataFrame) -> DataFrame:
+def _outside(prints: DataFrame, *columns: str) -> DataFrame:
     """Variants with one block left out; the empty block holds the block's number instead."""
     keys = []
     for j in range(N_BLOCKS):
@@ -104,15 +112,17 @@ def _outside(prints: DataFrame) -> DataFrame:
         tag = (j + 1) << (BLOCK * j)
         flips = [signed((x & (1 << 64) - 1) | tag) for x in _masks(rest, 1)]
         keys.append(_variants(F.col("fp").bitwiseAND(F.lit(signed(~block & (1 << 64) - 1))), flips))
-    return prints.select("fp", "comp", F.explode(F.concat(*keys)).alias("at"))
+    return _spread(prints).select(*columns, F.explode(F.concat(*keys)).alias("at"))
 
 
 def links_of_three(prints: DataFrame) -> DataFrame:
     """Edges (a, b) of components, for fingerprints (fp, comp) that differ in three bits or fewer across components."""
-    met = _outside(prints)
-    mixed = met.groupBy("at").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
-    mixed = materialise(mixed.where("lo <> hi").select("at", "n"))
-    members = materialise(join_counted(met, mixed, ["at"], "inner"))
+    # dealt out by variant before aggregating: a variant has few rows, so combining them earlier would save nothing
+    met = _outside(prints, "comp").repartition("at").groupBy("at").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    mixed = materialise(met.where("lo <> hi").select("at"))
+    members = materialise(join_counted(_outside(prints, "fp", "comp"), mixed, ["at"], "inner"))
+    sizes = members.groupBy("at").agg(F.count("*").alias("n"))
+    members = members.join(sizes, "at")
     few = members.where(F.col("n") <= FEW)
     other = few.select("at", F.col("fp").alias("fp2"), F.col("comp").alias("comp2"))
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= 3
@@ -128,9 +138,13 @@ def links_of_three(prints: DataFrame) -> DataFrame:
 
 
 def groups(prints: DataFrame) -> DataFrame:
-    """prints: distinct fingerprints `fp`. Rows (fp, comp): the component, named by its smallest fingerprint."""
-    own = components(links_of_two(prints)).withColumnRenamed("node", "fp").withColumnRenamed("component_id", "comp")
-    first = materialise(prints.join(own, "fp", "left").withColumn("comp", F.coalesce("comp", "fp")))
+    """prints: distinct fingerprints `fp`. Rows (fp, comp): the number of its component.
+
+    Fingerprints are numbered as they are written; small numbers shuffle in fewer bytes than random 64-bit values.
+    """
+    numbered = materialise(prints.select("fp", F.monotonically_increasing_id().alias("node")))
+    own = components(links_of_two(numbered)).withColumnRenamed("component_id", "comp")
+    first = materialise(numbered.join(own, "node", "left").select("fp", F.coalesce("comp", "node").alias("comp")))
     joined = components(links_of_three(first)).withColumnRenamed("node", "comp")
     return first.join(joined, "comp", "left").select("fp", F.coalesce("component_id", "comp").alias("comp"))
 
