@@ -10,6 +10,7 @@ in Spark, and each number looks up the pattern that takes it.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,7 +26,9 @@ from borewatch.session import ship_package
 
 ROOM, END = 4096, 1
 #: Words whose ids a Python worker keeps; texts are encoded in chunks between white space, which no token crosses.
-MEMORY = 400_000
+MEMORY = 700_000
+LETTERS = re.compile("([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,]?)")
+CONTROLS = "\x1c\x1d\x1e\x1f"
 #: Third lengths tried for each first length, and rounds of the fit.
 THIRDS, ROUNDS = 8, 300
 LEAST_BUCKETS, BUCKET_ROWS = 256, 100_000
@@ -39,19 +42,54 @@ def _encoder(path: str):
 
 
 class Ids:
-    """Ids of texts as little-endian unsigned 32-bit bytes, by a memory of the chunks between white space."""
+    """Ids of texts as little-endian unsigned 32-bit bytes, by a memory of the chunks between white space.
+
+    The tokenizer works on pieces between white space, and cuts letters from other characters; so a chunk of Latin
+    letters, with or without a stop or comma behind them, has the ids of its letters in lower case and of the mark.
+    Unknown runs of letters are encoded together: each of them ends in a token that closes a word.
+    """
 
     def __init__(self, path: str):
         self.tokenizer, self.known = _encoder(path), {}
+        self.mark = {m: self.encode([m])[0] for m in ".,"} | {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def encode(self, chunks: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch(chunks, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+
+    def learn_letters(self, runs: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode(" ".join(runs), add_special_tokens=False).ids, dtype="<u4")
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(runs) or ends[-1] != len(ids):
+            self.known.update(zip(runs, self.encode(runs), strict=True))
+            return
+        whole, at = ids.tobytes(), 0
+        for run, end in zip(runs, (4 * ends).tolist(), strict=True):
+            self.known[run] = whole[at:end]
+            at = end
 
     def learn(self, chunks: list[str]) -> None:
-        for k in range(0, len(chunks), 20_000):
-            part = chunks[k : k + 20_000]
-            for chunk, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(e.ids, dtype="<u4").tobytes()
+        known, plain, rest = self.known, [], []
+        for chunk in chunks:
+            found = LETTERS.fullmatch(chunk)
+            if found:
+                plain.append((chunk, found[1].lower(), found[2]))
+            else:
+                rest.append(chunk)
+        runs = list({run for _, run, _ in plain}.difference(known))
+        for k in range(0, len(runs), 5000):
+            self.learn_letters(runs[k : k + 5000])
+        for chunk, run, mark in plain:
+            known[chunk] = known[run] + self.mark[mark]
+        for k in range(0, len(rest), 5000):
+            known.update(zip(rest[k : k + 5000], self.encode(rest[k : k + 5000]), strict=True))
 
     def of(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") if t.isprintable() else t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        # str.split also cuts at four control characters that the tokenizer keeps
+        split = [t.split(" ") if any(c in t for c in CONTROLS) else t.split() for t in texts]
         if len(self.known) > MEMORY:
             self.known.clear()
         self.learn(list(set().union(*split).difference(self.known)))
