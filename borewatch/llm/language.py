@@ -232,6 +232,8 @@ def learn(docs: DataFrame, *, text: str, doc_id: str, lang: str, held_out, sampl
         F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("body")
     )
     model = rows.repartition(1).mapInArrow(_train_in_task(names), "features binary, move binary").first()
+    if model is None:
+        return names, {"features": b"", "move": b""}
     return names, {k: bytes(model[k]) for k in ("features", "move")}
 
 

@@ -96,9 +96,8 @@ def _train_in_task(prior: float):
         rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (str(r["id"]), r["body"]))
         y = np.array([r["y"] for r in rows], dtype=np.int64)
         if len(set(y.tolist())) < 2:
-            scores, constant = np.zeros(1 << BITS, dtype=np.float32), float(np.log(prior / (1 - prior)))
-        else:
-            scores, constant = train([r["body"] for r in rows], y, prior)
+            return
+        scores, constant = train([r["body"] for r in rows], y, prior)
         yield pa.RecordBatch.from_arrays([pa.array([scores.tobytes()]), pa.array([constant])], ["scores", "constant"])
 
     return run
@@ -135,6 +134,8 @@ def classify(
     prior = share_of_ones(labels, label=label, held_out=out_of)
     rows = labelled_sample(docs, labels, label=label, text=text, doc_id=doc_id, held_out=out_of, most=sample)
     model = rows.repartition(1).mapInArrow(_train_in_task(prior), "scores binary, constant double").first()
+    if model is None:
+        model = {"scores": bytes(4 << BITS), "constant": float(np.log(prior / (1 - prior)))}
     return fold_rows(docs, _score(model), text=text, doc_id=doc_id, held_out=out_of)
 
 

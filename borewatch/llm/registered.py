@@ -10,6 +10,7 @@ from borewatch.llm import (
     language, mixing, packing, quality_model, quality_rules, sharding, simhash, toxicity, urls, vectors,
 )
 from borewatch.llm.common import table
+from borewatch.llm.oracles import ORACLES  # noqa: F401
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -65,5 +66,3 @@ QUERIES = {
         op9_simhash, op10_pack,
     )
 }
-
-ORACLES: dict[str, str] = {}

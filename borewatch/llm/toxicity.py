@@ -102,14 +102,14 @@ def _train_in_task(prior: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (str(r["id"]), r["body"]))
         y = np.array([r["y"] for r in rows], dtype=np.int64)
-        chosen, w0, w, v = np.zeros(0, dtype=np.int64), np.log(prior / (1 - prior)), np.zeros(0), np.zeros((0, FACTORS))
-        if len(set(y.tolist())) == 2:
-            parts = [sets([r["body"] for r in rows[k : k + 200]]) for k in range(0, len(rows), 200)]
-            text_of = np.concatenate([p[0] + 200 * k for k, p in enumerate(parts)])
-            term = np.concatenate([p[1] for p in parts])
-            chosen = choose(text_of, term, y)
-            kept = np.isin(term, chosen)
-            w0, w, v = train(text_of[kept], np.searchsorted(chosen, term[kept]), y, len(chosen), prior)
+        if len(set(y.tolist())) < 2:
+            return
+        parts = [sets([r["body"] for r in rows[k : k + 200]]) for k in range(0, len(rows), 200)]
+        text_of = np.concatenate([p[0] + 200 * k for k, p in enumerate(parts)])
+        term = np.concatenate([p[1] for p in parts])
+        chosen = choose(text_of, term, y)
+        kept = np.isin(term, chosen)
+        w0, w, v = train(text_of[kept], np.searchsorted(chosen, term[kept]), y, len(chosen), prior)
         columns = [pa.array([x.tobytes()]) for x in (chosen.astype("<i8"), w.astype("<f8"), v.astype("<f8"))]
         yield pa.RecordBatch.from_arrays([*columns, pa.array([float(w0)])], ["terms", "w", "v", "w0"])
 
@@ -164,6 +164,8 @@ def score(
     prior = share_of_ones(labels, label=label, held_out=out_of)
     rows = labelled_sample(docs, labels, label=label, text=text, doc_id=doc_id, held_out=out_of, most=sample)
     found = rows.repartition(1).mapInArrow(_train_in_task(prior), "terms binary, w binary, v binary, w0 double").first()
+    if found is None:
+        found = {"terms": b"", "w": b"", "v": b"", "w0": float(np.log(prior / (1 - prior)))}
     model = {k: bytes(found[k]) if k != "w0" else found[k] for k in ("terms", "w", "v", "w0")}
     extra = carried(docs)[:1] if carry else []
     return fold_rows(docs, _score(model), text=text, doc_id=doc_id, held_out=out_of, extra=extra)

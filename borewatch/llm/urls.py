@@ -35,12 +35,10 @@ def _site(name: str, *tokens: str, end: str = r"([.\-][^/?#]*)?([/?#]|$)") -> Pa
 #: Production rules: gambling, adult, pills, advertising and spam hosts, and addresses that hold no prose.
 PATTERNS = (
     _site("casino", "casino"),
-    _site("casino-win", "casino", "win"),
     _site("free-bets", "free", "bets"),
     _site("poker", "poker"),
     _site("slots", "slots"),
     _site("adult", "adult"),
-    _site("adult-x", "adult", "x"),
     _site("porn", "porn"),
     _site("cheap-pills", "cheap", "pills"),
     _site("viagra", "viagra"),
