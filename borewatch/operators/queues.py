@@ -12,10 +12,6 @@ from borewatch.sources.tables import insert_absent
 CONFIDENCE_BUCKETS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.9, 1.0]
 
 
-# Distinct (length, first two characters) of names up to which pieces are narrowed by their start.
-MAX_SHAPES = 10_000
-
-
 def list_escalations(escalations: DataFrame, status: str = "PENDING", limit: int = 50) -> DataFrame:
     """Newest escalations of a status, or of all."""
     asked = status.upper()
@@ -30,17 +26,23 @@ def list_investigations(investigations: DataFrame, well: str | None = None, limi
     return chosen.orderBy(F.desc("created_at"), "investigation_id").limit(limit)
 
 
-def resolve_escalations(escalations: DataFrame, updates: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+def resolve_escalations(
+    escalations: DataFrame, updates: DataFrame, now: Column, newest: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(escalations after the updates, updates that match none).
 
-    `updates` has escalation_id, resolved_by, resolution_notes, new_status (RESOLVED or DISMISSED).
+    `updates` has escalation_id, resolved_by, resolution_notes, new_status (RESOLVED or DISMISSED).  Of several updates
+    of one id the one with the largest `newest` counts; without that column, or on a tie, the largest row.
     """
     fresh = updates.select(
         "escalation_id",
         F.col("resolved_by").alias("_by"),
         F.col("resolution_notes").alias("_notes"),
         F.upper("new_status").alias("_status"),
+        (F.col(newest) if newest else F.lit(0)).alias("_age"),
     ).filter(F.col("_status").isin("RESOLVED", "DISMISSED"))
+    last = F.max(F.struct("_age", "_status", "_by", "_notes")).alias("_last")
+    fresh = fresh.groupBy("escalation_id").agg(last).select("escalation_id", "_last._by", "_last._notes", "_last._status")
     hit = F.col("_status").isNotNull()
     merged = (
         escalations.join(fresh, "escalation_id", "left")
@@ -105,15 +107,10 @@ def maintenance_records(wells: DataFrame, chunks: DataFrame, newest: int = 5) ->
     key = ["document_id", "chunk_index"]
     filed = wells.select("well_id").join(logs, F.col("well_id") == F.col("_filed"))
     names = wells.select("well_id", F.lower("well_id").alias("_name"))
-    shapes = names.select(F.length("_name").alias("n"), F.substring("_name", 1, 2).alias("head")).distinct().limit(MAX_SHAPES + 1).collect()
-    if len(shapes) <= MAX_SHAPES:
-        lengths, heads = sorted({s["n"] for s in shapes}), sorted({s["head"] for s in shapes})
-    else:
-        lengths, heads = [r["n"] for r in names.select(F.length("_name").alias("n")).distinct().collect()], None
+    # a handful of lengths, however many wells there are
+    lengths = sorted(r["n"] for r in names.select(F.length("_name").alias("n")).distinct().collect() if r["n"])
     text = F.col("_text")
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_text")))
-    if heads is not None:
-        starts = F.filter(starts, lambda i: F.substring(text, i, F.lit(2)).isin(heads))
     pieces = F.array_distinct(
         F.flatten(F.transform(starts, lambda i: F.array(*[F.substring(text, i, F.lit(n)) for n in lengths])))
     )

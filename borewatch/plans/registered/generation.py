@@ -108,10 +108,10 @@ def field_overview(spark: SparkSession, folder: str) -> DataFrame:
     "reference_documents",
     f"""WITH {GOLDEN_SQL},
 u AS (SELECT g.*, unnest(string_split(sources, ',')) AS name FROM golden g),
-f AS (SELECT *, id = min(id) OVER (PARTITION BY name, truth) AS is_first FROM u),
-blocks AS (SELECT name, id AS place, '### Anchor ' || id || ' (' || category || ')' || chr(10) || chr(10) || '**Operator question.** ' || question || chr(10) || chr(10) || '**Indexing keywords:** ' || topics || chr(10) || chr(10)
+f AS (SELECT *, substr(id, 5)::BIGINT AS place, substr(id, 5)::BIGINT = min(substr(id, 5)::BIGINT) OVER (PARTITION BY name, truth) AS is_first FROM u),
+blocks AS (SELECT name, place, '### Anchor ' || id || ' (' || category || ')' || chr(10) || chr(10) || '**Operator question.** ' || question || chr(10) || chr(10) || '**Indexing keywords:** ' || topics || chr(10) || chr(10)
     || CASE WHEN is_first THEN truth || chr(10) || chr(10) ELSE '' END || '---' || chr(10) AS text FROM f
-  UNION ALL SELECT DISTINCT name, '', '# ' || replace(replace(name, '.md', ''), '_', ' ') || chr(10) || chr(10) || 'Operational reference derived from curated evaluation excerpts for **' || name || '**.' || chr(10) || chr(10)
+  UNION ALL SELECT DISTINCT name, -1, '# ' || replace(replace(name, '.md', ''), '_', ' ') || chr(10) || chr(10) || 'Operational reference derived from curated evaluation excerpts for **' || name || '**.' || chr(10) || chr(10)
     || '## Incident and engineering narrative' || chr(10) FROM u)
 SELECT name, 'reference' AS folder, row_number() OVER (PARTITION BY name ORDER BY place) AS block_no, md5(text) AS text_md5 FROM blocks""",
 )

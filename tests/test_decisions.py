@@ -180,3 +180,16 @@ def test_maintenance_lookup(spark):
     texts = {r["well_id"]: r["summary_text"] for r in queues.maintenance_summary(records, wells).collect()}
     assert texts["A-1"] == "Found 3 maintenance records for A-1: Long; Other; Pump log"
     assert texts["C-3"] == "No maintenance records found for well C-3."
+
+
+def test_two_updates_of_one_escalation_give_one_row(spark):
+    held = spark.sql(
+        "SELECT 'e1' escalation_id, 'PENDING' status, CAST(NULL AS STRING) resolved_by, CAST(NULL AS STRING) resolution_notes, "
+        "CAST(NULL AS TIMESTAMP) resolved_at"
+    )
+    updates = spark.createDataFrame(
+        [("e1", "ann", "first", "RESOLVED", 1), ("e1", "bo", "later", "DISMISSED", 2)],
+        "escalation_id STRING, resolved_by STRING, resolution_notes STRING, new_status STRING, at INT",
+    )
+    merged, _ = queues.resolve_escalations(held, updates, F.lit("2024-01-01").cast("timestamp"), newest="at")
+    assert [(r["status"], r["resolved_by"]) for r in merged.collect()] == [("DISMISSED", "bo")]

@@ -173,3 +173,36 @@ def test_escalation_table_is_idempotent(spark, tmp_path):
     run(batch, 0)
     run(batch, 0)
     assert tables.read_table(spark, str(tmp_path / "queue"), ESCALATION).count() == 1 and published == [1, 0]
+
+
+def test_escalations_reach_the_topic_after_a_failed_publish(spark, tmp_path):
+    from borewatch.streaming.jobs import escalate_batches
+
+    batch = spark.sql(
+        "SELECT 'i1' investigation_id, 'W' well_id, true should_escalate, array('LOW_CONFIDENCE') escalation_reasons, 'LOW' risk_level, "
+        "0.5D confidence_score, 'why' escalation_message, 'x' root_cause_hypothesis"
+    )
+
+    def broken(_):
+        raise RuntimeError("the topic is away")
+
+    with pytest.raises(RuntimeError):
+        escalate_batches(str(tmp_path / "queue"), broken)(batch, 0)
+    published = []
+    escalate_batches(str(tmp_path / "queue"), lambda df: published.extend(df.collect()))(batch, 0)
+    stored = tables.read_table(spark, str(tmp_path / "queue"), ESCALATION).collect()
+    assert len(stored) == 1 and published == stored
+
+
+def test_appended_rows_are_read_back(spark, tmp_path):
+    folder = str(tmp_path / "log")
+    tables.append_rows(spark.range(3), folder)
+    tables.append_rows(spark.range(2), folder)
+    assert tables.read_table(spark, folder, "id BIGINT").count() == 5
+
+
+def test_upsert_keeps_one_row_per_key(spark):
+    old = spark.createDataFrame([(1, "a")], "k INT, v STRING")
+    new = spark.createDataFrame([(1, "b"), (1, "c"), (2, "d")], "k INT, v STRING")
+    out = tables.upsert(old, new, ["k"]).collect()
+    assert sorted(r["k"] for r in out) == [1, 2] and "a" not in {r["v"] for r in out}
