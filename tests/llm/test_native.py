@@ -52,9 +52,7 @@ def test_mix_targets_and_epochs(docs, rows):
 def test_mixed_rows_keep_their_columns(docs, no_docs):
     out = mixing.mixed(docs)
     assert out.columns == docs.columns
-    copies = Counter(out.select("doc_id", "text").rdd.map(tuple).collect()) if False else Counter(
-        (r.doc_id, r.text) for r in out.collect()
-    )
+    copies = Counter((r.doc_id, r.text) for r in out.collect())
     want = Counter()
     for r in mixing.mix(docs).collect():
         want[r.doc_id] += r.copies
