@@ -7,9 +7,6 @@ leave the task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -38,9 +35,11 @@ FALLBACK_TERMS = 14
 BM25_K1 = 1.2
 BM25_B = 0.75
 
-# Bytes of query vectors sent to the tasks at a time; more queries mean more passes.
-QUERY_SLICE_BYTES = 64 * 1024 * 1024
-# Queries compared with one batch of chunks at a time inside a task.
+# Bytes of vectors on either side of one comparison of slices.
+SLICE_BYTES = 32 * 1024 * 1024
+# Similarities held at a time inside a task.
+SCORES_AT_ONCE = 4_000_000
+# Queries in one slice of a cell.
 QUERY_BLOCK = 1024
 EMBEDDING_SIZE = 64
 
@@ -86,17 +85,6 @@ def hashed_embedding(df: DataFrame, keys: list[str], text: str, size: int = EMBE
     )
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays."""
-
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(
-            F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda acc, v: acc + v
-        )
-
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
 def semantic_top_k(
     queries: DataFrame,
     chunks: DataFrame,
@@ -104,59 +92,69 @@ def semantic_top_k(
     query_key: str = "query_id",
     chunk_keys: list[str] = CHUNK_KEY,
     min_similarity: float | None = None,
-    slice_bytes: int = QUERY_SLICE_BYTES,
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """Exact k nearest chunks per query by cosine: query, chunk keys, similarity, rank.
 
-    Queries are measured first.  Up to `slice_bytes` of vectors go to the tasks that read the
-    chunks; more queries mean more such passes.  A task returns its own best k per query, so the
-    final ranking sees k rows per query and task.
+    Both sides are cut into slices of about `slice_bytes` of vectors, and every pair of slices is
+    compared in one task, which returns only its best k per query; the ranking cuts to k again
+    before its shuffle.  Rows without a vector neither ask nor answer.
     """
-    q = queries.select(query_key, "embedding")
-    size = q.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(1)).alias("width")).first()
-    passes = max(1, -(-size["n"] * size["width"] * 8 // slice_bytes))
-    parts = [q]
-    if passes > 1:
-        numbered = cut_lineage(q.withColumn("_slice", F.pmod(F.xxhash64(query_key), F.lit(passes))))
-        parts = [numbered.filter(F.col("_slice") == i).drop("_slice") for i in range(passes)]
-    best = reduce(DataFrame.unionByName, [_nearest_in_tasks(p, chunks, k, query_key, chunk_keys) for p in parts])
+    held = F.col("embedding").isNotNull() & (F.size("embedding") > 0)
+    q = queries.select(query_key, "embedding").filter(held)
+    c = chunks.select(*chunk_keys, "embedding").filter(held)
+    asks, parts = _slices(q, slice_bytes), _slices(c, slice_bytes)
+    # Few slices would leave most of a cluster idle.
+    parts = max(parts, -(-queries.sparkSession.sparkContext.defaultParallelism // asks))
+    left = q.select(
+        F.pmod(F.xxhash64(query_key), F.lit(asks)).alias("_ask"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("_part"),
+        query_key,
+        F.col("embedding").alias("_asked"),
+    )
+    right = c.select(
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(asks - 1).cast("long"))).alias("_ask"),
+        F.pmod(F.xxhash64(*chunk_keys), F.lit(parts)).alias("_part"),
+        *chunk_keys,
+        F.col("embedding").alias("_held"),
+    )
+    best = _best_in_groups(left, right, ["_ask", "_part"], k, query_key, chunk_keys)
     if min_similarity is not None:
         best = best.filter(F.col("similarity") >= min_similarity)
     order = Window.partitionBy(query_key).orderBy(F.desc("similarity"), *chunk_keys)
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _nearest_in_tasks(queries: DataFrame, chunks: DataFrame, k: int, query_key: str, chunk_keys: list[str]) -> DataFrame:
-    # One slice of vectors, whose size was measured, passes through the driver.
-    held = queries.toPandas()
-    ids = held[query_key].to_numpy()
-    matrix = _unit(np.stack(held["embedding"].to_numpy()).astype(float)) if len(held) else np.zeros((0, 1))
-    shared = queries.sparkSession.sparkContext.broadcast((ids, matrix))
+def _slices(vectors: DataFrame, slice_bytes: int) -> int:
+    """How many slices of `slice_bytes` the vectors fill."""
+    size = vectors.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(1)).alias("width")).first()
+    return max(1, -(-size["n"] * size["width"] * 8 // slice_bytes))
+
+
+def _best_in_groups(
+    left: DataFrame, right: DataFrame, group: list[str], k: int, query_key: str, chunk_keys: list[str]
+) -> DataFrame:
+    """Best k chunks (`_held`) per query (`_asked`) within each group of both sides."""
     schema = T.StructType(
-        [queries.schema[query_key], *[chunks.schema[c] for c in chunk_keys], T.StructField("similarity", T.DoubleType())]
-    )
-    order = [query_key, "similarity", *chunk_keys]
-    ascending = [True, False, *[True] * len(chunk_keys)]
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, vectors = shared.value
-        best: pd.DataFrame | None = None
-        for batch in batches:
-            if not len(batch) or not len(query_ids):
-                continue
-            batch = batch.sort_values(chunk_keys, kind="stable")
-            block = _unit(np.stack(batch["embedding"].to_numpy()).astype(float))
-            found = [] if best is None else [best]
-            for start in range(0, len(query_ids), QUERY_BLOCK):
-                row, column, score = best_columns(vectors[start : start + QUERY_BLOCK] @ block.T, k)
-                fresh = {query_key: query_ids[start + row], **{c: batch[c].to_numpy()[column] for c in chunk_keys}}
-                found.append(pd.DataFrame({**fresh, "similarity": score}))
-            best = pd.concat(found, ignore_index=True).sort_values(order, ascending=ascending)
-            best = best.groupby(query_key, sort=False).head(k)
-        if best is not None:
-            yield best
-
-    return chunks.select(*chunk_keys, "embedding").mapInPandas(nearest, schema)
+        [left.schema[query_key], *[right.schema[c] for c in chunk_keys], T.StructField("similarity", T.DoubleType())]
+    )
+
+    def compare(asks: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(asks) or not len(held):
+            return pd.DataFrame(columns=schema.fieldNames())
+        held = held.sort_values(chunk_keys, kind="stable")
+        q = _unit(np.stack(asks["_asked"].to_numpy()).astype(float))
+        c = _unit(np.stack(held["_held"].to_numpy()).astype(float))
+        ids, names = asks[query_key].to_numpy(), {name: held[name].to_numpy() for name in chunk_keys}
+        step = max(1, SCORES_AT_ONCE // len(c))
+        found = []
+        for start in range(0, len(q), step):
+            row, column, score = best_columns(q[start : start + step] @ c.T, k)
+            picked = {name: values[column] for name, values in names.items()}
+            found.append(pd.DataFrame({query_key: ids[start + row], **picked, "similarity": score}))
+        return pd.concat(found, ignore_index=True)
+
+    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(compare, schema)
 
 
 def best_columns(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -233,22 +231,7 @@ def approximate_top_k(
         .withColumn("_ask", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_asks") - 1)))
         .select("cell", "_ask", "_part", *chunk_keys, F.col("embedding").alias("_held"))
     )
-    schema = T.StructType(
-        [queries.schema[query_key], *[indexed.schema[c] for c in chunk_keys], T.StructField("similarity", T.DoubleType())]
-    )
-
-    def compare(asks: pd.DataFrame, cell: pd.DataFrame) -> pd.DataFrame:
-        if not len(asks) or not len(cell):
-            return pd.DataFrame(columns=schema.fieldNames())
-        cell = cell.sort_values(chunk_keys, kind="stable")
-        q = _unit(np.stack(asks["_asked"].to_numpy()).astype(float))
-        c = _unit(np.stack(cell["_held"].to_numpy()).astype(float))
-        row, column, score = best_columns(q @ c.T, k)
-        names = {name: cell[name].to_numpy()[column] for name in chunk_keys}
-        return pd.DataFrame({query_key: asks[query_key].to_numpy()[row], **names, "similarity": score})
-
-    group = ["cell", "_ask", "_part"]
-    best = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(compare, schema)
+    best = _best_in_groups(left, right, ["cell", "_ask", "_part"], k, query_key, chunk_keys)
     order = Window.partitionBy(query_key).orderBy(F.desc("similarity"), *chunk_keys)
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
