@@ -39,6 +39,8 @@ BM25_B = 0.75
 SLICE_BYTES = 32 * 1024 * 1024
 # Similarities held at a time inside a task.
 SCORES_AT_ONCE = 4_000_000
+# Overview chunks that a query is rated against in one go.
+OVERVIEW_BLOCK = 256
 # Queries in one slice of a cell.
 QUERY_BLOCK = 1024
 EMBEDDING_SIZE = 64
@@ -383,34 +385,31 @@ def overview_front(
     """For overview queries the overview chunks to put first: query, chunk keys, front_rank.
 
     Chunks of 180 characters or more are preferred if there are enough; then by overlap with the
-    query, length and index.  The overview is one document, read up to its first 70 chunks.
+    query, length and index.  Every overview chunk is ranked: they are dealt into blocks, each
+    query visits each block, and only the best `count` per query and task are shuffled.
     """
-    pool = (
-        chunks.filter(F.col("source_path").ilike(pattern))
-        .select("chunk_index", "document_id", "content")
-        .orderBy("chunk_index", "document_id")
-        .limit(max(5 * count, 40))
-        .agg(F.collect_list(F.struct("chunk_index", "document_id", "content")))
-    )
-    terms = tx.substantive_tokens(F.col("query"))
-
-    def decorated(c: Column) -> Column:
-        return F.struct(
-            (-tx.share_contained(F.col("_terms"), F.lower(c["content"]))).alias("overlap"),
-            (-F.length(c["content"])).alias("length"),
-            c["chunk_index"].alias("chunk_index"),
-            c["document_id"].alias("document_id"),
-        )
-
-    long = F.filter("_pool", lambda c: F.length(tx.strip(c["content"])) >= shortest)
-    preferred = F.when(F.size(long) >= min(4, count // 2), long).otherwise(F.col("_pool"))
-    best = F.slice(F.array_sort(F.transform(preferred, decorated)), 1, count)
+    pool = chunks.filter(F.col("source_path").ilike(pattern)).select(*CHUNK_KEY, "content")
+    long = F.length(tx.strip(F.col("content"))) >= shortest
+    size = pool.agg(F.count(F.lit(1)).alias("n"), F.count_if(long).alias("long")).first()
+    if size["long"] >= min(4, count // 2):
+        pool = pool.filter(long)
+    blocks = max(1, -(-size["n"] // OVERVIEW_BLOCK))
+    asking = queries.filter(tx.is_overview_query(F.col("query"))).select(
+        "query_id",
+        tx.substantive_tokens(F.col("query")).alias("_terms"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block"),
+    )
+    dealt = pool.withColumn("_block", F.pmod(F.xxhash64(*CHUNK_KEY), F.lit(blocks)))
+    rated = asking.join(dealt.hint("merge"), "_block").select(
+        "query_id", *CHUNK_KEY,
+        tx.share_contained(F.col("_terms"), F.lower("content")).alias("_overlap"),
+        F.length("content").alias("_length"),
+    )
+    order = Window.partitionBy("query_id").orderBy(F.desc("_overlap"), F.desc("_length"), "chunk_index", "document_id")
     return (
-        queries.filter(tx.is_overview_query(F.col("query")))
-        .select("query_id", terms.alias("_terms"))
-        .withColumn("_pool", pool.scalar())
-        .select("query_id", F.posexplode(best))
-        .select("query_id", "col.document_id", "col.chunk_index", (F.col("pos") + 1).alias("front_rank"))
+        rated.withColumn("front_rank", F.row_number().over(order))
+        .filter(F.col("front_rank") <= count)
+        .select("query_id", *CHUNK_KEY, "front_rank")
     )
 
 

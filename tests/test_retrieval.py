@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from borewatch.operators import metrics
 from borewatch.operators import retrieval as rt
 
 DOCS = [
@@ -104,3 +105,28 @@ def test_hybrid_answers(spark, chunks):
 def test_weak_evidence_relief(spark):
     df = spark.createDataFrame([(0.38, 0.0), (0.37, 0.18), (0.37, 0.17), (0.23, 0.9)], "c DOUBLE, r DOUBLE")
     assert [r[0] for r in df.select(rt.weak_evidence(F.col("c"), F.col("r"))).collect()] == [False, False, True, True]
+
+
+def test_every_overview_chunk_is_ranked(spark, chunks):
+    filler = spark.range(300).select(
+        F.lit("z").alias("document_id"), F.col("id").cast("int").alias("chunk_index"),
+        F.when(F.col("id") == 299, "highest peak wells " * 20).otherwise(F.repeat(F.lit("x "), 100)).alias("content"),
+        F.lit("a/Field_Overview_z.md").alias("source_path"),
+    )
+    queries = ask(spark, "which well has the highest peak", "pump failure").select("query_id", "query")
+    front = sorted(tuple(r) for r in rt.overview_front(queries, filler, count=3).select("query_id", "chunk_index", "front_rank").collect())
+    assert front == [(0, 0, 2), (0, 1, 3), (0, 299, 1)]
+
+
+def test_gold_names_match_by_base_or_ending(spark):
+    sources = spark.createDataFrame(
+        [("a", "x/y/Report_1.md"), ("b", "1.md"), ("c", None), ("d", ""), ("e", "q/other.md")], "document_id STRING, source_path STRING"
+    )
+    found = spark.createDataFrame([(q, d) for q in (0, 1, 2) for d in "abcde"] + [(0, "a")], "query_id INT, document_id STRING")
+    gold = spark.createDataFrame([(0, " z/REPORT_1.md/ "), (1, "1.md"), (2, None)], "query_id INT, source STRING")
+    got = sorted(tuple(r) for r in metrics.gold_matches(found, sources, gold).collect())
+    assert got == [(0, "a"), (0, "b"), (1, "a"), (1, "b")]
+    weak = found.select("query_id").distinct().withColumn("weak_evidence", F.col("query_id") == 2)
+    audit = metrics.retrieval_audit(metrics.gold_per_query(weak, found, sources, gold)).first()
+    assert (audit["queries_with_gold"], audit["query_hits"], audit["chunk_hits"], audit["chunk_misses"]) == (2, 2, 5, 11)
+    assert audit["miss_and_weak_evidence"] == 1 and audit["retrieval_recall"] == 1.0
