@@ -116,16 +116,16 @@ def explode_chunks(
     )
 
 
-def well_id(text: Column) -> Column:
-    """Well id by the first pattern that matches in the first 1,000 characters, else null."""
-    head = F.substring(text, 1, 1000)
+def well_id(text: Column, head_chars: int | None = None) -> Column:
+    """Well id by the first pattern that matches, else null; in the whole text, or its first `head_chars` characters."""
+    head = text if head_chars is None else F.substring(text, 1, head_chars)
     found = [F.nullif(F.regexp_extract(head, f"(?U){p}", 1), F.lit("")) for p in WELL_ID_PATTERNS]
     return F.coalesce(*found)
 
 
-def field_name(text: Column) -> Column:
-    """First known field named in the first 2,000 characters, else null."""
-    head = F.lower(F.substring(text, 1, 2000))
+def field_name(text: Column, head_chars: int | None = None) -> Column:
+    """First known field named in the whole text, or in its first `head_chars` characters, else null."""
+    head = F.lower(text if head_chars is None else F.substring(text, 1, head_chars))
     return F.coalesce(*[F.when(head.contains(name.lower()), F.lit(name)) for name in FIELD_NAMES])
 
 

@@ -203,12 +203,12 @@ registered AS (
     coalesce(nullif(trim(regexp_extract(text, '(?m)^\s*#{1,2} (.*)$', 1)), ''), regexp_extract(path, '([^/]+)\.md$', 1)) AS title,
     CASE WHEN path LIKE '%well_reports%' THEN 'Well Report' WHEN path LIKE '%maintenance_logs%' THEN 'Maintenance Log'
          WHEN path LIKE '%hse_procedures%' THEN 'HSE Procedure' ELSE 'Document' END AS doc_type,
-    coalesce(nullif(regexp_extract(substr(text, 1, 1000), '\*\*Well ID:\*\*\s*([\w/\-]+)', 1), ''),
-             nullif(regexp_extract(substr(text, 1, 1000), 'Well ID[:\s]+([\w/\-]+)', 1), ''),
-             nullif(regexp_extract(substr(text, 1, 1000), '\b(1[45]/\d+-[A-Z]-\d+[A-Z]?)\b', 1), ''),
-             nullif(regexp_extract(substr(text, 1, 1000), '\b([A-Z]{1,3}-\d+[A-Z]{0,2}H?)\b', 1), '')) AS well_id,
-    CASE WHEN contains(lower(substr(text, 1, 2000)), 'draugen') THEN 'Draugen' WHEN contains(lower(substr(text, 1, 2000)), 'volve') THEN 'Volve'
-         WHEN contains(lower(substr(text, 1, 2000)), 'gullfaks') THEN 'Gullfaks' WHEN contains(lower(substr(text, 1, 2000)), 'oseberg') THEN 'Oseberg' END AS field_name
+    coalesce(nullif(regexp_extract(text, '\*\*Well ID:\*\*\s*([\w/\-]+)', 1), ''),
+             nullif(regexp_extract(text, 'Well ID[:\s]+([\w/\-]+)', 1), ''),
+             nullif(regexp_extract(text, '\b(1[45]/\d+-[A-Z]-\d+[A-Z]?)\b', 1), ''),
+             nullif(regexp_extract(text, '\b([A-Z]{1,3}-\d+[A-Z]{0,2}H?)\b', 1), '')) AS well_id,
+    CASE WHEN contains(lower(text), 'draugen') THEN 'Draugen' WHEN contains(lower(text), 'volve') THEN 'Volve'
+         WHEN contains(lower(text), 'gullfaks') THEN 'Gullfaks' WHEN contains(lower(text), 'oseberg') THEN 'Oseberg' END AS field_name
   FROM corpus),
 pieces AS (SELECT r.*, unnest(string_split(text, E'\n## ')) AS piece, generate_subscripts(string_split(text, E'\n## '), 1) AS no FROM registered r),
 parts AS (
