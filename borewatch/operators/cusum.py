@@ -43,6 +43,7 @@ def with_streaks(series: KeyedSeries, flag: Column, out: str = "streak") -> Keye
 
 def bursts(series: KeyedSeries, flag: Column) -> DataFrame:
     """Runs of consecutive flagged rows per key: burst_start, burst_end (exclusive), rows."""
+    series.demand(1)
     window = series.window()
     marked = series.transform(
         lambda df: df.withColumn("_flag", F.coalesce(flag, F.lit(False))).withColumn(

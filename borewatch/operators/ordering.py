@@ -62,8 +62,8 @@ class KeyedSeries:
             placed = df.withColumn(POS, F.row_number().over(by_key).cast("long"))
             return cls(_one_block(placed), keys, False, block_rows, halo)
         large = small_side(large.select(*keys), found["keys"])
-        small_rows = df.join(large, keys, "left_anti").withColumn(POS, F.row_number().over(by_key).cast("long"))
-        large_rows = _range_ordinals(df.join(large, keys, "left_semi"), keys, order, found, block_rows)
+        small_rows = join_null_safe(df, large, keys, "left_anti").withColumn(POS, F.row_number().over(by_key).cast("long"))
+        large_rows = _range_ordinals(join_null_safe(df, large, keys, "left_semi"), keys, order, found, block_rows)
         placed = small_rows.unionByName(large_rows.select(*small_rows.columns))
         return cls(_blocks(placed, block_rows, halo), keys, True, block_rows, halo)
 
@@ -85,10 +85,14 @@ class KeyedSeries:
 
     def trailing(self, first: int, last: int) -> WindowSpec:
         """Frame from `first` to `last` rows relative to the current one (both <= 0)."""
-        if self.split and -first > self.halo:
-            raise ValueError(f"frame of {-first} rows needs a halo of as many rows, got {self.halo}")
+        self.demand(-first)
         return self.window().rowsBetween(first, last)
 
+    def demand(self, rows: int) -> None:
+        """Refuse a frame of more rows than the halo, whether or not a key is cut into blocks."""
+        if rows > self.halo:
+            raise ValueError(f"frame of {rows} rows needs a halo of as many rows, got {self.halo}")
+
     def transform(self, step: Callable[[DataFrame], DataFrame]) -> "KeyedSeries":
         return replace(self, df=step(self.df))
 
@@ -112,7 +116,7 @@ class KeyedSeries:
             .agg(combine("_own").alias("_total"))
             .select(*self.group, combine("_total").over(earlier).alias("_before"))
         )
-        joined = local.join(totals, self.group, "left")
+        joined = join_null_safe(local, totals, self.group, "left")
         if how == "sum":
             value_upto = F.coalesce(F.col(out), F.lit(0)) + F.coalesce(F.col("_before"), F.lit(0))
         else:
@@ -138,6 +142,13 @@ def _blocks(placed: DataFrame, block_rows: int, halo: int) -> DataFrame:
     return placed.withColumn("_copy", F.explode(copies)).select("*", "_copy.*").drop("_copy")
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on `keys` of both sides where null meets null; the keys of the left side stay."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(named, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast only for a counted, small side; otherwise leave the join to the optimizer."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -164,7 +175,7 @@ def _range_ordinals(df: DataFrame, keys: list[str], order: list[str], found: Row
     )
     first = ranked.groupBy(*keys).agg(F.min("_rank").alias("_first"))
     return (
-        ranked.join(small_side(first, found["keys"]), keys)
+        join_null_safe(ranked, small_side(first, found["keys"]), keys)
         .withColumn(POS, F.col("_rank") - F.col("_first") + 1)
         .drop("_rid", "_part", "_offset", "_rank", "_first")
     )

@@ -90,6 +90,7 @@ def short_window_z(series: KeyedSeries, features: list[str], window: Column, lon
 
 def find_gaps(series: KeyedSeries, ts: str, gap_hours: float = 2.0, keep: int | None = 10) -> DataFrame:
     """Pauses between consecutive readings longer than `gap_hours`; the first `keep` per key."""
+    series.demand(1)
     window = series.window()
     previous = series.transform(
         lambda df: df.withColumn("gap_from", F.lag(ts).over(window))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from borewatch.operators import cusum, rolling
+from borewatch.operators import cusum, metrics, rolling
 from borewatch.operators.ordering import BLOCK, HALO, POS, KeyedSeries
 from borewatch.schema import FEATURES
 from tests.series import noisy
@@ -55,6 +55,10 @@ def test_halo_is_checked(readings):
     cut = KeyedSeries.build(readings, ["well_id"], ["timestamp"], 10, block_rows=64)
     with pytest.raises(ValueError):
         cut.trailing(-30, -1)
+    with pytest.raises(ValueError):
+        KeyedSeries.build(readings, ["well_id"], ["timestamp"], 10).trailing(-30, -1)
+    with pytest.raises(ValueError):
+        cusum.bursts(KeyedSeries.build(readings, ["well_id"], ["timestamp"]), F.lit(True))
     with pytest.raises(ValueError):
         KeyedSeries.build(readings, ["well_id"], ["timestamp"], halo=100, block_rows=50)
 
@@ -89,3 +93,21 @@ def test_cusum_equals_the_recursion(readings):
     for row in rows:
         state = max(0.0, state + row["z_bhp_psi"] - 0.5)
         assert row["s"] == pytest.approx(state, abs=1e-6)
+
+
+def test_rows_without_a_key_are_cut_too(readings):
+    nameless = readings.withColumn("well_id", F.when(F.col("well_id") != "W-hot", F.col("well_id")))
+    whole, cut = both(nameless, 30)
+    assert cut.df.filter("well_id IS NULL").select(BLOCK).distinct().count() == 15
+    a, b = (s.running(F.lit(1), "n") for s in (whole, cut))
+    same(a, b, ["n", POS])
+    a, b = (rolling.rolling_z(s, FEATURES, 1) for s in (whole, cut))
+    same(a.transform(lambda df: df.withColumn("well_id", F.coalesce("well_id", F.lit("-")))), b.transform(lambda df: df.withColumn("well_id", F.coalesce("well_id", F.lit("-")))), ["well_id", POS, *[f"z_{f}" for f in FEATURES]])
+
+
+def test_area_does_not_depend_on_blocks(spark):
+    rows = spark.range(500).select(
+        (F.col("id") % 2).cast("string").alias("k"), (F.xxhash64("id") % 200).alias("s"), (F.xxhash64("id", F.lit(1)) % 3 == 0).alias("y")
+    )
+    a, b = (sorted(metrics.roc_auc(rows, "s", F.col("y"), ["k"], **o).collect()) for o in ({}, {"block_rows": 16}))
+    assert a == b and len(a) == 2
