@@ -74,8 +74,9 @@ def alerts_v1(
     key: str = "well_id",
     ts: str = "timestamp",
     field: str = "field_name",
+    extra: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Anomalous readings as alert rows (the ALERT schema plus the row ordinal)."""
+    """Anomalous readings as alert rows (the ALERT schema plus the row ordinal and the columns named in `extra`)."""
     forest, max_z = F.col("if_score"), F.col("max_z")
     well = F.col(key).cast("string")
     staged = (
@@ -103,6 +104,7 @@ def alerts_v1(
             well, F.col("severity"), F.col("affected_features"), F.col("deviation_pct"), F.col("current_values")
         ).alias("description"),
         F.col(POS).alias("ordinal"),
+        *extra,
     )
 
 
@@ -299,8 +301,9 @@ def alerts_v2(
     field: str = "field_name",
     price: float = OIL_PRICE,
     fix_collapse: bool = False,
+    extra: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Alerting rows -> adaptive alert rows (the ADAPTIVE_ALERT schema plus the row ordinal)."""
+    """Alerting rows -> adaptive alert rows (the ADAPTIVE_ALERT schema plus the row ordinal and the columns in `extra`)."""
     max_z = sev.max_of([F.col(f"z_{f}") for f in features])
     drift = sev.max_of([F.col(f"cusum_{f}") for f in features])
     ceiling = sev.max_of([F.col(f"threshold_{f}") for f in features])
@@ -342,6 +345,7 @@ def alerts_v2(
         per_feature("z").alias("per_feature_zscore"),
         per_feature("cusum").alias("per_feature_cusum"),
         F.col(POS).alias("ordinal"),
+        *extra,
     )
 
 

@@ -274,9 +274,8 @@ FROM b WHERE max_z >= 2""",
 def detect_v1_statistical(spark: SparkSession, folder: str) -> DataFrame:
     series = detect.v1_series(telemetry(spark, folder), order=TELEMETRY_ORDER, use_forest=False)
     diagnosed = detect.diagnose_v1(series, use_forest=False)
-    flat = _flat_alerts(detect.alerts_v1(diagnosed))
-    ids = diagnosed.rows().select("well_id", F.col(POS).alias("ordinal"), "reading_id")
-    return flat.join(ids, ["well_id", "ordinal"]).select(
+    flat = _flat_alerts(detect.alerts_v1(diagnosed, extra=("reading_id",)))
+    return flat.select(
         "well_id", "ordinal", "reading_id", "severity", "anomaly_score", "affected_features", "deviation_pct"
     )
 
@@ -337,7 +336,7 @@ def _alerts_v2_sql() -> str:
 FROM fold JOIN live USING (well_id, pos) WHERE alert"""
 
 
-def _v2_sql(train: bool) -> str:
+def v2_sql(train: bool) -> str:
     zs = z_sql(FEATURES, "well_id", _WELL_ORDER, 30, 2, "telemetry")
     step = " OR ".join(f"z_{f} >= threshold_{f}" for f in FEATURES)
     if train:
@@ -356,13 +355,12 @@ live AS MATERIALIZED (SELECT *, {step} AS step, {step} AS raw_flag FROM (
 {_alerts_v2_sql()}"""
 
 
-def _flat_v2(alerts: DataFrame, source: DataFrame) -> DataFrame:
+def flat_v2(alerts: DataFrame) -> DataFrame:
     return (
         _flat_alerts(alerts)
         .withColumn("revenue_at_risk_usd_per_day", F.col("economic_impact.revenue_at_risk_usd_per_day"))
         .withColumn("oil_loss_bopd", F.col("economic_impact.oil_loss_bopd"))
         .withColumn("water_excess_bbl_per_day", F.col("economic_impact.water_excess_bbl_per_day"))
-        .join(source, ["well_id", "ordinal"])
         .select(
             "well_id", "ordinal", "reading_id", "severity", "anomaly_type", "anomaly_score", "affected_features",
             "deviation_pct", "cusum_triggered", "step_change_triggered", "consecutive_days",
@@ -383,18 +381,17 @@ def v2_series(spark: SparkSession, folder: str, halo: int, block_rows: int = det
     return KeyedSeries.build(telemetry(spark, folder), ["well_id"], TELEMETRY_ORDER, halo, block_rows)
 
 
-@query("detect_v2_cold", _v2_sql(train=False))
+@query("detect_v2_cold", v2_sql(train=False))
 def detect_v2_cold(spark: SparkSession, folder: str) -> DataFrame:
-    series = v2_series(spark, folder, 32)
-    ids = series.rows().select("well_id", F.col(POS).alias("ordinal"), "reading_id")
-    return _flat_v2(detect.alerts_v2(detect.fold_series_v2(series)), ids)
+    folded = detect.fold_series_v2(v2_series(spark, folder, 32))
+    return flat_v2(detect.alerts_v2(folded, extra=("reading_id",)))
 
 
-@query("detect_v2_trained", _v2_sql(train=True))
+@query("detect_v2_trained", v2_sql(train=True))
 def detect_v2_trained(spark: SparkSession, folder: str) -> DataFrame:
     series = with_train_mark(v2_series(spark, folder, 32))
-    ids = series.rows().select("well_id", F.col(POS).alias("ordinal"), "reading_id")
-    return _flat_v2(detect.alerts_v2(detect.fold_series_v2(series, is_train="is_train", use_forest=False)), ids)
+    folded = detect.fold_series_v2(series, is_train="is_train", use_forest=False)
+    return flat_v2(detect.alerts_v2(folded, extra=("reading_id",)))
 
 
 @query("detect_v2_forest")

@@ -43,3 +43,36 @@ def test_copies_are_dropped(spark, tmp_path):
     stream = spark.readStream.schema("alert_id STRING, timestamp TIMESTAMP").json(str(tmp_path / "in"))
     once = jobs.run_to_end(detector.deduplicated(stream, "1 day"), str(tmp_path / "out"), str(tmp_path / "state"))
     assert once.select(F.count_distinct("alert_id"), F.count("*")).first() == (3, 3)
+
+
+def test_late_rows_are_marked_and_kept(spark, tmp_path):
+    base, source = f"{tmp_path}/late", f"{tmp_path}/in"
+    batches = [[("a", 10), ("b", 20)], [("c", 12), ("d", 13), ("e", None)], [("f", 40)], [("g", 13), ("h", 33)]]
+    for batch in batches:
+        rows = [(i, None if h is None else f"2024-01-{1 + h // 24:02d} {h % 24:02d}:00:00") for i, h in batch]
+        frame = spark.createDataFrame(rows, "id string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+        frame.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(frame.schema).parquet(source)
+        out = jobs.quarantine_late(stream, "ts", "8 hours", f"{base}/out", f"{base}/state")
+    found = {r["id"]: r["late"] for r in out.collect()}
+    # limits: none, 12, 12, 32
+    assert found == {"a": False, "b": False, "c": False, "d": False, "e": False, "f": False, "g": True, "h": False}
+
+
+def test_stored_thresholds_and_training_rows(spark, tmp_path):
+    frame = noisy(2, 200, shift_at=170)
+    frame["n"] = frame.groupby("well_id").cumcount()
+    df = spark.createDataFrame(frame).withColumn("is_train", F.col("n") < 140)
+    series = detect.KeyedSeries.build(df, ["well_id"], ["timestamp"], 32)
+    sizes = df.groupBy("well_id").agg(F.count_if("is_train").alias("train_rows"))
+    known = detect.calibrate(series.transform(lambda rows: rows.join(sizes, "well_id")), train_rows="train_rows")
+    known.write.parquet(f"{tmp_path}/thresholds")
+    df.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    thresholds = spark.read.parquet(f"{tmp_path}/thresholds")
+    live = detector.detect_stream_v2(stream, thresholds=thresholds, is_train="is_train", carry=("n",))
+    alerts = jobs.run_to_end(live, f"{tmp_path}/out", f"{tmp_path}/state")
+    batch = detect.alerts_v2(detect.fold_series_v2(series, is_train="is_train", use_forest=False), extra=("n",))
+    columns = ["alert_id", "ordinal", "n", "severity", "anomaly_score", "description"]
+    assert sorted(alerts.select(*columns).collect()) == sorted(batch.select(*columns).collect())
+    assert alerts.count() > 0
