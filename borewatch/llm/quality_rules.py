@@ -8,6 +8,8 @@ enough; documents of other languages, or of none, are compared with the mean of
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +34,10 @@ COMMON = {
 N_COMMON = 16
 LONGEST_COMMON = max(len(w.encode()) for own in COMMON.values() for w in own)
 ANY = "*"
-#: The farthest distances that are kept, and the least characters and words at which each distance is looked at.
-MOST_CLASS, MOST_WORD = 0.3, 0.8
-LEAST_CHARS, LEAST_WORDS = 100, 200
+#: The farthest distances that are kept, and the least characters at which classes are looked at. By words, the limit is
+#: a share of the language's bare distance, which a text without any common word has, and what chance adds to it.
+MOST_CLASS, MOST_WORD = 0.3, 0.6
+LEAST_CHARS = 100
 #: Base rules.
 MIN_WORDS, MOST_REPEATED_PERCENT = 50, 50
 SYMBOLS = r"[#*$%&|<>]"
@@ -165,7 +168,15 @@ def references(seen: DataFrame) -> DataFrame:
         )
 
     own = means(long_enough.where(F.col("ref") != ANY), F.col("ref"))
-    return own.unionByName(means(long_enough, F.lit(ANY)))
+    bare = F.lit([0.0] * N_COMMON + [1.0])
+    return own.unionByName(means(long_enough, F.lit(ANY))).withColumn("bare", distance(bare, F.col("common_ref")))
+
+
+def too_far_by_words(most_word: float) -> Column:
+    """Squared distances add up: the share of the bare distance, and the mean distance of as many words drawn from the
+    reference by chance, which narrows with length. Where chance alone reaches the bare distance, none is too far."""
+    chance = N_COMMON / (8 * math.log(2) * F.col("n_words"))
+    return F.pow("word_distance", F.lit(2)) > F.pow(most_word * F.col("bare"), F.lit(2)) + chance
 
 
 def assess(
@@ -182,7 +193,7 @@ def assess(
 
     Base rules: at least 50 words, at most half of them in repeated windows. The verdict on the others: kept unless the
     class distance is above `most_class` in a text of LEAST_CHARS characters or more, or the word distance above
-    `most_word` in one of LEAST_WORDS words or more. Null and empty texts have no words, so the base rules reject them.
+    `most_word` of what a text without common words has, with room for chance in short texts. Null and empty texts have no words, so the base rules reject them.
     A null or unlisted language is compared with the mean of all. With no usable document there is no reference, the
     distances are null and nothing is rejected beyond the base rules. Repeated rows are judged alike; ids are not
     looked at, so they may be null or repeat; empty tables give no rows. `carry` adds the whole row as `carried`.
@@ -206,7 +217,7 @@ def assess(
         }
     )
     far = ((F.col("word_chars") >= LEAST_CHARS) & (F.col("class_distance") > most_class)) | (
-        (F.col("ref") != ANY) & (F.col("n_words") >= LEAST_WORDS) & (F.col("word_distance") > most_word)
+        (F.col("ref") != ANY) & too_far_by_words(most_word)
     )
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

@@ -115,6 +115,24 @@ def test_quality_divergence(spark, no_docs):
     assert quality_rules.assess(no_docs).count() == 0
 
 
+def sentences(rng, words, n):
+    return ". ".join(" ".join(rng.choices(words, k=12)).capitalize() for _ in range(n)) + "."
+
+
+def test_quality_word_soup(spark):
+    import random
+
+    rng = random.Random(4)
+    rare = [f"{a}{b}" for a in ("river", "stone", "winter", "cloud", "garden") for b in ("y", "er", "let", "ing", "ful", "less")]
+    common = "the of and to a in that is was for it with as on be at".split()
+    rows = [(i, sentences(rng, common * 3 + rare, 8 + i), "en") for i in range(60)]
+    rows += [(100 + k, sentences(rng, rare, 8 + 10 * k), "en") for k in range(4)]
+    out = {r.doc_id: r for r in quality_rules.assess(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(out[i].kept for i in range(60))
+    for i in range(100, 104):
+        assert not out[i].base_failed and out[i].class_distance < 0.2 and not out[i].kept
+
+
 def test_kept_rows_keep_their_columns(docs):
     assert quality_rules.kept(docs).columns == docs.columns
 
