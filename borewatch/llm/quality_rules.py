@@ -3,17 +3,19 @@
 A document is compared with its language: the histogram of its character classes and the histogram of its common
 words, each by Jensen-Shannon distance (square root of the divergence in base 2, so 0 to 1) from the reference of the
 language. A reference is the mean histogram of all documents of the language that pass the base rules and are long
-enough; documents of other languages, or of none, are compared with the mean of all languages, by characters alone.
+enough, and the common words of a language are those with most share in its documents; languages are the values of the
+column. Documents of no language are compared by characters alone, with the mean of all whose script has case, or of all
+whose script has none. Where too few documents make a reference, there is none, and nothing is rejected by distance.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from borewatch.llm.common import WHITE, carried, let, materialise, words
+from borewatch.llm.common import WHITE, carried, join_counted, let, materialise, words
 
 #: Character classes besides small letters, each a pattern; a last class takes what none of them does.
 CLASSES = (
@@ -24,16 +26,12 @@ CLASSES = (
     r"[#*$%&|<>@^~_=+\\/{}\[\]]+",
 )
 N_CLASSES = len(CLASSES) + 2
-#: Common words by language.
-COMMON = {
-    "en": "the of and to a in that is was for it with as on be at".split(),
-    "de": "der die und in den von zu das mit sich des auf für ist im dem".split(),
-    "fr": "de la le et les des en un du une que est pour qui dans par".split(),
-    "es": "de la que el en y a los se del las un por con no una".split(),
-}
-N_COMMON = 16
-LONGEST_COMMON = max(len(w.encode()) for own in COMMON.values() for w in own)
-ANY = "*"
+#: Common words of a language, the longest (in bytes) that is looked at, and the parts that a document's words share.
+N_COMMON, LONGEST_COMMON, PARTS = 16, 24, 10**9
+#: References of documents without a language; those of languages begin with "=".
+CASE, NO_CASE = "case", "no case"
+#: The least documents that make a reference.
+LEAST_DOCS = 20
 #: The farthest distances that are kept, and the least characters at which classes are looked at. By words, the limit is
 #: a share of the language's bare distance, which a text without any common word has, and what chance adds to it.
 MOST_CLASS, MOST_WORD = 0.3, 0.6
@@ -50,22 +48,42 @@ def class_counts(n_chars: Column, rest: Column) -> Column:
     return F.concat(F.array(n_chars - F.length(rest)), other)
 
 
-def common_words(ref: Column) -> Column:
-    """The list of the language; null for all others."""
-    listed = None
-    for name, own in COMMON.items():
-        listed = (F if listed is None else listed).when(ref == F.lit(name), F.lit(own))
-    return listed
+def common_words(docs: DataFrame, *, text: str, lang: str) -> DataFrame:
+    """A row for each language: ref, listed (N_COMMON words with a letter, filled up with empty ones), longest in bytes.
+
+    Every document counts alike, however long; only those with too few words for the base rules are left out. Sums of
+    whole parts don't depend on order, and each task ranks its own words before they are dealt out by language.
+    """
+    read = docs.where(F.col(lang).isNotNull()).select(ref_of(lang).alias("ref"), words(F.col(text)).alias("w"))
+    read = read.where(F.size("w") >= MIN_WORDS)
+    each = read.select("ref", F.expr(f"{PARTS} div size(w)").alias("part"), F.explode("w").alias("word"))
+    each = each.where(F.octet_length("word") <= LONGEST_COMMON)
+    mass = each.groupBy("ref", "word").agg(F.sum("part").alias("mass"))
+    mass = mass.where(F.col("word").rlike(r"\p{L}"))
+    order = Window.partitionBy("ref").orderBy(F.desc("mass"), "word")
+    best = mass.withColumn("at", F.row_number().over(order)).where(F.col("at") <= N_COMMON)
+    lists = best.groupBy("ref").agg(F.sort_array(F.collect_list(F.struct("at", "word"))).alias("best"))
+    listed = F.transform("best", lambda x: x["word"])
+    return lists.select(
+        "ref",
+        F.concat(listed, F.array_repeat(F.lit(""), F.lit(N_COMMON) - F.size(listed))).alias("listed"),
+        F.array_max(F.transform(listed, lambda w: F.octet_length(w))).alias("longest"),
+    )
 
 
-def common_counts(found: Column, listed: Column) -> Column:
-    """How often each listed word is among the words; the last entry is all others."""
+def ref_of(lang: str) -> Column:
+    """The language's own reference; null where there is no language."""
+    return F.concat(F.lit("="), F.col(lang).cast("string"))
+
+
+def common_counts(found: Column, listed: Column, longest: Column) -> Column:
+    """How often each listed word is among the words; the last entry is all others. Nothing without a list."""
 
     def tally(hits: Column) -> Column:
         each = F.transform(listed, lambda w: F.size(hits) - F.size(F.array_remove(hits, w)))
         return F.concat(each, F.array(F.size(found) - F.size(hits)))
 
-    hits = F.filter(found, lambda w: (F.octet_length(w) <= LONGEST_COMMON) & F.array_contains(listed, w))
+    hits = F.filter(found, lambda w: (F.octet_length(w) <= longest) & F.array_contains(listed, w))
     return F.when(listed.isNull(), F.array().cast("array<int>")).otherwise(let(hits, tally))
 
 
@@ -127,20 +145,21 @@ def distance(p: Column, q: Column) -> Column:
         return F.when(a > 0, a * F.log2(2 * a / (a + b))).when(a.isNotNull() & b.isNotNull(), F.lit(0.0))
 
     terms = F.zip_with(p, q, lambda a, b: (part(a, b) + part(b, a)) / 2)
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
+    total = F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
+    return let(total, lambda t: F.when(t.isNotNull(), F.sqrt(F.greatest(t, F.lit(0.0)))))
 
 
 def features(docs: DataFrame, *, text: str, doc_id: str, lang: str, carry: bool) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
-    known = F.when(F.col(lang).isin(*COMMON), F.col(lang)).otherwise(F.lit(ANY))
     read = docs.select(
         F.col(doc_id).alias("doc_id"),
         body.alias("body"),
         words(F.col(text)).alias("w"),
-        known.alias("ref"),
+        ref_of(lang).alias("ref"),
         *(carried(docs)[:1] if carry else []),
     )
-    read = read.withColumns({"dense": F.array_join("w", ""), "listed": common_words(F.col("ref"))})
+    lists = materialise(common_words(docs, text=text, lang=lang))
+    read = join_counted(read, lists, ["ref"]).withColumn("dense", F.array_join("w", ""))
     read = read.withColumn("rest", F.regexp_replace("dense", r"\p{Ll}+", ""))
     return read.select(
         "doc_id",
@@ -151,25 +170,35 @@ def features(docs: DataFrame, *, text: str, doc_id: str, lang: str, carry: bool)
         repeated_words(F.col("w")).cast("long").alias("n_repeat_words"),
         "ref",
         class_counts(F.length("dense"), F.col("rest")).alias("classes"),
-        common_counts(F.col("w"), F.col("listed")).alias("common"),
+        common_counts(F.col("w"), F.col("listed"), F.col("longest")).alias("common"),
         *(["carried"] if carry else []),
     )
 
 
+def any_of(classes: Column) -> Column:
+    """The reference of documents without a language: by whether most letters have case. Letters without case are in
+    the last class."""
+    return F.when(F.get(classes, F.lit(N_CLASSES - 1)) > F.get(classes, F.lit(0)) + F.get(classes, F.lit(1)), NO_CASE).otherwise(CASE)
+
+
 def references(seen: DataFrame) -> DataFrame:
-    """A row for each of the languages of COMMON and one for all: mean shares of classes and common words."""
+    """A row for each language, and one for each kind of script: mean shares of classes and common words, and the bare
+    distance; none from fewer than LEAST_DOCS documents."""
     long_enough = seen.where((~F.col("base_failed")) & (F.col("word_chars") >= LEAST_CHARS))
     classes, common = F.col("class_shares"), F.col("common_shares")
 
     def means(rows: DataFrame, ref: Column) -> DataFrame:
-        return rows.groupBy(ref.alias("ref")).agg(
+        found = rows.groupBy(ref.alias("ref")).agg(
             F.array(*(F.avg(F.get(classes, F.lit(i))) for i in range(N_CLASSES))).alias("class_ref"),
             F.array(*(F.avg(F.get(common, F.lit(i))) for i in range(N_COMMON + 1))).alias("common_ref"),
+            F.count("*").alias("n"),
         )
+        return found.where(F.col("n") >= LEAST_DOCS).drop("n")
 
-    own = means(long_enough.where(F.col("ref") != ANY), F.col("ref"))
+    own = means(long_enough.where(F.col("has_lang")), F.col("ref"))
     bare = F.lit([0.0] * N_COMMON + [1.0])
-    return own.unionByName(means(long_enough, F.lit(ANY))).withColumn("bare", distance(bare, F.col("common_ref")))
+    both = own.unionByName(means(long_enough, any_of(classes)))
+    return both.withColumn("bare", distance(bare, F.col("common_ref")))
 
 
 def too_far_by_words(most_word: float) -> Column:
@@ -194,8 +223,9 @@ def assess(
     Base rules: at least 50 words, at most half of them in repeated windows. The verdict on the others: kept unless the
     class distance is above `most_class` in a text of LEAST_CHARS characters or more, or the word distance above
     `most_word` of what a text without common words has, with room for chance in short texts. Null and empty texts have no words, so the base rules reject them.
-    A null or unlisted language is compared with the mean of all. With no usable document there is no reference, the
-    distances are null and nothing is rejected beyond the base rules. Repeated rows are judged alike; ids are not
+    A null language has no word distance, and its class distance is from all texts whose letters have case, or have none.
+    With fewer than LEAST_DOCS usable documents there is no reference, the distances are null and nothing of that
+    language is rejected beyond the base rules. Repeated rows are judged alike; ids are not
     looked at, so they may be null or repeat; empty tables give no rows. `carry` adds the whole row as `carried`.
     """
     seen = features(docs, text=text, doc_id=doc_id, lang=lang, carry=carry)
@@ -205,19 +235,19 @@ def assess(
             "base_failed": failed,
             "class_shares": shares(F.col("classes")),
             "common_shares": shares(F.col("common")),
+            "has_lang": F.col("ref").isNotNull(),
         }
     ).drop("classes", "common")
+    seen = seen.withColumn("ref", F.coalesce("ref", any_of(F.col("class_shares"))))
     seen = materialise(seen)
-    # five rows at most, whatever the corpus
-    refs = F.broadcast(references(seen))
-    out = seen.join(refs, "ref", "left").withColumns(
+    out = join_counted(seen, materialise(references(seen)), ["ref"]).withColumns(
         {
             "class_distance": distance(F.col("class_shares"), F.col("class_ref")),
             "word_distance": distance(F.col("common_shares"), F.col("common_ref")),
         }
     )
     far = ((F.col("word_chars") >= LEAST_CHARS) & (F.col("class_distance") > most_class)) | (
-        (F.col("ref") != ANY) & too_far_by_words(most_word)
+        F.col("has_lang") & too_far_by_words(most_word)
     )
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

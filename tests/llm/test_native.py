@@ -133,6 +133,30 @@ def test_quality_word_soup(spark):
         assert not out[i].base_failed and out[i].class_distance < 0.2 and not out[i].kept
 
 
+def test_quality_of_other_languages(spark):
+    """Languages without any list beforehand, a script without case, and no language; soup of each, and a rare tongue."""
+    import random
+
+    rng = random.Random(5)
+    latin = "ja on ei se että hän oli mutta niin kun mitä sitä tai vain jos sen".split()
+    rare = [f"{a}{b}" for a in ("talo", "kivi", "joki", "pilvi", "metsä") for b in ("ssa", "lla", "n", "t", "sta", "lle")]
+    arabic = "في من على أن إلى كان هذا التي عن مع قد لم هو بعد ما كل".split()
+    nouns = [a + b for a in ("كتاب", "نهر", "بيت", "شجرة", "طريق") for b in ("نا", "هم", "كم", "ها", "ية", "ون")]
+    rows = []
+    for i in range(40):
+        rows.append((i, sentences(rng, latin * 3 + rare, 10 + i), "fi"))
+        rows.append((100 + i, sentences(rng, arabic * 3 + nouns, 10 + i), "ar"))
+        rows.append((200 + i, sentences(rng, latin * 3 + rare, 10 + i), None))
+        rows.append((300 + i, sentences(rng, arabic * 3 + nouns, 10 + i), None))
+    rows += [(400 + i, sentences(rng, arabic, 10), "rare") for i in range(3)]
+    rows += [(500, sentences(rng, rare, 40), "fi"), (501, sentences(rng, nouns, 40), "ar")]
+    rows += [(502, " ".join(w + "$$$###" for w in rng.choices(latin, k=200)), None)]
+    out = {r.doc_id: r for r in quality_rules.assess(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(r.kept for i, r in out.items() if i < 500)
+    assert out[400].class_distance is None and out[200].word_distance is None
+    assert not any(out[i].kept or out[i].base_failed for i in (500, 501, 502))
+
+
 def test_kept_rows_keep_their_columns(docs):
     assert quality_rules.kept(docs).columns == docs.columns
 
