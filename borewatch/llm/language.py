@@ -18,29 +18,44 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from borewatch.llm.common import hexed_share
-from borewatch.llm.terms import IS_LETTER, PRIME, TO_LOWER, bucket, strips, word_hashes, words_of
+from borewatch.llm.terms import IS_LETTER, PRIME, STRIP, TO_LOWER, bucket, strips, word_hashes, words_of
 from borewatch.session import ship_package
 
 BITS = 18
 NGRAMS, AFFIXES = (2, 3), (1, 2, 3, 4)
-#: Documents learned from for each language, on average, languages at most, and the words of them in a training chain.
-SAMPLE, MOST_LANGUAGES, CHAIN, STRETCH = 300, 64, 48, 16
+#: Documents learned from for each language, on average; documents of all languages, which with many languages leave each
+#: fewer, but LEAST_SAMPLE on average; the words in a training chain and in each of its stretches.
+SAMPLE, SAMPLE_OF_ALL, LEAST_SAMPLE, CHAIN, STRETCH = 300, 9_600, 20, 48, 16
+#: Weights of the feature table: with more than 64 languages it has fewer buckets.
+WEIGHTS = 1 << 24
+#: Bytes of text whose features are held together in training.
+BLOCK_BYTES = 1 << 24
 BATCH, EPOCHS, RATE = 128, 2, 0.3
 UNKNOWN = "und"
-#: Words whose chains run together.
-TOGETHER = 250_000
+#: Words times languages whose chains run together.
+TOGETHER = 1_000_000
 
 
-def read(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
+def bits_for(n_langs: int) -> int:
+    return min(BITS, max(10, (WEIGHTS // max(n_langs, 1)).bit_length() - 1))
+
+
+def strip_for(n_langs: int) -> int:
+    """Bytes of a strip: scores take memory for each word and language."""
+    return STRIP if n_langs <= 16 else max(1 << 12, STRIP * 16 // n_langs)
+
+
+def read(texts: list[bytes], n_langs: int = 1) -> Iterator[tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
     """Strip by strip: the text of each word, and (word, bucket) of its features in groups. Words are runs of letters."""
-    for data, owner in strips(texts):
+    bits = bits_for(n_langs)
+    for data, owner in strips(texts, strip_for(n_langs)):
         data = TO_LOWER[data]
         starts, ends = words_of(IS_LETTER[data])
         if not len(starts):
             continue
         word = np.arange(len(starts))
         sizes = ends - starts
-        found = [(word, bucket(word_hashes(data, starts, ends), 1, BITS))]
+        found = [(word, bucket(word_hashes(data, starts, ends), 1, bits))]
         for side, salt in ((1, 10), (-1, 20)):
             h = np.zeros(len(starts), dtype=np.uint32)
             for k in range(max(AFFIXES)):
@@ -48,7 +63,7 @@ def read(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[tuple[np.ndarray
                 h = h * PRIME + data[np.clip(at, 0, len(data) - 1)] + np.uint32(1)
                 if k + 1 in AFFIXES:
                     own = np.flatnonzero(sizes > k)
-                    found.append((own, bucket(h[own], salt + k, BITS)))
+                    found.append((own, bucket(h[own], salt + k, bits)))
         codes = data.astype(np.uint32) + np.uint32(1)
         letter = IS_LETTER[data]
         of = np.cumsum(np.bincount(starts, minlength=len(data))) - 1
@@ -57,7 +72,7 @@ def read(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[tuple[np.ndarray
             h, inside = h[:-1] * PRIME + codes[n - 1 :], inside[:-1] & letter[n - 1 :]
             if n in NGRAMS:
                 at = np.flatnonzero(inside)
-                found.append((of[at], bucket(h[at], 30 + n, BITS)))
+                found.append((of[at], bucket(h[at], 30 + n, bits)))
         yield owner[starts], found
 
 
@@ -112,62 +127,83 @@ def posteriors(scores: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> np.
     return both / both.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[bytes], langs: np.ndarray, n_langs: int):
-    """Feature table and transition weights: likelihood ascent with adaptive steps."""
-    rng = np.random.default_rng(5)
-    table = np.zeros((1 << BITS, n_langs), dtype=np.float32)
-    power = np.full((1 << BITS, n_langs), 1e-2, dtype=np.float32)
-    moves, m_power = np.zeros((n_langs, n_langs)), np.full((n_langs, n_langs), 1.0)
+def _gather(texts: list[bytes], langs: np.ndarray, n_langs: int):
+    """(language of each word, features in the order of words, where each word's features begin); none without a word."""
     features, labels, n_words = [], [], 0
     for k in range(0, len(texts), 200):
-        for owner, found in read(texts[k : k + 200]):
+        for owner, found in read(texts[k : k + 200], n_langs):
             features += [(w + n_words, f) for w, f in found]
             labels.append(langs[owner + k])
             n_words += len(owner)
     if not n_words:
-        return table, np.ones((n_langs, n_langs))
+        return None
     gold = np.concatenate(labels)
     word = np.concatenate([f[0] for f in features])
     feature = np.concatenate([f[1] for f in features]).astype(np.int64)
     by_word = np.argsort(word, kind="stable")
     word, feature = word[by_word], feature[by_word]
     border = np.searchsorted(word, np.arange(n_words + 1))
-    stretches = np.arange(0, n_words - STRETCH + 1, STRETCH) if n_words >= STRETCH else np.array([0])
-    width = min(STRETCH, n_words)
-    per_chain = CHAIN // STRETCH
-    for epoch in range(EPOCHS):
-        dealt = rng.permutation(stretches)
-        dealt = dealt[: max(per_chain, len(dealt) // per_chain * per_chain)]
-        if len(dealt) < per_chain:
-            dealt = np.resize(dealt, per_chain)
-        chains = dealt.reshape(-1, per_chain)
-        for k in range(0, len(chains), BATCH):
-            own = (chains[k : k + BATCH, :, None] + np.arange(width)).reshape(len(chains[k : k + BATCH]), -1)
-            flat = own.ravel()
-            sizes = border[flat + 1] - border[flat]
-            inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            f = feature[np.repeat(border[flat], sizes) + inner]
-            of = np.repeat(np.arange(len(flat)), sizes)
-            scores = np.stack([np.bincount(of, table[f, s], minlength=len(flat)) for s in range(n_langs)], axis=1)
-            move = np.exp(moves)
-            length = np.full(len(own), own.shape[1])
-            alpha, beta, likely = forward_backward(scores.astype(np.float32), length, move.astype(np.float32))
-            miss = alpha * beta
-            miss /= miss.sum(axis=1, keepdims=True)
-            miss[np.arange(len(flat)), gold[flat]] -= 1
-            used, place = np.unique(f, return_inverse=True)
-            grad = np.stack([np.bincount(place, miss[of, s], minlength=len(used)) for s in range(n_langs)], axis=1)
-            power[used] += grad**2
-            table[used] -= RATE * grad / np.sqrt(power[used])
-            # pairs of neighbours: expected against seen
-            a, b = (x.reshape(len(own), -1, n_langs) for x in (alpha, likely * beta))
-            y = gold[flat].reshape(len(own), -1)
-            pair = a[:, :-1, :, None] * move[None, None] * b[:, 1:, None, :]
-            pair /= pair.sum(axis=(2, 3), keepdims=True)
-            seen = np.bincount(y[:, :-1].ravel() * n_langs + y[:, 1:].ravel(), minlength=n_langs**2).reshape(n_langs, n_langs)
-            g = (pair.sum(axis=(0, 1)) - seen) / y.size
-            m_power += g**2
-            moves -= RATE * g / np.sqrt(m_power)
+    return gold, feature, border
+
+
+def _blocks(texts: list[bytes], rng) -> list[np.ndarray]:
+    """Numbers of texts in blocks of BLOCK_BYTES, dealt out so that each has all languages; one block if they fit."""
+    sizes = np.array([len(x) for x in texts], dtype=np.int64)
+    n = int(-(-sizes.sum() // BLOCK_BYTES))
+    return [np.arange(len(texts))] if n <= 1 else np.array_split(rng.permutation(len(texts)), n)
+
+
+def train(texts: list[bytes], langs: np.ndarray, n_langs: int):
+    """Feature table and transition weights: likelihood ascent with adaptive steps."""
+    rng = np.random.default_rng(5)
+    table = np.zeros((1 << bits_for(n_langs), n_langs), dtype=np.float32)
+    power = np.full((1 << bits_for(n_langs), n_langs), 1e-2, dtype=np.float32)
+    moves, m_power = np.zeros((n_langs, n_langs)), np.full((n_langs, n_langs), 1.0)
+    blocks = _blocks(texts, rng)
+    found = None
+    for _ in range(EPOCHS):
+        for block in blocks:
+            if found is None or len(blocks) > 1:
+                found = _gather([texts[i] for i in block], langs[block], n_langs)
+            if found is None:
+                continue
+            gold, feature, border = found
+            n_words = len(gold)
+            stretches = np.arange(0, n_words - STRETCH + 1, STRETCH) if n_words >= STRETCH else np.array([0])
+            width = min(STRETCH, n_words)
+            per_chain = CHAIN // STRETCH
+            dealt = rng.permutation(stretches)
+            dealt = dealt[: max(per_chain, len(dealt) // per_chain * per_chain)]
+            if len(dealt) < per_chain:
+                dealt = np.resize(dealt, per_chain)
+            chains = dealt.reshape(-1, per_chain)
+            for k in range(0, len(chains), BATCH):
+                own = (chains[k : k + BATCH, :, None] + np.arange(width)).reshape(len(chains[k : k + BATCH]), -1)
+                flat = own.ravel()
+                sizes = border[flat + 1] - border[flat]
+                inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                f = feature[np.repeat(border[flat], sizes) + inner]
+                of = np.repeat(np.arange(len(flat)), sizes)
+                scores = np.stack([np.bincount(of, table[f, s], minlength=len(flat)) for s in range(n_langs)], axis=1)
+                move = np.exp(moves)
+                length = np.full(len(own), own.shape[1])
+                alpha, beta, likely = forward_backward(scores.astype(np.float32), length, move.astype(np.float32))
+                miss = alpha * beta
+                miss /= miss.sum(axis=1, keepdims=True)
+                miss[np.arange(len(flat)), gold[flat]] -= 1
+                used, place = np.unique(f, return_inverse=True)
+                grad = np.stack([np.bincount(place, miss[of, s], minlength=len(used)) for s in range(n_langs)], axis=1)
+                power[used] += grad**2
+                table[used] -= RATE * grad / np.sqrt(power[used])
+                # pairs of neighbours: expected against seen
+                a, b = (x.reshape(len(own), -1, n_langs) for x in (alpha, likely * beta))
+                y = gold[flat].reshape(len(own), -1)
+                left, right = a[:, :-1].reshape(-1, n_langs), b[:, 1:].reshape(-1, n_langs)
+                whole = ((left @ move) * right).sum(axis=1, keepdims=True)
+                seen = np.bincount(y[:, :-1].ravel() * n_langs + y[:, 1:].ravel(), minlength=n_langs**2).reshape(n_langs, n_langs)
+                g = (move * ((left / whole).T @ right) - seen) / y.size
+                m_power += g**2
+                moves -= RATE * g / np.sqrt(m_power)
     return table, np.exp(moves)
 
 
@@ -188,10 +224,10 @@ def word_probabilities(texts: list[bytes], table: np.ndarray, move: np.ndarray):
     A text longer than a strip is a chain for each of its strips.
     """
     held, n = [], 0
-    for owner, found in read(texts):
+    for owner, found in read(texts, table.shape[1]):
         held.append((owner, emissions(found, len(owner), table)))
         n += len(owner)
-        if n >= TOGETHER:
+        if n * table.shape[1] >= TOGETHER:
             yield _run(held, move)
             held, n = [], 0
     if held:
@@ -218,16 +254,26 @@ def has_letter(text: bytes) -> bool:
     return any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
 
-def learn(docs: DataFrame, *, text: str, doc_id: str, lang: str, held_out, sample: int) -> tuple[list[str], dict]:
-    """Languages and model from about `sample` documents of each language outside the held-out fold, drawn by a hash."""
+def learn(
+    docs: DataFrame, *, text: str, doc_id: str, lang: str, held_out, sample: int, sample_of_all: int
+) -> tuple[list[str], dict]:
+    """Languages and model from about `sample` documents of each language outside the held-out fold, drawn by a hash.
+
+    All languages are learned; where there are many, fewer documents of each.
+    """
     usable = docs.where(~F.coalesce(held_out, F.lit(True)) & F.col(lang).isNotNull())
     counts = usable.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n"))
-    counts = counts.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = counts.collect()
     names = sorted(r["lang"] for r in counts)
     if not names:
         return [UNKNOWN], {"features": b"", "move": b""}
-    chance = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample / r["n"]))))
-    drawn = usable.where(hexed_share(F.col(doc_id), "language") < F.coalesce(F.element_at(chance, F.col(lang)), F.lit(0.0)))
+    sample = min(sample, max(LEAST_SAMPLE, sample_of_all // len(names)))
+    # a row for each language
+    chances = usable.sparkSession.createDataFrame(
+        [(r["lang"], min(1.0, sample / r["n"])) for r in counts], "lang__drawn string, chance__drawn double"
+    )
+    drawn = usable.join(F.broadcast(chances), F.col(lang) == F.col("lang__drawn"))
+    drawn = drawn.where(hexed_share(F.col(doc_id), "language") < F.col("chance__drawn"))
     rows = drawn.select(
         F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("body")
     )
@@ -241,7 +287,7 @@ def _predict(names: list[str], model: dict):
     def arrays():
         s = len(names)
         if not model["features"]:
-            return np.zeros((1 << BITS, s), dtype=np.float32), np.ones((s, s), dtype=np.float32)
+            return np.zeros((1 << bits_for(s), s), dtype=np.float32), np.ones((s, s), dtype=np.float32)
         table, move = (np.frombuffer(model[k], dtype="<f4") for k in ("features", "move"))
         return table.reshape(-1, s), move.reshape(s, s)
 
@@ -274,18 +320,20 @@ def identify(
     lang: str = "lang",
     fold: tuple[int, int] = (4, 2),
     sample: int = SAMPLE,
+    sample_of_all: int = SAMPLE_OF_ALL,
 ) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score (the share of its words' probability).
 
     Documents whose crc32(doc_id) modulo fold[0] is fold[1] are held out and not learned from; of the others, about
-    `sample` of each of the MOST_LANGUAGES commonest languages are. Null texts, and texts without a letter, are `und`
-    with score 0. Null ids are not held out and not learned from. Rows that repeat an id are labelled one by one. With
-    nothing to learn from, all are `und`. Empty tables give no rows; other columns are not looked at.
+    `sample` of each language are, or fewer where that makes more than `sample_of_all`, but every language is learned.
+    Null texts, and texts without a letter, are `und` with score 0. Null ids are not held out and not learned from. Rows
+    that repeat an id are labelled one by one. With nothing to learn from, all are `und`. Empty tables give no rows;
+    other columns are not looked at.
     """
     ship_package(docs.sparkSession)
     parts, hold = fold
     out_of = F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts == hold
-    names, model = learn(docs, text=text, doc_id=doc_id, lang=lang, held_out=out_of, sample=sample)
+    names, model = learn(docs, text=text, doc_id=doc_id, lang=lang, held_out=out_of, sample=sample, sample_of_all=sample_of_all)
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.coalesce(out_of, F.lit(False)).alias("held_out"),

@@ -281,3 +281,23 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert {r.doc_id for r in out.collect()} == {r.doc_id for r in now.collect()}
     kept = {r.doc_id for r in out.collect()}
     assert kept >= set(range(200, 230)) and not kept & {300, 301, 102, 103}
+
+
+def test_every_language_is_learned(spark):
+    """More languages than were learned once, each with words of its own."""
+    rng = random.Random(12)
+    tongues = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 8))) for _ in range(12)] for _ in range(70)]
+    rows = [(i, " ".join(rng.choices(tongues[i % 70], k=40)), f"l{i % 70:02}") for i in range(70 * 24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in language.identify(docs).collect()}
+    held = [i for i in out if out[i].held_out]
+    assert {out[i].lang_pred for i in held} == {f"l{k:02}" for k in range(70)}
+    assert np.mean([out[i].lang_pred == f"l{i % 70:02}" for i in held]) > 0.95
+
+
+def test_training_in_blocks(monkeypatch):
+    texts = [b"the river and stone winter garden " * 20, b"ola mik tran dova sel pirin " * 20] * 10
+    monkeypatch.setattr(language, "BLOCK_BYTES", 2_000)
+    table, move = language.train(texts, np.array([0, 1] * 10), 2)
+    (_, p), = language.word_probabilities([b"the river and stone ola mik tran dova"], table, move)
+    assert p.argmax(axis=1).tolist() == [0] * 4 + [1] * 4
