@@ -35,8 +35,8 @@ def signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def fingerprint(text: bytes | None) -> int:
-    """64 bits, each set if it is set in over half of the shingles' hashes; 0 without a word.
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """64 bits, each set if it is set in over half of the hashes of shingles of `shingle` words; 0 without a word.
 
     Words are split at ASCII white space and A-Z is lower-cased, which is what these methods of bytes do.
     """
@@ -45,7 +45,7 @@ def fingerprint(text: bytes | None) -> int:
         return 0
     whole = b" ".join(found)
     digest = xxhash.xxh64_intdigest
-    n = len(found) - SHINGLE + 1
+    n = len(found) - shingle + 1
     if n < 1:
         return digest(whole, SEED)
     ends, at = [], -1
@@ -53,7 +53,7 @@ def fingerprint(text: bytes | None) -> int:
         at += len(word) + 1
         ends.append(at)
     starts = [0, *(e + 1 for e in ends[: n - 1])]
-    hashes = [digest(whole[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :], strict=True)]
+    hashes = [digest(whole[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=True)]
     counts = np.zeros(64, dtype=np.int64)
     for k in range(0, n, STRIP):
         strip = np.array(hashes[k : k + STRIP], dtype="<u8")
@@ -61,19 +61,23 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints = [signed(fingerprint(t)) for t in batch.column("body").to_pylist()]
-        kept = [(f, batch.column(f)) for f in batch.schema.names if f != "body"]
-        yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array(prints, pa.int64())], [f for f, _ in kept] + ["fp"])
+def _fingerprints(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [signed(fingerprint(t, shingle)) for t in batch.column("body").to_pylist()]
+            kept = [(f, batch.column(f)) for f in batch.schema.names if f != "body"]
+            columns = [c for _, c in kept] + [pa.array(prints, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [f for f, _ in kept] + ["fp"])
 
+    return run
 
-def with_fingerprints(rows: DataFrame) -> DataFrame:
+
+def with_fingerprints(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """rows (body binary, ...): the other columns and `fp` long."""
     ship_package(rows.sparkSession)
     kept = rows.drop("body")
     schema = kept.schema.add("fp", "long")
-    return rows.mapInArrow(_fingerprints, schema)
+    return rows.mapInArrow(_fingerprints(shingle), schema)
 
 
 def _masks(bits: list[int], most: int) -> list[int]:
@@ -149,7 +153,7 @@ def groups(prints: DataFrame) -> DataFrame:
     return first.join(joined, "comp", "left").select("fp", F.coalesce("component_id", "comp").alias("comp"))
 
 
-def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest reachable id).
 
     Null and empty texts, and those of white space, have fingerprint zero and link like any other. Equal texts share a
@@ -158,7 +162,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     columns are not looked at.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("body"))
-    rows = materialise(with_fingerprints(rows))
+    rows = materialise(with_fingerprints(rows, shingle))
     prints = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = groups(prints.select("fp"))
     least = prints.join(found, "fp")
@@ -168,11 +172,11 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def deduplicated(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """One document of each group, the one with the smallest id, with the columns of `docs`; a null id yields to any
     other, and of rows that repeat an id one stays."""
     rows = docs.select(*carried(docs), F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("body"))
-    rows = materialise(with_fingerprints(rows))
+    rows = materialise(with_fingerprints(rows, shingle))
     found = groups(materialise(rows.select("fp").distinct()))
     narrow = join_counted(rows.select("fp", "doc_id", "row_no"), materialise(found), ["fp"])
     best = narrow.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_no")).alias("best"))

@@ -173,6 +173,15 @@ def taught(spark):
     return learnable(spark)
 
 
+def test_length_of_shingles(spark):
+    """The same shingles of two words in another order: equal by two words, apart by five."""
+    texts = ["x a x b x c x d x", "x b x a x d x c x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    apart = {k: len({r.fingerprint for r in simhash.near_duplicates(docs, shingle=k).collect()}) for k in (2, 5)}
+    assert apart == {2: 1, 5: 2}
+    assert [simhash.deduplicated(docs, shingle=k).count() for k in (2, 5)] == [1, 2]
+
+
 @pytest.mark.parametrize("which", ["quality", "toxic"])
 def test_models_on_held_out_rows(taught, which):
     docs, labels, truth = taught
