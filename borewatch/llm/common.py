@@ -17,6 +17,8 @@ WHITE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Sides of at most this many narrow rows (some 100 bytes each) are broadcast; larger ones are joined by key.
 BROADCAST_ROWS = 50_000
+#: Rows of a key above which it is joined apart from the others.
+HUB = 512
 
 
 def words(text: Column) -> Column:
@@ -58,6 +60,23 @@ def join_counted(df: DataFrame, small: DataFrame, on: Sequence[str], how: str =
     return df.join(small, list(on), how)
 
 
+def join_hubs(df: DataFrame, side: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join `df` with a side of at most one row per key, where a few keys may hold most rows of `df`.
+
+    Rows of keys with more than HUB rows are joined with their counted keys by broadcast where those are few; the rest,
+    at most HUB rows a key, by merge. Null keys join nothing.
+    """
+    hubs = df.groupBy(on).agg(F.count("*").alias("hub__rows")).where(F.col("hub__rows") > HUB).select(on)
+    hubs = materialise(hubs.where(F.col(on).isNotNull()))
+    found = hubs.count()
+    if not found or found > BROADCAST_ROWS:
+        return df.join(side.hint("merge"), on, how)
+    few = materialise(side.join(F.broadcast(hubs), on, "left_semi"))
+    many = df.join(F.broadcast(hubs), on, "left_semi").join(F.broadcast(few), on, how)
+    rest = df.join(F.broadcast(hubs), on, "left_anti").join(side.hint("merge"), on, how)
+    return many.unionByName(rest)
+
+
 def running(
     df: DataFrame, group: Sequence[str], bucket: str, order: Sequence[Column | str], sums: dict[str, str]
 ) -> DataFrame:

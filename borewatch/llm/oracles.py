@@ -100,4 +100,76 @@ SELECT page_id, host, path, rule,
 FROM ruled
 """
 
-ORACLES = {"op1_mix": OP1, "op5_vectors": OP5, "op6_urls": OP6}
+OP11 = """
+WITH read AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS alike, b.vec_id AS other_id,
+    list_inner_product(a.e, b.e)::BIGINT AS score
+  FROM read a JOIN read b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+), ranked AS (
+  SELECT p.anchor_id, positive_id,
+    row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id)::INT AS rank,
+    other_id AS negative_id, positive_score, score AS negative_score
+  FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT alike
+  WHERE 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+#: crc32 bit by bit over the decimal digits; paths are texts of one MD5 for each turn.
+OP12 = """
+WITH turns AS (
+  SELECT conv_id AS c, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS mark,
+    strlen(coalesce(text, ''))::BIGINT AS size,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) - 1 AS own
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT c, count(*) AS n, c - c % 5 AS base,
+    xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+      lambda crc, b: list_reduce(
+        list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda k, z: xor(k >> 1, 3988292384 * (k & 1)))
+    ), 4294967295) % 9 AS h
+  FROM turns GROUP BY c
+), plan AS (
+  SELECT ids.*, least(ids.h, coalesce(b.n, 0)) AS taken FROM ids LEFT JOIN ids b ON ids.base = b.c
+), rebuilt AS (
+  SELECT plan.c, own AS pos, mark, size FROM plan JOIN turns ON turns.c = plan.base AND own < taken
+  UNION ALL
+  SELECT plan.c, own - h + taken, mark, size FROM plan JOIN turns ON turns.c = plan.c AND own >= h
+), prefixes AS (
+  SELECT c, pos + 1 AS depth, size,
+    string_agg(mark, '') OVER (PARTITION BY c ORDER BY pos ROWS UNBOUNDED PRECEDING) AS path,
+    count(*) OVER (PARTITION BY c) AS n_turns
+  FROM rebuilt
+  UNION ALL
+  SELECT ids.c, 0, 0, '', count(r.c) FROM ids LEFT JOIN rebuilt r ON r.c = ids.c GROUP BY ids.c
+), nodes AS (
+  SELECT path, depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(size) AS saved,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n_turns = depth), '')) AS ends_sha256
+  FROM prefixes GROUP BY path, depth
+), kids AS (
+  SELECT left(path, 32 * (depth - 1)::INT) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+), marked AS (
+  SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids ON kids.path = nodes.path
+), above AS (
+  SELECT unnest(generate_series(0, depth)) AS top, * FROM marked
+), totals AS (
+  SELECT left(path, 32 * top::INT) AS path, sum((n_children = 0)::INT) AS n_leaves, sum(saved) AS saved_tokens
+  FROM above GROUP BY 1
+)
+SELECT m.conv_id, m.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, m.n_convs, m.n_children,
+  t.n_leaves::BIGINT AS n_leaves, t.saved_tokens::BIGINT AS saved_tokens, m.ends_sha256
+FROM marked m JOIN totals t ON t.path = m.path
+LEFT JOIN nodes p ON m.depth > 0 AND p.path = left(m.path, 32 * (m.depth - 1)::INT)
+"""
+
+ORACLES = {"op1_mix": OP1, "op5_vectors": OP5, "op6_urls": OP6, "op11_hard_negatives": OP11, "op12_prefix_trie": OP12}

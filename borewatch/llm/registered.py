@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from borewatch.llm import (
-    language, mixing, packing, quality_model, quality_rules, sharding, simhash, toxicity, urls, vectors,
+    language, mixing, negatives, packing, prefixes, quality_model, quality_rules, secrets, sharding, simhash, toxicity,
+    urls, vectors,
 )
 from borewatch.llm.common import table
 from borewatch.llm.oracles import ORACLES  # noqa: F401
@@ -59,10 +60,28 @@ def op10_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer=public_tokenizers.path(TOKENIZER))
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    rows = table(spark, folder, "embeddings").select(
+        "vec_id", negatives.relabelled(vec_id, label).alias("label"),
+        negatives.scaled(F.col("embedding")).alias("vector"),
+    )
+    return negatives.mine(rows, anchors=vec_id % 100 == 0)
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = prefixes.rebuilt(table(spark, folder, "conversations"))
+    return prefixes.trie(turns)
+
+
+def op13_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mix, op2_quality_rules, op3_quality_model, op4_shards, op5_vectors, op6_urls, op7_toxicity, op8_language,
-        op9_simhash, op10_pack,
+        op9_simhash, op10_pack, op11_hard_negatives, op12_prefix_trie, op13_secrets,
     )
 }
