@@ -2,22 +2,21 @@
 
 Everything that depends on input rows only (Z-scores, forest scores, baselines, thresholds) is
 window or grouped work.  Version 1 has no feedback and needs nothing else.  In version 2 an
-alert resets the drift sums and starts a silent period, so one small fold per block remains; it
-reads the scores and flags and returns alert positions.
+alert resets the drift sums and starts a silent period; `rearm` turns that into a chain of
+successors over the Z-scores and flags and returns alert positions.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from borewatch.functions import severity as sev
 from borewatch.functions.economics import OIL_PRICE, economic_impact
 from borewatch.operators import forest as iforest
 from borewatch.operators.cusum import DECISION, SLACK
-from borewatch.operators.ordering import BLOCK, DEFAULT_BLOCK_ROWS, POS, KeyedSeries
+from borewatch.operators.ordering import DEFAULT_BLOCK_ROWS, POS, KeyedSeries, join_null_safe
+from borewatch.operators.rearm import Rule, rearming_alerts
 from borewatch.operators.rolling import V1_WINDOW, V2_WINDOW, baseline_v1, baseline_v2, rolling_z
 from borewatch.schema import FEATURES
 from borewatch.session import cut_lineage
@@ -206,66 +205,12 @@ def fold_v2(
     """Rows in order -> the rows that alert, with cusum_<feature>, cusum_triggered, consecutive_days.
 
     Drift sums move on every row; the silent period is checked before the streak; an alert
-    resets both.  A key cut into blocks is folded block by block in parallel from a guessed
-    start; blocks whose true start differs are folded again until none does, which is exact.
+    resets both.  Only keys, positions, Z-scores and flags leave the JVM, and only alerts come back.
     """
-    z = [f"z_{f}" for f in features]
-    width = len(features) + 2
-    alert_schema = T.StructType(
-        [
-            *rows.schema.fields,
-            *[T.StructField(f"cusum_{f}", T.DoubleType()) for f in features],
-            T.StructField("cusum_triggered", T.BooleanType()),
-            T.StructField("consecutive_days", T.IntegerType()),
-        ]
-    )
-
-    def run(pdf: pd.DataFrame, start: list[float]) -> tuple[pd.DataFrame, list[float]]:
-        pdf = pdf.sort_values(POS, kind="stable")
-        found, state = fold_rows(
-            pdf[z].to_numpy().tolist(), pdf["raw_flag"].tolist(), start, min_consecutive, refractory, slack, decision
-        )
-        out = pdf.iloc[[i for i, *_ in found]].copy()
-        for n, f in enumerate(features):
-            out[f"cusum_{f}"] = [sums[n] for _, sums, _ in found]
-        out["cusum_triggered"] = pd.array([drift for *_, drift in found], dtype="bool")
-        out["consecutive_days"] = pd.array([min_consecutive] * len(found), dtype="int32")
-        return out[alert_schema.fieldNames()], state
-
-    if not split:
-        return rows.groupBy(*keys, BLOCK).applyInPandas(
-            lambda pdf: run(pdf, [0.0] * width)[0], alert_schema
-        )
-
     frozen = cut_lineage(rows)
-    block = [*keys, BLOCK]
-    result_schema = T.StructType([*alert_schema.fields, T.StructField("_state", T.ArrayType(T.DoubleType()))])
-
-    def run_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, state = run(pdf.drop(columns="_start"), list(pdf["_start"].iloc[0]))
-        closing = pdf.sort_values(POS).tail(1).reindex(columns=result_schema.fieldNames())
-        closing["_state"] = [state]
-        return pd.concat([out.assign(_state=None), closing], ignore_index=True)[result_schema.fieldNames()]
-
-    zero = F.array(*[F.lit(0.0)] * width)
-    starts = frozen.select(*block).distinct().withColumn("_start", zero)
-    results = None
-    in_order = Window.partitionBy(*keys).orderBy(BLOCK)
-    while True:
-        folded = frozen.join(starts, block).groupBy(*block).applyInPandas(run_block, result_schema)
-        used = starts.select(*block, F.col("_start").alias("_used"))
-        fresh = folded.join(used, block)
-        if results is not None:
-            fresh = fresh.unionByName(results.join(starts.select(*block), block, "left_anti"))
-        results = cut_lineage(fresh)
-        ends = results.filter(F.col("_state").isNotNull())
-        needed = F.coalesce(F.lag("_state").over(in_order), zero)
-        starts = cut_lineage(
-            ends.select(*block, "_used", needed.alias("_start")).filter(F.col("_start") != F.col("_used"))
-            .select(*block, "_start")
-        )
-        if starts.isEmpty():
-            return results.filter(F.col("_state").isNull()).drop("_state", "_used")
+    rule = Rule(min_consecutive, refractory, slack, decision)
+    alerts = rearming_alerts(frozen, keys, features, split, rule)
+    return join_null_safe(frozen, alerts, [*keys, POS]).withColumn("consecutive_days", F.lit(min_consecutive))
 
 
 def fold_rows(
@@ -277,7 +222,7 @@ def fold_rows(
     slack: float = SLACK,
     decision: float = DECISION,
 ) -> tuple[list[tuple[int, list[float], bool]], list[float]]:
-    """One pass over consecutive rows; `start` holds the drift sums, streak and silent rows left."""
+    """One pass over the few rows of a well that a trigger brings; `start` holds the drift sums, streak and silent rows left."""
     sums, streak, silent = list(start[:-2]), int(start[-2]), int(start[-1])
     found = []
     for i, (row, flag) in enumerate(zip(scores, flags)):

@@ -253,8 +253,11 @@ def postings(chunks: DataFrame, keys: list[str] = CHUNK_KEY, text: str = "conten
     )
 
 
-def query_ladder(queries: DataFrame, query_key: str = "query_id", text: str = "query") -> DataFrame:
-    """Per query the term sets tried in turn: all terms, the first 14, then one term at a time by length."""
+def query_ladder(
+    queries: DataFrame, query_key: str = "query_id", text: str = "query", first_terms: int | None = FALLBACK_TERMS
+) -> DataFrame:
+    """Per query the term sets tried in turn: all terms, the first `first_terms` substantive ones (None: all of these),
+    then one term at a time by length."""
     every = F.array_distinct(tx.meaningful_tokens(F.col(text)))
     main = F.col("_main")
     by_length = F.transform(
@@ -264,7 +267,7 @@ def query_ladder(queries: DataFrame, query_key: str = "query_id", text: str = "q
     rungs = F.concat(
         F.array(F.struct(F.lit(0).alias("level"), F.col("_every").alias("terms"))),
         F.when(
-            F.size(main) >= 2, F.array(F.struct(F.lit(1).alias("level"), F.slice(main, 1, FALLBACK_TERMS).alias("terms")))
+            F.size(main) >= 2, F.array(F.struct(F.lit(1).alias("level"), (F.slice(main, 1, first_terms) if first_terms else main).alias("terms")))
         ).otherwise(F.array().cast("array<struct<level:int,terms:array<string>>>")),
         F.transform(by_length, lambda t, i: F.struct((i + 2).alias("level"), t.alias("terms"))),
     )
@@ -283,6 +286,7 @@ def lexical_top_k(
     query_key: str = "query_id",
     text: str = "query",
     keys: list[str] = CHUNK_KEY,
+    first_terms: int | None = FALLBACK_TERMS,
 ) -> DataFrame:
     """Chunks that hold every term of a query, best BM25 first; easier rungs only where stricter fail.
 
@@ -291,10 +295,20 @@ def lexical_top_k(
     is never joined on its own unless a query has nothing else.
     """
     named = queries.select(query_key, F.sha2(text, 256).alias("_q"), text)
-    ladder = query_ladder(named.select("_q", text).dropDuplicates(["_q"]), "_q", text)
+    ladder = query_ladder(named.select("_q", text).dropDuplicates(["_q"]), "_q", text, first_terms)
+    rungs = cut_lineage(
+        ladder.select("_q", "level", F.size("terms").alias("n_terms"), F.explode_outer("terms").alias("term"))
+    )
+    # Of the index only the asked terms are shuffled; every step below reads these.
+    corpus = index.agg(
+        F.struct(F.count_if("head").alias("n"), (F.sum(F.when(F.col("head"), F.col("length"))) / F.count_if("head")).alias("mean"))
+    )
+    index = cut_lineage(
+        index.join(small_side(rungs.select("term").distinct(), rungs.count()), "term", "left_semi").withColumn(
+            "_corpus", corpus.scalar()
+        )
+    )
     frequency = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rungs = ladder.select("_q", "level", F.size("terms").alias("n_terms"), F.explode_outer("terms").alias("term"))
-    # Query terms only: read by every step below.
     asked = cut_lineage(rungs.join(frequency, "term"))
     terms = asked.count()
     # At most `limit` rows per query; the second stage needs to know which queries are left.
@@ -308,7 +322,8 @@ def lexical_top_k(
 def _matching(asked: DataFrame, terms: int, index: DataFrame, limit: int, keys: list[str]) -> DataFrame:
     """Best chunks per query that hold all terms of its lowest rung with any match.
 
-    `terms` bounds the rows of `asked`.  The index is never broadcast, whatever its estimated size.
+    `terms` bounds the rows of `asked`.  The index, with the facts of its corpus (each chunk counts once, in the row marked
+    as its head), is never broadcast, whatever its estimated size.
     """
     rung = ["_q", "level", "n_terms"]
     rarest = (
@@ -322,14 +337,10 @@ def _matching(asked: DataFrame, terms: int, index: DataFrame, limit: int, keys:
         candidates.join(small_side(asked.select("_q", "level", "term", "df"), terms), ["_q", "level"])
         .join(whole, [*keys, "term"])
         # One entry per term of the query.
-        .groupBy(*rung, *keys, "length")
+        .groupBy(*rung, *keys, "length", "_corpus")
         .agg(F.collect_list(F.struct("term", "df", "tf")).alias("_hits"))
         .filter(F.size("_hits") == F.col("n_terms"))
     )
-    # Each chunk counts once, in the row marked as its head.
-    corpus = index.agg(
-        F.struct(F.count_if("head").alias("n"), (F.sum(F.when(F.col("head"), F.col("length"))) / F.count_if("head")).alias("mean"))
-    )
     facts = F.col("_corpus")
 
     def weight(hit: Column) -> Column:
@@ -343,8 +354,7 @@ def _matching(asked: DataFrame, terms: int, index: DataFrame, limit: int, keys:
     order = Window.partitionBy("_q").orderBy("level", F.desc("score"), *keys)
     best_rung = F.min("level").over(Window.partitionBy("_q"))
     return (
-        hits.withColumn("_corpus", corpus.scalar())
-        .withColumn("score", F.round(total, 9))
+        hits.withColumn("score", F.round(total, 9))
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= limit)
         .withColumn("_best", best_rung)
