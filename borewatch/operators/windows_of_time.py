@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from borewatch.functions.severity import round_settled, round_tie_even
-from borewatch.operators.ordering import KeyedSeries
+from borewatch.operators.ordering import DEFAULT_BLOCK_ROWS, HALO, KeyedSeries, join_null_safe
 from borewatch.schema import FEATURES
+from borewatch.session import cut_lineage
 
 
 def in_window(telemetry: DataFrame, well: str, end: Column, hours_back: int = 72) -> DataFrame:
@@ -24,94 +25,159 @@ def summarise_before(
     hours_back: int = 72,
     key: str = "well_id",
     ts: str = "timestamp",
+    block_rows: int = DEFAULT_BLOCK_ROWS,
 ) -> DataFrame:
     """Per alert and feature: mean, population deviation, minimum, maximum, trend of the hours before.
 
-    Alerts are laid into the timeline of their well as marker rows and read their range frame, so
-    no alert-reading pairs are formed.  The timeline is cut into buckets as long as the frame;
-    each bucket also holds the bucket before it, which bounds what one task sees.
+    Alerts are laid into the timeline of their well as two marks, where their window begins and ends; the readings up to a
+    mark are a running count, so a window is a range of ordinals.  A sparse table gives every reading the summaries of the
+    last 1, 2, 4, ... readings, each merged from two of the level below, and a window is put together from the few of
+    them whose lengths add up to its own.  Only readings that some window asks for leave the table.  Wells are cut into
+    blocks of rows, so neither many readings nor many alerts of a well or an hour meet in one task.
 
     As published the late mean of the trend is the mean of the whole window (`trend_pct`);
     `trend_tail_pct` uses the last tenth.
     """
-    width = hours_back * 3600
-    # Readings first among equal times, as the window includes its end.
+    ranges, readings = _ranges(alerts, telemetry, order, features, hours_back * 3600, key, ts, block_rows)
+    longest = ranges.agg(F.max(F.col("_hi") - F.col("_lo"))).first()[0] or 1
+    top = longest.bit_length() - 1
+    pieces = ranges.select("alert_id", key, "_n", F.explode(_pieces(top)).alias("_p")).select("alert_id", key, "_n", "_p.*")
+    asked = cut_lineage(pieces)
+    table = _sparse_table(readings, asked.select(key, "_idx").distinct(), features, key, top, block_rows)
+    found = join_null_safe(asked, table, [key, "_idx"]).withColumn("_summary", F.element_at("_levels", F.col("_level") + 1))
+    # At most three times as many pieces of a window as there are levels.
+    parts = found.groupBy("alert_id", key, "_n").agg(F.collect_list(F.struct("_part", "_level", "_summary")).alias("_parts"))
+
+    def whole(part: int) -> Column:
+        own = F.filter(F.array_sort("_parts"), lambda p: p["_part"] == part)
+        none = F.transform(F.sequence(F.lit(1), F.lit(len(features))), lambda _: _summary(F.lit(None).cast("double")))
+        return F.aggregate(own, none, lambda held, p: F.zip_with(held, p["_summary"], _merged))
+
+    tenth = _tenth()
+    joined = parts.withColumns({"_all": whole(ALL), "_early": whole(EARLY), "_late": whole(LATE)})
+
+    def row(i: int, f: str) -> Column:
+        every, early, late = (F.element_at(c, i + 1) for c in ("_all", "_early", "_late"))
+        mean = F.when(every["n"] > 0, every["mean"])
+        first, last = early["n"] * early["mean"] / tenth, late["n"] * late["mean"] / tenth
+        return F.struct(
+            F.lit(i).alias("feature_no"),
+            F.lit(f).alias("feature"),
+            round_settled(mean, 2).alias("mean"),
+            round_settled(F.when(every["n"] > 0, F.sqrt(every["m2"] / every["n"])), 2).alias("std"),
+            round_settled(every["low"], 2).alias("min"),
+            round_settled(every["high"], 2).alias("max"),
+            _trend(mean, first).alias("trend_pct"),
+            _trend(last, first).alias("trend_tail_pct"),
+        )
+
+    return (
+        joined.select(
+            "alert_id", key, F.col("_n").alias("record_count"), completeness(F.col("_n"), hours_back).alias("completeness"),
+            F.explode(F.array(*[row(i, f) for i, f in enumerate(features)])).alias("_s"),
+        )
+        .select("alert_id", key, "record_count", "completeness", "_s.*")
+    )
+
+
+# Parts of a window: all of it, its first tenth, its last tenth.
+ALL, EARLY, LATE = 0, 1, 2
+
+
+def _ranges(
+    alerts: DataFrame, telemetry: DataFrame, order: list[str], features: list[str], width: int, key: str, ts: str, block_rows: int
+) -> tuple[DataFrame, DataFrame]:
+    """Per alert with readings in its window the ordinals (_lo, _hi] and their number `_n`; and the readings with `_idx`."""
+    # A window holds the readings at its begin and at its end: it is opened before and closed behind them.
+    opens, reads, closes = F.lit(0), F.lit(1), F.lit(2)
     tie = [c for c in order if c != ts]
     timeline = telemetry.select(
-        key, ts, F.struct(*tie).alias("_tie") if tie else F.lit(None).cast("struct<x:int>").alias("_tie"),
-        *features, F.lit(True).alias("_reading"), F.lit(None).cast("string").alias("alert_id"),
-    ).unionByName(
-        alerts.select(key, F.col(ts), F.lit(False).alias("_reading"), F.col("alert_id").cast("string")),
-        allowMissingColumns=True,
+        key, F.col(ts).alias("_at"), reads.alias("_kind"),
+        (F.struct(*tie) if tie else F.lit(None).cast("struct<x:int>")).alias("_tie"), *features,
     )
-    own = F.floor(F.unix_seconds(ts) / width)
-    copies = F.when(
-        F.col("_reading"),
-        F.array(F.struct(own.alias("_bucket"), F.lit(True).alias("_own")), F.struct((own + 1).alias("_bucket"), F.lit(False).alias("_own"))),
-    ).otherwise(F.array(F.struct(own.alias("_bucket"), F.lit(True).alias("_own"))))
-    placed = timeline.withColumn("_copy", F.explode(copies)).select("*", "_copy.*").drop("_copy")
-    group = [key, "_bucket"]
-    ordered = Window.partitionBy(*group).orderBy(ts, F.desc("_reading"), "_tie")
-    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    micros = Window.partitionBy(*group).orderBy("_us").rangeBetween(-width * 1_000_000, Window.currentRow)
-    placed = placed.withColumn("_us", F.unix_micros(ts))
-    placed = placed.withColumn("_idx", F.sum(F.col("_reading").cast("int")).over(upto))
-    placed = placed.withColumns({f"_upto_{f}": F.coalesce(F.sum(f).over(upto), F.lit(0.0)) for f in features})
-    frame = {"record_count": F.count_if("_reading").over(micros), "_last": F.max(F.when(F.col("_reading"), F.col("_idx"))).over(micros)}
-    for f in features:
-        frame[f"_mean_{f}"] = F.avg(f).over(micros)
-        frame[f"_std_{f}"] = F.stddev_pop(f).over(micros)
-        frame[f"_min_{f}"] = F.min(f).over(micros)
-        frame[f"_max_{f}"] = F.max(f).over(micros)
-    framed = placed.withColumns(frame).filter(~F.col("_reading") & (F.col("record_count") > 0))
-    tenth = F.greatest(F.lit(1), F.floor(F.col("record_count") / 10))
-    # Sums over the first and the last tenth are differences of running sums at four ordinals.
-    marks = {
-        "b": F.col("_last") - F.col("record_count"),
-        "h": F.col("_last") - F.col("record_count") + tenth,
-        "t": F.col("_last") - tenth,
-        "e": F.col("_last"),
-    }
-    stops = framed.select(
-        *group, "alert_id",
-        F.explode(F.array(*[F.struct(F.lit(k).alias("_mark"), v.cast("long").alias("_idx")) for k, v in marks.items()])).alias("_stop"),
-    ).select(*group, "alert_id", "_stop.*")
-    sums = placed.filter("_reading").select(*group, "_idx", *[f"_upto_{f}" for f in features])
-    found = stops.join(sums, [*group, "_idx"], "left").groupBy("alert_id").agg(
-        *[
-            F.coalesce(F.max(F.when(F.col("_mark") == k, F.col(f"_upto_{f}"))), F.lit(0.0)).alias(f"_{k}_{f}")
-            for f in features
-            for k in marks
-        ]
+    marks = alerts.select(
+        key, F.col("alert_id").cast("string").alias("alert_id"),
+        F.explode(
+            F.array(
+                F.struct((F.col(ts) - F.make_dt_interval(secs=F.lit(width))).alias("_at"), opens.alias("_kind")),
+                F.struct(F.col(ts).alias("_at"), closes.alias("_kind")),
+            )
+        ).alias("_mark"),
+    ).select(key, "alert_id", "_mark.*")
+    series = KeyedSeries.build(
+        timeline.unionByName(marks, allowMissingColumns=True), [key], ["_at", "_kind", "_tie"], block_rows=block_rows
     )
-    per_feature = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("feature_no"),
-                    F.lit(f).alias("feature"),
-                    round_settled(F.col(f"_mean_{f}"), 2).alias("mean"),
-                    round_settled(F.col(f"_std_{f}"), 2).alias("std"),
-                    round_settled(F.col(f"_min_{f}"), 2).alias("min"),
-                    round_settled(F.col(f"_max_{f}"), 2).alias("max"),
-                    _trend(F.col(f"_mean_{f}"), (F.col(f"_h_{f}") - F.col(f"_b_{f}")) / tenth).alias("trend_pct"),
-                    _trend(
-                        (F.col(f"_e_{f}") - F.col(f"_t_{f}")) / tenth, (F.col(f"_h_{f}") - F.col(f"_b_{f}")) / tenth
-                    ).alias("trend_tail_pct"),
-                )
-                for i, f in enumerate(features)
-            ]
-        )
+    counted = series.running((F.col("_kind") == 1).cast("long"), "_idx").rows(keep_position=False)
+    counted = cut_lineage(counted)
+    at = {name: F.max(F.when(F.col("_kind") == kind, F.col("_idx"))) for name, kind in (("_lo", 0), ("_hi", 2))}
+    ranges = counted.filter("_kind <> 1").groupBy("alert_id", key).agg(*[v.alias(k) for k, v in at.items()])
+    ranges = cut_lineage(ranges.withColumn("_n", F.col("_hi") - F.col("_lo")).filter("_n > 0"))
+    return ranges, counted.filter("_kind = 1").select(key, "_idx", *features)
+
+
+def _tenth() -> Column:
+    return F.greatest(F.lit(1), F.floor(F.col("_n") / 10)).cast("long")
+
+
+def _pieces(top: int) -> Column:
+    """The pieces of a window: part, level k and the ordinal at which 2^k readings end, one per bit of a part's length."""
+
+    def cut(part: int, end: Column, length: Column) -> Column:
+        bits = F.filter(F.sequence(F.lit(0), F.lit(top)), lambda k: F.getbit(length, k) == 1)
+
+        def piece(k: Column) -> Column:
+            shorter = length % F.pow(F.lit(2.0), k).cast("long")
+            return F.struct(F.lit(part).alias("_part"), k.alias("_level"), (end - shorter).alias("_idx"))
+
+        return F.transform(bits, piece)
+
+    tenth = _tenth()
+    return F.concat(
+        cut(ALL, F.col("_hi"), F.col("_n")), cut(EARLY, F.col("_lo") + tenth, tenth), cut(LATE, F.col("_hi"), tenth)
     )
-    return (
-        framed.select("alert_id", key, "record_count", *[f"_{m}_{f}" for f in features for m in ("mean", "std", "min", "max")])
-        .join(found, "alert_id")
-        .withColumn("completeness", completeness(F.col("record_count"), hours_back))
-        .select("alert_id", key, "record_count", "completeness", per_feature.alias("_s"))
-        .select("alert_id", key, "record_count", "completeness", "_s.*")
+
+
+def _summary(value: Column) -> Column:
+    """Number, mean, sum of squared deviations, minimum and maximum of one value, or of none for null."""
+    return F.struct(
+        F.when(value.isNull(), 0.0).otherwise(1.0).alias("n"), F.coalesce(value, F.lit(0.0)).alias("mean"),
+        F.lit(0.0).alias("m2"), value.alias("low"), value.alias("high"),
     )
 
 
+def _merged(a: Column, b: Column) -> Column:
+    """Summary of two sets of values from theirs; means are moved, so nothing large cancels."""
+    n, apart = a["n"] + b["n"], b["mean"] - a["mean"]
+    share = F.when(n > 0, b["n"] / n).otherwise(0.0)
+    mean = F.when(a["n"] == 0, b["mean"]).otherwise(a["mean"] + apart * share)
+    return F.struct(
+        n.alias("n"), mean.alias("mean"), (a["m2"] + b["m2"] + apart * apart * a["n"] * share).alias("m2"),
+        F.least(a["low"], b["low"]).alias("low"), F.greatest(a["high"], b["high"]).alias("high"),
+    )
+
+
+def _sparse_table(
+    readings: DataFrame, asked: DataFrame, features: list[str], key: str, top: int, block_rows: int
+) -> DataFrame:
+    """For the asked ordinals: `_levels`, the summaries of the last 2^k readings for k from 0 to `top`.
+
+    Level k + 1 of a reading is level k merged with level k of the reading 2^k before: one lag per level.
+    """
+    halo = (1 << top) - 1
+    rows = join_null_safe(readings, asked.withColumn("_asked", F.lit(True)), [key, "_idx"], "left")
+    series = KeyedSeries.from_ordinals(rows, [key], "_idx", True, halo, max(block_rows, halo, 1))
+    window = series.window()
+    levels = ["_t0"]
+    df = series.df.withColumn("_t0", F.array(*[_summary(F.col(f).cast("double")) for f in features])).drop(*features)
+    for k in range(top):
+        df = df.withColumn("_far", F.lag(f"_t{k}", 1 << k).over(window))
+        both = F.zip_with(F.col("_far"), F.col(f"_t{k}"), _merged)
+        df = df.withColumn(f"_t{k + 1}", F.coalesce(both, F.col(f"_t{k}"))).drop("_far")
+        levels.append(f"_t{k + 1}")
+    own = df.filter(F.col("_asked") & ~F.col(HALO))
+    return own.select(key, "_idx", F.array(*levels).alias("_levels"))
+
+
 def _trend(late: Column, early: Column) -> Column:
     change = F.try_divide(late - early, F.abs(early)) * 100
     return round_settled(F.coalesce(change, F.lit(0.0)), 1)

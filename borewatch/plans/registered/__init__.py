@@ -2,6 +2,7 @@
 
 from borewatch.plans.registered import (  # noqa: F401
     benchmarks,
+    cover,
     decisions,
     detection,
     generation,
