@@ -106,6 +106,11 @@ STOPWORDS = (
 ).split()
 TOKEN_PATTERN = r"[a-z0-9][a-z0-9\-_/]*"
 
+# What reports must hold for questions, overview heuristics and the rerank bonus to find it.
+REPORT_METRICS = ("Peak oil BOPD", "Mean oil BOPD", "Mean water cut %", "Peak water cut %", "Mean GOR scf/bbl", "Mean BHP (psi, where reported)")
+MONTHS_HEAD = "| Month | Days | Mean oil BOPD | Mean WCT % |\n|-------|-----:|--------------:|-----------:|\n"
+WELLS_HEADING = "## Wells represented"
+
 # Patterns of the overview rerank bonus.
 WELL_COUNT_PATTERN = r"\*\*\d+\*\*\s+wells?\b"
 PEAK_ROW_PATTERN = r"peak\s+oil\s+[0-9,]+(?:\.\d+)?\s*BOPD"

@@ -127,11 +127,12 @@ def calibrate(
     train_rows: str | None = None,
     target_fpr: float = 0.05,
     window: int = V2_WINDOW,
+    last_rows: int | None = CALIBRATION_ROWS,
 ) -> DataFrame:
     """Per key threshold_<feature>: a clipped quantile of the training Z-scores.
 
-    Only the last 500 training rows count, scored against the `window` rows before them with the
-    population deviation.  Fewer than 20 scores leave the default of 3.
+    Only the last 500 training rows count (`last_rows`, None: all of them), scored against the `window` rows before them
+    with the population deviation.  Fewer than 20 scores leave the default of 3.
     """
     before = series.trailing(-window, -1)
     moments = {}
@@ -143,7 +144,7 @@ def calibrate(
         ends = series.rows().groupBy(*series.keys).agg(F.max(POS).alias(train_rows))
         series = series.transform(lambda df: df.join(ends, series.keys))
     last = F.col(train_rows)
-    first_scored = F.greatest(last - CALIBRATION_ROWS, F.lit(0)) + window
+    first_scored = (F.greatest(last - last_rows, F.lit(0)) if last_rows else F.lit(0)) + window
     scored = (
         series.transform(lambda df: df.withColumns(moments)).rows()
         .filter((F.col(POS) > first_scored) & (F.col(POS) <= last))

@@ -90,7 +90,7 @@ def well_reports(spark: SparkSession, folder: str) -> DataFrame:
 b AS (SELECT well_id, '- **' || well_id || '**: ' || d0 || ' → ' || d1 || ' — peak oil ' || {_none('peak')} || ' BOPD, avg WCT ' || {_one('wct')} || ' %' AS line, row_number() OVER (ORDER BY well_id) AS n, count(*) OVER () AS c FROM facts),
 t AS (SELECT string_agg(line, chr(10) ORDER BY n) FILTER (WHERE n <= 20) || CASE WHEN max(c) > 20 THEN chr(10) || '- … +' || (max(c) - 20) || ' further wells' ELSE '' END AS bullets FROM b)
 SELECT bullets, '**Coverage:** ' || d0 || ' → ' || d1 || '.' AS coverage_line,
-  'Total producing day-rows ingested across file: **' || n || '** over **' || w || '** wells (**producer count in this workbook extract: ' || w || '**).' AS total_line FROM t, tot""",
+  'The table holds **' || n || '** day rows of **' || w || '** wells.' AS total_line FROM t, tot""",
 )
 def field_overview(spark: SparkSession, folder: str) -> DataFrame:
     lines = F.split("text", "\n")
@@ -98,9 +98,9 @@ def field_overview(spark: SparkSession, folder: str) -> DataFrame:
     def first(prefix: str):
         return F.filter(lines, lambda s: s.startswith(prefix))[0]
 
-    bullets = F.regexp_extract("text", r"(?s)production subset\)\n\n(.*?)\n\n", 1)
+    bullets = F.regexp_extract("text", r"(?s)## Wells represented\n\n(.*?)\n\n", 1)
     return corpus.field_overview(daily(spark, folder)).select(
-        bullets.alias("bullets"), first("**Coverage").alias("coverage_line"), first("Total producing").alias("total_line")
+        bullets.alias("bullets"), first("**Coverage").alias("coverage_line"), first("The table holds").alias("total_line")
     )
 
 
@@ -109,10 +109,10 @@ def field_overview(spark: SparkSession, folder: str) -> DataFrame:
     f"""WITH {GOLDEN_SQL},
 u AS (SELECT g.*, unnest(string_split(sources, ',')) AS name FROM golden g),
 f AS (SELECT *, substr(id, 5)::BIGINT AS place, substr(id, 5)::BIGINT = min(substr(id, 5)::BIGINT) OVER (PARTITION BY name, truth) AS is_first FROM u),
-blocks AS (SELECT name, place, '### Anchor ' || id || ' (' || category || ')' || chr(10) || chr(10) || '**Operator question.** ' || question || chr(10) || chr(10) || '**Indexing keywords:** ' || topics || chr(10) || chr(10)
+blocks AS (SELECT name, place, '### ' || id || ' (' || category || ')' || chr(10) || chr(10) || '**Question:** ' || question || chr(10) || chr(10) || '**Topics:** ' || topics || chr(10) || chr(10)
     || CASE WHEN is_first THEN truth || chr(10) || chr(10) ELSE '' END || '---' || chr(10) AS text FROM f
-  UNION ALL SELECT DISTINCT name, -1, '# ' || replace(replace(name, '.md', ''), '_', ' ') || chr(10) || chr(10) || 'Operational reference derived from curated evaluation excerpts for **' || name || '**.' || chr(10) || chr(10)
-    || '## Incident and engineering narrative' || chr(10) FROM u)
+  UNION ALL SELECT DISTINCT name, -1, '# ' || replace(replace(name, '.md', ''), '_', ' ') || chr(10) || chr(10) || 'Questions whose answers name **' || name || '** as a source.' || chr(10) || chr(10)
+    || '## Questions and answers' || chr(10) FROM u)
 SELECT name, 'reference' AS folder, row_number() OVER (PARTITION BY name ORDER BY place) AS block_no, md5(text) AS text_md5 FROM blocks""",
 )
 def reference_documents(spark: SparkSession, folder: str) -> DataFrame:
