@@ -7,6 +7,7 @@ from borewatch.plans.registered import (  # noqa: F401
     detection,
     generation,
     retrieval,
+    stores,
     streams,
     telemetry,
     texts,

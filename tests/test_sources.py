@@ -8,7 +8,9 @@ from borewatch.operators import production_stats as stats
 from borewatch.operators.retrieval import CHUNK_KEY, hashed_embedding
 from borewatch.plans import corpus
 from borewatch.schema import CHUNK, DOCUMENT, ESCALATION
-from borewatch.sources import documents, production, tables, topics
+from borewatch.sources import buckets, documents, production, tables, topics
+from borewatch.sources.named_files import files_below, read_named
+from borewatch.streaming.jobs import append_batches
 
 HEADER = "DATEPRD,NPD_WELL_BORE_NAME,NPD_FIELD_NAME,FLOW_KIND,ON_STREAM_HRS,BORE_OIL_VOL,BORE_WAT_VOL,BORE_GAS_VOL,AVG_DOWNHOLE_PRESSURE,AVG_WHP_P,AVG_WHT_P,AVG_CHOKE_SIZE_P"
 DAILY = [
@@ -116,11 +118,11 @@ def test_ingest_replaces_documents(spark, tmp_path):
     assert {r["source_path"].rsplit("/", 1)[1]: r["total_chunks"] for r in counts.collect()} == {"a.md": 3, "b.txt": 1}
     (source / "well_reports" / "a.md").write_text("# A2\nshort")
     documents.ingest(spark, documents.read_corpus(spark, str(source)), *store, embed)
-    docs, chunks = tables.read_table(spark, store[0], DOCUMENT), tables.read_table(spark, store[1], CHUNK)
+    docs, chunks = buckets.read_buckets(spark, store[0], DOCUMENT), buckets.read_buckets(spark, store[1], CHUNK)
     assert {r["title"] for r in docs.collect()} == {"A2", "b"} and chunks.count() == 2
     assert all(len(r["embedding"]) == 64 for r in chunks.collect())
-    cleared = tables.clear_tables(spark, {store[0]: DOCUMENT, store[1]: CHUNK})
-    assert list(cleared.values()) == [2, 2] and tables.read_table(spark, store[1], CHUNK).isEmpty()
+    cleared = buckets.clear_buckets(spark, {store[0]: DOCUMENT, store[1]: CHUNK})
+    assert list(cleared.values()) == [2, 2] and buckets.read_buckets(spark, store[1], CHUNK).isEmpty()
 
 
 def daily_frame(spark):
@@ -144,15 +146,18 @@ def test_generated_corpus_and_golden_set(spark, tmp_path):
     assert "140" in cases[3]["ground_truth"]
     text = {r["name"]: r["text"] for r in corpus.reports(daily).collect()}
     assert len(text) == 3 and "| 2014-02 | 28 | 1445.0 | 44.5 |" in text["Volve_RealDaily_15-9-F-1_C.md"]
-    assert "- **Producing day rows:** 69" in text["Volve_RealDaily_15-9-F-1_C.md"]
+    assert "- **Producing days:** 69" in text["Volve_RealDaily_15-9-F-1_C.md"]
     blocks = corpus.reference_lines(corpus.golden_cases(daily)).collect()
     overview = sorted((b for b in blocks if b["name"] == corpus.FIELD_DOCUMENT), key=lambda b: b["block_no"])
     assert len(overview) == 1 + 4 + 4 and overview[0]["text"].startswith("# VOLVE Field Overview RealDailyProduction\n")
     folders = [str(tmp_path / n) for n in ("corpus", "golden", "documents", "chunks")]
     counts = corpus.resync(spark, daily, *folders, embed)
     assert counts.count() == 3 and counts.agg(F.sum("total_chunks")).first()[0] > 10
+    assert files_below(folders[0]) == sorted(text) and {r["name"]: r["text"] for r in read_named(spark, folders[0]).collect()} == text
     documents.write_blocks(corpus.reference_lines(corpus.golden_cases(daily)), str(tmp_path / "blocks"))
-    assert spark.read.text(str(tmp_path / "blocks")).count() > 30
+    whole = {r["name"]: r["text"] for r in read_named(spark, str(tmp_path / "blocks")).collect()}
+    parts = sorted(blocks, key=lambda b: (b["name"], b["block_no"]))
+    assert whole == {n: "".join(b["text"] for b in parts if b["name"] == n) for n in {b["name"] for b in parts}}
 
 
 def test_golden_file(spark, tmp_path):
@@ -172,7 +177,11 @@ def test_escalation_table_is_idempotent(spark, tmp_path):
     run = escalate_batches(str(tmp_path / "queue"), lambda df: published.append(df.count()))
     run(batch, 0)
     run(batch, 0)
-    assert tables.read_table(spark, str(tmp_path / "queue"), ESCALATION).count() == 1 and published == [1, 0]
+    assert tables.read_table(spark, str(tmp_path / "queue"), ESCALATION).count() == 1 and published == [1]
+    # another stream on the same table, whose batch ids begin at 0 as well
+    other = batch.withColumn("investigation_id", F.concat(F.lit("other"), "investigation_id"))
+    escalate_batches(str(tmp_path / "queue"), lambda df: published.append(df.count()))(other, 0)
+    assert tables.read_table(spark, str(tmp_path / "queue"), ESCALATION).count() == 2 and published == [1, 1]
 
 
 def test_escalations_reach_the_topic_after_a_failed_publish(spark, tmp_path):
@@ -196,9 +205,14 @@ def test_escalations_reach_the_topic_after_a_failed_publish(spark, tmp_path):
 
 def test_appended_rows_are_read_back(spark, tmp_path):
     folder = str(tmp_path / "log")
-    tables.append_rows(spark.range(3), folder)
-    tables.append_rows(spark.range(2), folder)
+    tables.append_rows(spark.range(3), folder, "a")
+    tables.append_rows(spark.range(2), folder, "b")
+    tables.append_rows(spark.range(2), folder, "b")
     assert tables.read_table(spark, folder, "id BIGINT").count() == 5
+    for batch, n in ((0, 4), (0, 4), (1, 1)):
+        append_batches(folder, "s")(spark.range(n), batch)
+    append_batches(folder, "other")(spark.range(2), 0)
+    assert tables.read_table(spark, folder, "id BIGINT").count() == 12
 
 
 def test_upsert_keeps_one_row_per_key(spark):
