@@ -19,6 +19,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 50_000
 #: Rows of a key above which it is joined apart from the others.
 HUB = 512
+#: Parts in which a large group of equal rows is numbered.
+COPY_BUCKETS = 256
 
 
 def words(text: Column) -> Column:
@@ -67,7 +69,11 @@ def join_hubs(df: DataFrame, side: DataFrame, on: str, how: str = "inner") -> Da
     at most HUB rows a key, by merge. Null keys join nothing.
     """
     hubs = df.groupBy(on).agg(F.count("*").alias("hub__rows")).where(F.col("hub__rows") > HUB).select(on)
-    hubs = materialise(hubs.where(F.col(on).isNotNull()))
+    return split_hubs(df, side, on, materialise(hubs.where(F.col(on).isNotNull())), how)
+
+
+def split_hubs(df: DataFrame, side: DataFrame, on: str, hubs: DataFrame, how: str = "inner") -> DataFrame:
+    """As `join_hubs`, with the hubs known."""
     found = hubs.count()
     if not found or found > BROADCAST_ROWS:
         return df.join(side.hint("merge"), on, how)
@@ -77,6 +83,25 @@ def join_hubs(df: DataFrame, side: DataFrame, on: str, how: str = "inner") -> Da
     return many.unionByName(rest)
 
 
+def copy_numbers(df: DataFrame, mark: str, row_no: str = "row_no") -> DataFrame:
+    """Add copy_no: 0 where at most HUB rows share a `mark`, else the row's number among them, from 1.
+
+    Tells equal rows of a large group apart, so that a hash over it deals them out. Which of the equal rows has which
+    number doesn't matter; the numbers are the same however the rows are partitioned.
+    """
+    hubs = materialise(df.groupBy(mark).agg(F.count("*").alias("n")).where(F.col("n") > HUB).select(mark))
+    found = hubs.count()
+    if not found:
+        return df.withColumn("copy_no", F.lit(0).cast("long"))
+    few = F.broadcast(hubs) if found <= BROADCAST_ROWS else hubs.hint("merge")
+    rest = df.join(few, mark, "left_anti").withColumn("copy_no", F.lit(0).cast("long"))
+    many = df.join(few, mark, "left_semi").withColumns(
+        {"copy__bucket": F.pmod(F.xxhash64(row_no), F.lit(COPY_BUCKETS)), "copy__one": F.lit(1)}
+    )
+    many = running(many, [mark], "copy__bucket", [row_no], {"copy_no": "copy__one"})
+    return rest.unionByName(many.drop("copy__bucket", "copy__one"))
+
+
 def running(
     df: DataFrame, group: Sequence[str], bucket: str, order: Sequence[Column | str], sums: dict[str, str]
 ) -> DataFrame:
@@ -104,13 +129,15 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of an edge table (a, b): rows (node, component_id) with the smallest node of each component.
 
     Alternates large-star and small-star steps until the edges stop changing; every star takes its minimum by a
-    combined aggregate, so a hub needs no single task. Nodes without an edge are not listed.
+    combined aggregate and joins hubs apart from the rest, so a hub needs no single task. Nodes without an edge are not
+    listed.
     """
 
     def stars(pairs: DataFrame, large: bool) -> DataFrame:
         """pairs (u, v). Large: all neighbours above u go to the least of u and its neighbours. Small: the other way."""
-        least = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        joined = pairs.join(least.hint("merge"), "u")
+        least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+        least = materialise(least)
+        joined = split_hubs(pairs, least.drop("n"), "u", least.where(F.col("n") > HUB).select("u"))
         if large:
             return joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         return joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from borewatch.llm.common import hexed_share
+from borewatch.llm.common import hexed_share, materialise
 from borewatch.llm.terms import IS_LETTER, PRIME, STRIP, TO_LOWER, bucket, strips, word_hashes, words_of
 from borewatch.session import ship_package
 
@@ -257,9 +257,10 @@ def has_letter(text: bytes) -> bool:
 def learn(
     docs: DataFrame, *, text: str, doc_id: str, lang: str, held_out, sample: int, sample_of_all: int
 ) -> tuple[list[str], dict]:
-    """Languages and model from about `sample` documents of each language outside the held-out fold, drawn by a hash.
+    """Languages and model from about `sample` documents of each language outside the held-out fold, drawn by a hash of id
+    and text.
 
-    All languages are learned; where there are many, fewer documents of each.
+    All languages are learned, from one document at least; where there are many, from fewer documents of each.
     """
     usable = docs.where(~F.coalesce(held_out, F.lit(True)) & F.col(lang).isNotNull())
     counts = usable.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n"))
@@ -269,14 +270,18 @@ def learn(
         return [UNKNOWN], {"features": b"", "move": b""}
     sample = min(sample, max(LEAST_SAMPLE, sample_of_all // len(names)))
     # a row for each language
-    chances = usable.sparkSession.createDataFrame(
-        [(r["lang"], min(1.0, sample / r["n"])) for r in counts], "lang__drawn string, chance__drawn double"
-    )
-    drawn = usable.join(F.broadcast(chances), F.col(lang) == F.col("lang__drawn"))
-    drawn = drawn.where(hexed_share(F.col(doc_id), "language") < F.col("chance__drawn"))
-    rows = drawn.select(
-        F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("body")
-    )
+    chances = usable.sparkSession.createDataFrame([(r["lang"], min(1.0, sample / r["n"])) for r in counts], "lang string, chance double")
+    body = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
+    every = usable.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), body.alias("body"))
+    # by id and text: rows that share an id are drawn apart, equal rows count once
+    every = every.withColumn("draw", hexed_share(F.concat_ws(":", "id", F.md5("body")), "language"))
+    drawn = every.join(F.broadcast(chances), "lang").where("draw < chance")
+    rows = materialise(drawn.groupBy("lang", "id", "draw").agg(F.min_by("body", F.xxhash64("body")).alias("body")))
+    missing = sorted(set(names) - {r["lang"] for r in rows.select("lang").distinct().collect()})
+    if missing:
+        least = every.where(F.col("lang").isin(missing)).groupBy("lang").agg(F.min_by(F.struct("id", "draw", "body"), "draw").alias("r"))
+        rows = rows.unionByName(least.select("lang", "r.*"))
+    rows = rows.drop("draw")
     model = rows.repartition(1).mapInArrow(_train_in_task(names), "features binary, move binary").first()
     if model is None:
         return names, {"features": b"", "move": b""}

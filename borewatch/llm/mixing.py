@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Efraimidis-Spirakis keys. DataFrame functions only.
 
-Every document draws the exponential key -ln(u) / weight, where u comes from a hash of its id and the weight is its
-quality; within a source, documents in the order of their keys are a weighted sample without replacement of every
+Every document draws the exponential key -ln(u) / weight, where u comes from a hash of its id and text and the weight is
+its quality; within a source, documents in the order of their keys are a weighted sample without replacement of every
 length. A source whose target is above its size first gives whole epochs; the rest of the target is taken from the
 front of that order, by a prefix sum of the sizes.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from borewatch.llm.common import carried, hexed_share, join_counted, let, materialise, running, words
+from borewatch.llm.common import carried, copy_numbers, hexed_share, join_counted, let, materialise, running, words
 
 #: Characters of a word that lower the default quality weight.
 ODD = r"[0-9#*$%&|<>@^~_=+\\/{}\[\]]"
@@ -79,8 +79,8 @@ def mix(
 
     `copies` whole copies of the document belong to the mix and `taken` = copies * size. The document at the border of
     the budget is taken if at least half of it fits, so a source misses its target by half a document at most.
-    Null texts have size 0; null sources form a source of their own, the last; null ids draw as the empty id. Rows
-    with equal ids draw equal keys and are told apart by size and text. Empty tables give no rows. Other columns,
+    Null texts have size 0; null sources form a source of their own, the last; null ids draw as the empty id. A key is
+    drawn from id and text, and where more than 512 rows are equal in both also from a number among them. Empty tables give no rows. Other columns,
     whatever their names, are not looked at. A document of size 0 takes nothing; it has the copies of its place.
     """
     body, origin = F.col(text), F.col(source)
@@ -90,7 +90,7 @@ def mix(
         origin.alias("source"),
         words(body).alias("w"),
         *([] if weight is None else [weight.alias("worth")]),
-        *(carried(docs) if carry else []),
+        *(carried(docs)[:1] if carry else []),
     )
     worth = quality_weight(F.col("body"), F.col("w")) if weight is None else F.col("worth")
     sized = read.select(
@@ -98,22 +98,26 @@ def mix(
         "source",
         F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "source")).alias("skey"),
         F.size("w").cast("long").alias("size"),
-        F.xxhash64("body").alias("tie"),
-        (-F.log(hexed_share(F.col("doc_id"), salt)) / worth).alias("key"),
-        *(["carried", "row_no"] if carry else []),
+        F.md5(F.coalesce("body", F.lit("")).cast("binary")).alias("tie"),
+        worth.alias("worth"),
+        F.monotonically_increasing_id().alias("row_no"),
+        *(["carried"] if carry else []),
     )
-    sized = materialise(sized)
-    sources = sized.groupBy("skey").agg(
+    sized = materialise(sized).withColumn("same", F.xxhash64("doc_id", "tie"))
+    numbered = copy_numbers(sized.drop("carried"), "same")
+    drawn = hexed_share(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "tie", "copy_no"), salt)
+    keyed = numbered.withColumn("key", -F.log(drawn) / F.col("worth"))
+    sources = keyed.groupBy("skey").agg(
         F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("n_docs"),
         F.avg("key").alias("mean_key"),
     )
     plan = targets(sources, source_weights, share, most).join(sources.select("skey", "mean_key"), "skey")
-    rows = join_counted(sized.drop("carried"), materialise(plan), ["skey"])
+    rows = join_counted(keyed, materialise(plan), ["skey"])
     buckets = F.greatest(F.lit(LEAST_BUCKETS), F.ceil(F.col("n_docs") / BUCKET_ROWS))
     # 1 - exp(-key / mean) keeps the order of the keys and spreads them evenly
     bucket = F.floor(buckets * (1 - F.exp(-F.col("key") / F.col("mean_key"))))
     rows = rows.withColumn("bucket", F.coalesce(bucket, F.lit(0)))
-    order = [F.col("key"), F.col("doc_id"), F.col("size"), F.col("tie")]
+    order = [F.col("key"), F.col("doc_id"), F.col("tie")]
     rows = running(rows, ["skey"], "bucket", order, {"upto": "size"})
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.col("target") - epochs * F.col("source_size")

@@ -3,12 +3,14 @@
 OP1 = r"""
 WITH read AS (
   SELECT doc_id, source, coalesce(text, '') AS body,
-    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    CASE WHEN count(*) OVER (PARTITION BY doc_id, coalesce(text, '')) > 512
+      THEN row_number() OVER (PARTITION BY doc_id, coalesce(text, '')) ELSE 0 END AS copy_no
   FROM documents
 ), counted AS (
   SELECT *, length(regexp_replace(body, '[\x20\x09-\x0D]+', '', 'g')) AS n,
     len(regexp_extract_all(body, '[0-9#*$%&|<>@^~_=+\\/{}\[\]]')) AS odd,
-    (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496 AS u
+    (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(body) || ':' || copy_no), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496 AS u
   FROM read
 ), keyed AS (
   SELECT *, -ln(u) / CASE WHEN n = 0 THEN 0.01::DOUBLE
@@ -32,7 +34,7 @@ WITH read AS (
   FROM cut
 ), summed AS (
   SELECT keyed.*, s, target,
-    sum(size) OVER (PARTITION BY keyed.source ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) AS upto
+    sum(size) OVER (PARTITION BY keyed.source ORDER BY k, doc_id, md5(body) ROWS UNBOUNDED PRECEDING) AS upto
   FROM keyed JOIN targets ON keyed.source IS NOT DISTINCT FROM targets.source
 ), copied AS (
   SELECT *, ((CASE WHEN s > 0 THEN floor(target / s) ELSE 0 END)

@@ -302,9 +302,10 @@ def pack(
     counts = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table, _ = plan(counts, room)
     buckets = max(LEAST_BUCKETS, max(counts.values(), default=0) // BUCKET_ROWS)
-    tie = F.xxhash64("doc_id", "piece", "ids_crc32")
-    numbered = found.withColumns({"tie": tie, "bucket": F.pmod(tie, F.lit(buckets)), "one": F.lit(1)})
-    numbered = running(numbered, ["length"], "bucket", ["tie", "doc_id", "piece"], {"number": "one"})
+    # any order of the pieces of a length will do; by row, so that equal rows are dealt out like all others
+    numbered = found.withColumn("row__no", F.monotonically_increasing_id())
+    numbered = numbered.withColumns({"bucket": F.pmod(F.xxhash64("row__no"), F.lit(buckets)), "one": F.lit(1)})
+    numbered = running(numbered, ["length"], "bucket", ["row__no"], {"number": "one"})
     numbered = numbered.select(*found.columns, (F.col("number") - 1).alias("number"))
     full = T.StructType([*found.schema.fields]).add("sequence_id", T.LongType()).add("offset", T.LongType())
     return numbered.mapInArrow(_placed(table), full)

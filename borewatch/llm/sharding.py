@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from borewatch.llm.common import join_counted, materialise, running
+from borewatch.llm.common import copy_numbers, join_counted, materialise, running
 
 SAMPLE_A_RANGE = 20
 LEAST_RANGES, MOST_RANGES, RANGE_ROWS = 1024, 16_384, 100_000
@@ -24,7 +24,9 @@ def splitters(records: DataFrame, ranges: int, total: int) -> list[int]:
     draw = F.pmod(F.xxhash64("record", F.lit("draw")), F.lit(1 << 52)) / F.lit(float(1 << 52))
     hits = F.floor(F.col("size") / step + draw).cast("long")
     marks = F.array(*(F.lit(i / ranges) for i in range(1, ranges)))
+    # a record counts once for each step it holds; all together there are about as many as the sample has records
     sample = records.select("key", hits.alias("hits")).where("hits > 0")
+    sample = sample.select("key", F.explode(F.sequence(F.lit(1).cast("long"), F.col("hits"))).alias("hit"))
     found = sample.agg(F.percentile_approx("key", marks, F.lit(100 * ranges)).alias("m")).first()["m"]
     return sorted(set(found or []))
 
@@ -74,7 +76,7 @@ def shards(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n_sha
     The key is a hash of the text, so copies stand side by side and a group is cut only at a border of shards or where
     it overfills a range. Size: UTF-8 bytes plus 1. Shards differ by at most the largest document, or so; slots count
     from 0 without gaps. Null texts count as empty; null ids are sharded as any other, and rows that repeat an id and
-    text share a key and take slots of their own. Empty tables give no rows; other columns are not looked at.
+    text share a key and take slots of their own; where they are more than 512, they are dealt out by a number. Empty tables give no rows; other columns are not looked at.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     records = docs.select(
@@ -83,7 +85,10 @@ def shards(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n_sha
         F.crc32(body.cast("binary")).alias("text_crc32"),
         F.xxhash64(body).alias("key"),
         F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("record"),
+        F.monotonically_increasing_id().alias("row_no"),
     )
+    records = copy_numbers(materialise(records).withColumn("same", F.xxhash64("record", "key")), "same")
+    records = records.withColumn("record", F.concat_ws(":", "record", "copy_no")).drop("same", "copy_no", "row_no")
     out = place(materialise(records), n_shards)
     return out.select("doc_id", "size", "text_crc32", "shard", "slot")
 

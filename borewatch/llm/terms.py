@@ -15,6 +15,7 @@ STRIP = 1 << 20
 PRIME = np.uint32(0x01000193)
 SPREAD = np.uint32(0x9E3779B1)
 #: White space: the six ASCII characters.
+SPACES = (b"\t", b"\n", b"\x0b", b"\f", b"\r", b" ")
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Letters: a-z, A-Z and all bytes of characters beyond ASCII.
@@ -38,7 +39,7 @@ def strips(texts: list[bytes], most: int = STRIP) -> Iterator[tuple[np.ndarray,
         while at < len(text):
             end = min(len(text), at + most)
             if end < len(text):
-                cut = max(text.rfind(b" ", at, end), text.rfind(b"\n", at, end))
+                cut = max(text.rfind(space, at, end) for space in SPACES)
                 end = cut + 1 if cut > at else end
             piece = text[at:end]
             if parts and held + len(piece) > most:
@@ -78,15 +79,20 @@ def bucket(hashes: np.ndarray, salt: int, bits: int) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, *, label: str, text: str, doc_id: str, held_out: Column, most: int) -> DataFrame:
-    """Rows (y, body) for learning: of each class, at most `most` labelled rows outside the held-out fold, the first by a
-    hash of the id. The ids are bounded by the parameter, so they are broadcast; one pass over the texts."""
+    """Rows (id, y, body) for learning: of each class, at most `most` labelled ids outside the held-out fold, the first by
+    a hash of the id, and of each id one text, the one with the least hash. Ids that are labelled both ways teach nothing.
+    The ids are bounded by the parameter, so they are broadcast; one pass over the texts, reduced per id before its
+    shuffle."""
     usable = labels.where(~F.coalesce(held_out, F.lit(True)) & F.col(label).isin(0, 1))
-    usable = usable.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y"))
+    usable = usable.groupBy(F.col(doc_id).alias("id")).agg(
+        F.min(F.col(label).cast("int")).alias("y"), F.max(F.col(label).cast("int")).alias("other")
+    ).where("y = other and id is not null").select("id", "y")
     order = [F.xxhash64(F.col("id")), F.col("id")]
     some = [usable.where(F.col("y") == y).orderBy(*order).limit(most) for y in (0, 1)]
-    chosen = some[0].unionByName(some[1]).dropDuplicates(["id"])
+    chosen = some[0].unionByName(some[1])
     texts = docs.select(F.col(doc_id).alias("id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("body"))
-    return texts.join(F.broadcast(chosen), "id").select("id", "y", "body")
+    held = texts.join(F.broadcast(chosen), "id")
+    return held.groupBy("id", "y").agg(F.min_by("body", F.xxhash64("body")).alias("body"))
 
 
 def share_of_ones(labels: DataFrame, *, label: str, held_out: Column) -> float:
