@@ -170,10 +170,18 @@ def diagnose_v2(
     use_forest: bool = True,
     retrain: int = 60,
     min_consecutive: int = 2,
+    models: DataFrame | None = None,
 ) -> KeyedSeries:
-    """Add Z-scores, baselines, thresholds, forest score and the two stateless trigger flags."""
+    """Add Z-scores, baselines, thresholds, forest score and the two stateless trigger flags.
+
+    With `models`, a table of stored forests (`forest.fit_models`), nothing is trained: readings are scored by these.
+    """
     scored = baseline_v2(rolling_z(series, features, 2), features, streak=min_consecutive)
-    if use_forest and train_rows:
+    if models is not None:
+        scored = scored.transform(
+            lambda df: iforest.score_stored(df, models, series.keys, POS, features, iforest.V2_FOREST)
+        )
+    elif use_forest and train_rows:
         epochs = iforest.epochs_v2(F.col(train_rows), retrain=retrain)
         scored = iforest.forest_scores(scored.transform(lambda df: df.withColumns(epochs)), features, iforest.V2_FOREST)
         scored = scored.transform(lambda df: df.drop(iforest.FIT_AT, iforest.HISTORY))
@@ -331,19 +339,23 @@ def fold_series_v2(
     use_forest: bool = True,
     min_consecutive: int = 2,
     train_rows: str | None = None,
+    thresholds: DataFrame | None = None,
+    models: DataFrame | None = None,
 ) -> DataFrame:
     """Thresholds, diagnostics and fold over ordered readings; returns the alerting rows.
 
-    `train_rows` names a column with the number of training rows of the key, if there is one.
+    `train_rows` names a column with the number of training rows of the key, if there is one.  Stored `thresholds`
+    (keys and threshold_<feature>) and `models` take the place of calibration and training (D5).
     """
-    thresholds = None
-    if is_train is not None:
+    if is_train is not None and thresholds is None:
         if train_rows is None:
             train_rows = "train_rows"
             sizes = series.rows().groupBy(*series.keys).agg(F.count_if(F.col(is_train)).alias(train_rows))
             series = series.transform(lambda df: df.join(sizes, series.keys))
         thresholds = calibrate(series, features, train_rows)
-    diagnosed = diagnose_v2(series, thresholds, features, train_rows, use_forest, min_consecutive=min_consecutive)
+    diagnosed = diagnose_v2(
+        series, thresholds, features, train_rows, use_forest, min_consecutive=min_consecutive, models=models
+    )
     live = diagnosed.rows()
     if is_train is not None:
         live = live.filter(~F.col(is_train))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from borewatch.operators.ordering import BLOCK, HALO, POS, KeyedSeries
+from borewatch.operators.ordering import BLOCK, HALO, POS, KeyedSeries, join_null_safe
 
 SUBSAMPLE = 256
 FIT_AT = "_fit_at"
@@ -188,49 +188,134 @@ def fit_forest(values: np.ndarray, spec: ForestSpec, *seed: int) -> Forest:
     return forest
 
 
-def fit_models(series: KeyedSeries, features: list[str], spec: ForestSpec, history: int = 500) -> DataFrame:
-    """One saved forest per key, trained on its last `history` rows: arrays in a table."""
+MODEL = (
+    "center ARRAY<DOUBLE>, scale ARRAY<DOUBLE>, roots ARRAY<INT>, split_feature ARRAY<INT>, split_value ARRAY<DOUBLE>, "
+    "child ARRAY<INT>, path ARRAY<DOUBLE>, depth INT, normaliser DOUBLE, offset DOUBLE, fit_at BIGINT"
+)
+# Readings that meet a model in one row; a model is some 1.5 MB, so it is copied once for as many.
+SCORED_TOGETHER = 2048
+
+
+def flat_nodes(forest: Forest) -> dict[str, list]:
+    """The nodes of all trees as one table, level by level: feature (-1 at a leaf), split, left child (the right one
+    follows it) and path length of a leaf; `roots` are the rows of the roots."""
+    trees, nodes = forest.feature.shape
+    kept = np.zeros((trees, nodes), dtype=bool)
+    kept[:, 0] = True
+    for i in range((nodes - 1) // 2):
+        inner = kept[:, i] & (forest.feature[:, i] >= 0)
+        kept[:, 2 * i + 1] = kept[:, 2 * i + 2] = inner
+    place = np.cumsum(kept.ravel()).reshape(trees, nodes) - 1
+    tree, node = np.nonzero(kept)
+    feature = forest.feature[tree, node]
+    left = np.minimum(2 * node + 1, nodes - 1)
+    return {
+        "roots": place[:, 0].tolist(),
+        "split_feature": feature.tolist(),
+        "split_value": forest.threshold[tree, node].tolist(),
+        "child": np.where(feature >= 0, place[tree, left], -1).tolist(),
+        "path": forest.path[tree, node].tolist(),
+    }
+
+
+def fit_models(
+    series: KeyedSeries, features: list[str], spec: ForestSpec, history: int = 500, least: int = 90
+) -> DataFrame:
+    """One saved forest per key, trained on its last `history` rows: a row with the flat table of its nodes.
+
+    Keys with fewer than `least` complete rows have none.
+    """
     keys = series.keys
     ends = series.rows().groupBy(*keys).agg(F.max(POS).alias("_end"))
-    last = series.rows().join(ends, keys).filter(F.col(POS) > F.col("_end") - history)
-    key_ddl = ", ".join(f"{k} {series.df.schema[k].dataType.simpleString()}" for k in keys)
-    schema = (
-        f"{key_ddl}, center ARRAY<DOUBLE>, scale ARRAY<DOUBLE>, split_feature ARRAY<INT>, "
-        "split_value ARRAY<DOUBLE>, path ARRAY<DOUBLE>, depth INT, normaliser DOUBLE, offset DOUBLE"
-    )
+    last = join_null_safe(series.rows(), ends, keys).filter(F.col(POS) > F.col("_end") - history)
+    schema = T.StructType([series.df.schema[k] for k in keys])
+    for field in T.StructType.fromDDL(MODEL).fields:
+        schema.add(field)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         values = pdf.sort_values(POS)[features].ffill().dropna().to_numpy(dtype=float)
-        row = {k: [pdf[k].iloc[0]] for k in keys}
-        if len(values) < 90:
-            return pd.DataFrame({**row, "center": [[]]}).iloc[:0].reindex(columns=[*keys, *_MODEL_COLUMNS])
+        if len(values) < least:
+            return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in schema.fields})
         key = "|".join(str(pdf[k].iloc[0]) for k in keys)
-        model = fit_forest(values, spec, zlib.crc32(key.encode()), int(pdf[POS].max()))
-        return pd.DataFrame(
-            {
-                **row,
-                "center": [model.mean.tolist()],
-                "scale": [model.scale.tolist()],
-                "split_feature": [model.feature.ravel().tolist()],
-                "split_value": [model.threshold.ravel().tolist()],
-                "path": [model.path.ravel().tolist()],
-                "depth": [model.depth],
-                "normaliser": [model.normaliser],
-                "offset": [model.offset],
-            }
-        )
+        end = int(pdf[POS].max())
+        model = fit_forest(values, spec, zlib.crc32(key.encode()), end)
+        row = {
+            **{k: pdf[k].iloc[0] for k in keys},
+            "center": model.mean.tolist(), "scale": model.scale.tolist(), **flat_nodes(model),
+            "depth": model.depth, "normaliser": model.normaliser, "offset": model.offset, "fit_at": end,
+        }
+        return pd.DataFrame({name: [value] for name, value in row.items()})
 
     return last.select(*keys, POS, *features).groupBy(*keys).applyInPandas(fit, schema)
 
 
-_MODEL_COLUMNS = ["center", "scale", "split_feature", "split_value", "path", "depth", "normaliser", "offset"]
+def stored_score(values: Column, model: dict[str, Column], spec: ForestSpec) -> Column:
+    """Score of one reading (an array of its features) by a stored forest, as look-ups in the arrays of its nodes."""
+    centred = F.zip_with(values, model["center"], lambda v, c: v - c)
+    x = F.zip_with(centred, model["scale"], lambda v, s: v / s)
 
+    def leaf(root: Column, x: Column) -> Column:
+        def step(node: Column, _: Column) -> Column:
+            feature = F.get(model["split_feature"], node)
+            right = (F.get(x, feature) > F.get(model["split_value"], node)).cast("int")
+            return F.when(feature < 0, node).otherwise(F.get(model["child"], node) + right)
 
-def load_forest(row: pd.Series, trees: int) -> Forest:
-    def grid(name: str) -> np.ndarray:
-        return np.asarray(row[name]).reshape(trees, -1)
+        return F.aggregate(F.sequence(F.lit(1), model["depth"]), root, step)
 
+    def mean_path(x: Column) -> Column:
+        total = F.aggregate(model["roots"], F.lit(0.0), lambda held, root: held + F.get(model["path"], leaf(root, x)))
+        return total / F.size(model["roots"])
+
+    # the standardised reading is worked out once for all trees
+    path = F.element_at(F.transform(F.array(x), mean_path), 1)
+    decision = -F.pow(F.lit(2.0), -path / model["normaliser"]) - model["offset"]
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(spec.shift) - decision) / F.lit(spec.span)))
+
+
+def score_stored(
+    rows: DataFrame, models: DataFrame, keys: list[str], position: str, features: list[str], spec: ForestSpec,
+    out: str = "if_score",
+) -> DataFrame:
+    """Add the score of each reading by the stored forest of its key, 0 where there is none.
+
+    No Python: readings of a key are put together by the thousand, meet the row of their model and are walked down its
+    trees by array look-ups.  Missing features read as 0, as in training.
+    """
+    names = T.StructType.fromDDL(MODEL).fieldNames()
+    reading = F.struct(
+        F.struct(*rows.columns).alias("row"),
+        F.array(*[F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)) for f in features]).alias("values"),
+    )
+    slices = rows.select(*keys, F.floor(F.col(position) / SCORED_TOGETHER).alias("_slice"), reading.alias("_r"))
+    # at most SCORED_TOGETHER readings in a row
+    packed = slices.groupBy(*keys, "_slice").agg(F.collect_list("_r").alias("_rows"))
+    met = join_null_safe(packed, models.select(*keys, F.struct(*names).alias("_model")).hint("merge"), keys, "left")
+    model = {n: F.col(f"_model.{n}") for n in names}
+    scored = F.transform(
+        "_rows",
+        lambda r: F.struct(
+            r["row"].alias("row"),
+            F.when(F.col("_model").isNull(), F.lit(0.0)).otherwise(stored_score(r["values"], model, spec)).alias(out),
+        ),
+    )
+    return met.select(F.explode(scored).alias("_s")).select("_s.row.*", f"_s.{out}")
+
+
+def load_forest(row: pd.Series) -> Forest:
+    """The forest of a stored row, in the form that trains: heaps instead of a table."""
+    roots = np.asarray(row["roots"], dtype=np.int64)
+    feature, split, child, path = (np.asarray(row[c]) for c in ("split_feature", "split_value", "child", "path"))
+    nodes = 2 ** (int(row["depth"]) + 1) - 1
+    grids = np.full((len(roots), nodes), -1), np.zeros((len(roots), nodes)), np.zeros((len(roots), nodes))
+    at, here = roots, np.zeros(len(roots), dtype=np.int64)
+    tree = np.arange(len(roots))
+    while len(at):
+        for grid, values in zip(grids, (feature, split, path)):
+            grid[tree, here] = values[at]
+        inner = feature[at] >= 0
+        at, here, tree = at[inner], here[inner], tree[inner]
+        at = np.concatenate([child[at], child[at] + 1]).astype(np.int64)
+        here, tree = np.concatenate([2 * here + 1, 2 * here + 2]), np.concatenate([tree, tree])
     return Forest(
-        np.asarray(row["center"]), np.asarray(row["scale"]), grid("split_feature"), grid("split_value"),
-        grid("path"), int(row["depth"]), float(row["normaliser"]), float(row["offset"]),
+        np.asarray(row["center"]), np.asarray(row["scale"]), *grids, int(row["depth"]), float(row["normaliser"]), float(row["offset"])
     )

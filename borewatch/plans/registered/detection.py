@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from borewatch.functions import severity as sev
-from borewatch.operators import cusum, detect, rolling
+from borewatch.operators import cusum, detect, forest, rolling
 from borewatch.operators.ordering import POS, KeyedSeries
 from borewatch.plans.catalogue import query
 from borewatch.plans.roles import (
@@ -19,6 +21,7 @@ from borewatch.plans.roles import (
     telemetry,
 )
 from borewatch.schema import FEATURES
+from borewatch.session import ensure_checkpoint_dir
 
 PAIR = ["value", "k"]
 
@@ -420,3 +423,60 @@ def scored_readings(spark: SparkSession, folder: str) -> DataFrame:
     return detect.predict(every, alerts, ["well_id", "ordinal"]).select(
         "well_id", "ordinal", "is_anomaly", "anomaly_score", "consecutive_days", "cusum_triggered"
     )
+
+
+def stored_training(spark: SparkSession, folder: str, forests: bool) -> tuple[KeyedSeries, DataFrame, DataFrame | None]:
+    """Readings with their training mark, and the thresholds and forests of the training rows, stored and read back."""
+    base = f"{ensure_checkpoint_dir(spark)}/models/{uuid.uuid4().hex}"
+    series = with_train_mark(v2_series(spark, folder, 32))
+    trained = KeyedSeries.build(series.rows(keep_position=False).filter("is_train"), ["well_id"], TELEMETRY_ORDER, 32)
+    detect.calibrate(trained).write.parquet(f"{base}/thresholds")
+    thresholds = spark.read.parquet(f"{base}/thresholds")
+    if not forests:
+        return series, thresholds, None
+    forest.fit_models(trained, FEATURES, forest.V2_FOREST).write.parquet(f"{base}/forests")
+    return series, thresholds, spark.read.parquet(f"{base}/forests")
+
+
+@query(
+    "scored_readings_trained",
+    v2_sql(train=True).rsplit(_alerts_v2_sql(), 1)[0]
+    + f"""SELECT r.well_id, r.pos AS ordinal, a.pos IS NOT NULL AS is_anomaly,
+  CASE WHEN a.pos IS NOT NULL THEN round_even(least(1.0, {_greatest('z')} / {_greatest('threshold')}) * 10000, 0) / 10000 ELSE 0.0 END AS anomaly_score,
+  CASE WHEN a.pos IS NOT NULL THEN 2 ELSE 0 END AS consecutive_days, a.pos IS NOT NULL AND a.drift AS cusum_triggered
+FROM (SELECT well_id, pos FROM z) r LEFT JOIN (SELECT * FROM fold JOIN live USING (well_id, pos) WHERE alert) a USING (well_id, pos)""",
+)
+def scored_readings_trained(spark: SparkSession, folder: str) -> DataFrame:
+    """Every reading scored with stored thresholds; training readings raise no alerts."""
+    series, thresholds, _ = stored_training(spark, folder, False)
+    alerts = detect.alerts_v2(detect.fold_series_v2(series, is_train="is_train", thresholds=thresholds))
+    every = series.rows().select("well_id", F.col(POS).alias("ordinal"))
+    return detect.predict(every, alerts, ["well_id", "ordinal"]).select(
+        "well_id", "ordinal", "is_anomaly", "anomaly_score", "consecutive_days", "cusum_triggered"
+    )
+
+
+@query(
+    "forest_ranking",
+    f"""WITH {TELEMETRY_SQL}, {_ORDINAL_SQL}, t AS (SELECT well_id, n, floor(n * 0.7) AS cut, pos, reading_id % 9 = 0 AS planted FROM ordinal)
+SELECT well_id, count(*) AS live, count(*) FILTER (WHERE planted) AS planted, count(*) FILTER (WHERE planted) AS planted_first
+FROM t WHERE pos > cut AND cut >= 90 GROUP BY well_id""",
+)
+def forest_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    """Ranking quality of stored forests: readings planted far outside the training range behind it, and how many of them
+    the forest of their well puts before all others."""
+    series, _, models = stored_training(spark, folder, True)
+    tops = series.rows().filter("is_train").groupBy("well_id").agg(
+        F.count(F.lit(1)).alias("trained"), *[F.max(f).alias(f"top_{f}") for f in FEATURES]
+    )
+    live = series.rows().filter("not is_train").join(tops.filter("trained >= 90"), "well_id")
+    planted = F.col("reading_id") % 9 == 0
+    live = live.withColumn("planted", planted).withColumns(
+        {f: F.when(planted, 4 * F.col(f"top_{f}") + 100).otherwise(F.least(F.col(f), F.col(f"top_{f}"))) for f in FEATURES}
+    ).select("well_id", POS, "planted", *FEATURES)
+    scored = forest.score_stored(live, models, ["well_id"], POS, FEATURES, forest.V2_FOREST)
+    others = scored.groupBy("well_id").agg(F.max(F.when(~F.col("planted"), F.col("if_score"))).alias("_most"))
+    first = F.col("planted") & (F.col("if_score") > F.coalesce("_most", F.lit(-1.0)))
+    return scored.join(others, "well_id").groupBy("well_id").agg(
+        F.count(F.lit(1)).alias("live"), F.count_if("planted").alias("planted"), F.count_if(first).alias("planted_first")
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from borewatch.functions import severity as sev
 from borewatch.operators import detect
-from borewatch.operators.forest import V1_FOREST, V2_FOREST, fit_forest, fit_models, load_forest
+from borewatch.operators.forest import V1_FOREST, V2_FOREST, fit_forest, fit_models, load_forest, score_stored
 from borewatch.operators.ordering import POS, KeyedSeries
 from borewatch.schema import FEATURES
 from tests.series import BASE, START, cold_v2, noisy, z_scores
@@ -111,7 +111,42 @@ def test_saved_forests_score_like_fresh_ones(spark):
     for _, row in models.iterrows():
         values = frame[frame["well_id"] == row["well_id"]][FEATURES].to_numpy()
         fresh = fit_forest(values, V2_FOREST, zlib.crc32(row["well_id"].encode()), 150)
-        assert np.allclose(load_forest(row, 200).score(values, V2_FOREST), fresh.score(values, V2_FOREST))
+        assert np.array_equal(load_forest(row).score(values, V2_FOREST), fresh.score(values, V2_FOREST))
+
+
+def test_stored_forests_score_in_the_jvm_like_fresh_ones(spark, tmp_path):
+    frame = noisy(3, 300, shift_at=200)
+    frame.loc[5, FEATURES[0]] = None
+    df = spark.createDataFrame(frame)
+    series = KeyedSeries.build(df.filter("well_id <> 'W-2'"), ["well_id"], ["timestamp"])
+    fit_models(series, FEATURES, V2_FOREST).write.parquet(f"{tmp_path}/models")
+    models = spark.read.parquet(f"{tmp_path}/models")
+    rows = KeyedSeries.build(df, ["well_id"], ["timestamp"]).rows()
+    got = score_stored(rows, models, ["well_id"], POS, FEATURES, V2_FOREST).toPandas()
+    assert len(got) == 900 and set(got.columns) == {*rows.columns, "if_score"}
+    for _, row in models.toPandas().iterrows():
+        part = got[got["well_id"] == row["well_id"]].sort_values(POS)
+        want = load_forest(row).score(np.nan_to_num(part[FEATURES].to_numpy(dtype=float)), V2_FOREST)
+        assert np.allclose(part["if_score"], want, atol=1e-12) and want.max() > 0.5
+    assert (got[got["well_id"] == "W-2"]["if_score"] == 0).all()
+
+
+def test_detection_from_stored_thresholds_and_forests(spark, tmp_path):
+    frame = noisy(2, 420, shift_at=380)
+    frame["is_train"] = frame.groupby("well_id").cumcount() < 365
+    df = spark.createDataFrame(frame)
+    columns = ["well_id", "ordinal", "severity", "anomaly_score", "description"]
+    # 55 live rows: the batch form has not trained again yet
+    fresh = detect.detect_v2(df, is_train="is_train").select(*columns).collect()
+    series = KeyedSeries.build(df, ["well_id"], ["timestamp"], 32)
+    trained = KeyedSeries.build(df.filter("is_train"), ["well_id"], ["timestamp"], 32)
+    detect.calibrate(trained).write.parquet(f"{tmp_path}/thresholds")
+    fit_models(trained, FEATURES, V2_FOREST).write.parquet(f"{tmp_path}/models")
+    stored = detect.fold_series_v2(
+        series, is_train="is_train", thresholds=spark.read.parquet(f"{tmp_path}/thresholds"),
+        models=spark.read.parquet(f"{tmp_path}/models"),
+    )
+    assert sorted(detect.alerts_v2(stored).select(*columns).collect()) == sorted(fresh) and fresh
 
 
 def test_predict_keeps_normal_rows(spark):
