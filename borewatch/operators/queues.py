@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from borewatch.operators.quantiles import exact_quantiles
 from borewatch.schema import ESCALATION_STATUSES
 from borewatch.sources.tables import insert_absent
 
@@ -181,12 +182,12 @@ def token_rate(steps: DataFrame, ts: str, minutes: int = 5) -> DataFrame:
 
 
 def latency_quantiles(steps: DataFrame, latency: str, keys: list[str], exact: bool = False) -> DataFrame:
-    """p50, p95, p99; approximate with a bounded sketch unless `exact`."""
-    q = [0.5, 0.95, 0.99]
-    value = F.percentile(latency, q) if exact else F.percentile_approx(latency, q, 10_000)
-    return steps.groupBy(*keys).agg(value.alias("_q")).select(
-        *keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(("p50", "p95", "p99"))]
-    )
+    """p50, p95, p99; approximate with a bounded sketch unless `exact`, which scans the rows a few times."""
+    q, names = [0.5, 0.95, 0.99], ["p50", "p95", "p99"]
+    if exact:
+        return exact_quantiles(steps, latency, keys, q, names)
+    value = F.percentile_approx(latency, q, 10_000)
+    return steps.groupBy(*keys).agg(value.alias("_q")).select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
 
 
 def confidence_histogram(df: DataFrame, confidence: str, keys: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -75,6 +76,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored_once(df: DataFrame) -> DataFrame:
+    """Write the rows as Parquet below the checkpoint folder and read them back.
+
+    For tables that a loop joins with each other: a checkpoint keeps the estimated size of its plan, which such a loop
+    would multiply from round to round, while files have the size they have.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Redistribute a scan that has fewer partitions than the cluster has slots.
 
