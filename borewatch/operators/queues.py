@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from borewatch.operators.names import names_in_texts
 from borewatch.operators.quantiles import exact_quantiles
 from borewatch.schema import ESCALATION_STATUSES
 from borewatch.sources.tables import insert_absent
@@ -90,39 +91,19 @@ def new_escalations(existing: DataFrame, investigations: DataFrame, now: Column)
     return insert_absent(existing, escalation_rows(investigations, now), ["escalation_id"])
 
 
-def contains_ci(column: Column, needle: Column) -> Column:
-    """Case-insensitive substring test (F8)."""
-    return F.lower(column).contains(F.lower(needle))
-
-
 def maintenance_records(wells: DataFrame, chunks: DataFrame, newest: int = 5) -> DataFrame:
-    """Per well its newest maintenance chunks: filed under the well, or naming it.
+    """Per well its newest maintenance chunks: filed under the well, or naming it.
 
-    The two conditions are two joins: an equi-join on the well, and one of the well names with the
-    pieces of the text that have the length of a name and start like one.  Both are exact, so no
-    well meets a text that does not name it.  Only the newest few per well leave a task.
+    The two conditions are two joins: an equi-join on the well, and the names that the texts hold
+    (`names_in_texts`).  Both are exact, so no well meets a text that does not name it.  Only the
+    newest few per well leave a task.
     """
     logs = chunks.filter(F.col("doc_type") == "Maintenance Log").select(
         "document_id", "chunk_index", "title", "doc_type", "content", "indexed_at", F.col("well_id").alias("_filed")
     )
     key = ["document_id", "chunk_index"]
     filed = wells.select("well_id").join(logs, F.col("well_id") == F.col("_filed"))
-    names = wells.select("well_id", F.lower("well_id").alias("_name"))
-    # a handful of lengths, however many wells there are
-    lengths = sorted(r["n"] for r in names.select(F.length("_name").alias("n")).distinct().collect() if r["n"])
-    text = F.col("_text")
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_text")))
-    pieces = F.array_distinct(
-        F.flatten(F.transform(starts, lambda i: F.array(*[F.substring(text, i, F.lit(n)) for n in lengths])))
-    )
-    named = (
-        logs.select(*key, F.lower("content").alias("_text"))
-        .select(*key, F.explode_outer(pieces if lengths else F.array().cast("array<string>")).alias("_name"))
-        .join(names, "_name")
-        .select(*key, "well_id")
-        .distinct()
-        .join(logs, key)
-    )
+    named = names_in_texts(wells, logs, "well_id", key, "content").join(logs, key)
     both = filed.unionByName(named.select(*filed.columns)).dropDuplicates(["well_id", *key])
     order = Window.partitionBy("well_id").orderBy(F.desc("indexed_at"), *key)
     return (

@@ -2,12 +2,13 @@
 
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from borewatch.operators import detect
 from borewatch.sources import topics
-from borewatch.streaming import detector, jobs
+from borewatch.streaming import blocks, detector, jobs
 from borewatch.schema import FEATURES
 from tests.series import noisy
 
@@ -100,3 +101,30 @@ def test_trained_stream_equals_batch_across_a_restart(spark, tmp_path):
     columns = ["alert_id", "well_id", "ordinal", "severity", "anomaly_score", "description"]
     assert sorted(alerts.select(*columns).collect()) == sorted(batch.select(*columns).collect())
     assert alerts.count() > 5
+
+
+@pytest.mark.parametrize("use_forest", [False, True])
+def test_a_hot_well_is_cut_into_blocks(spark, tmp_path, use_forest):
+    """Nine tenths of the rows are one well's; triggers and blocks change no alert, nor does a batch that runs again."""
+    rows = 900 if use_forest else 1500
+    hot = noisy(1, rows, seed=3, shift_at=rows - 100)
+    others = noisy(3, rows // 30, seed=4)
+    others["well_id"] = "o" + others["well_id"]
+    frame = pd.concat([hot, others], ignore_index=True)
+    df = spark.createDataFrame(frame)
+    times = sorted(frame["timestamp"].unique())
+    for n, start in enumerate(range(0, len(times), 400)):
+        some = frame[frame["timestamp"].isin(times[start : start + 400])]
+        spark.createDataFrame(some).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    alerts = blocks.detect_in_blocks(stream, f"{tmp_path}/out", f"{tmp_path}/state", use_forest=use_forest, block_rows=250)
+    columns = ["alert_id", "ordinal", "severity", "anomaly_score", "description"]
+    want = sorted(detect.detect_v1(df, use_forest=use_forest).select(*columns).collect())
+    assert sorted(alerts.select(*columns).collect()) == want and len(want) > 20
+    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out" / "alerts").iterdir() if "=" in p.name)
+    assert last >= 2
+    again = blocks.diagnose_batches(df.schema, f"{tmp_path}/out", "well_id", ["timestamp"], FEATURES, "timestamp", use_forest, (), 250)
+    final = frame[frame["timestamp"].isin(times[400 * last :])]
+    again(spark.createDataFrame(final), last)
+    read = spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/out/alerts")
+    assert sorted(read.select(*columns).collect()) == want
