@@ -1,8 +1,9 @@
 """URL filters: host and path rules by longest fit, then pattern rules found by their rarest literal token.
 
-DataFrame functions only. A pattern rule states the literal tokens that every URL it matches must hold. The rule is
-filed under the one of them that is rarest in the URLs at hand; a URL looks up its tokens there, and only the rules it
-finds run their regular expression on it.
+DataFrame functions only. A pattern rule states, for each way in which it can match, the literal tokens that the URL
+must hold then. It is filed under the rarest token of every way, by counts over the URLs at hand; a URL looks up its
+tokens there, and only the rules it finds run their regular expression on it. No rule runs on every URL: one that states
+no token is refused.
 """
 
 from __future__ import annotations
@@ -17,19 +18,20 @@ from borewatch.llm.common import ascii_lower, join_counted, materialise
 
 @dataclass(frozen=True)
 class Pattern:
-    """A regular expression over the URL in lower case, the verdict it carries, and tokens that it can't match without."""
+    """A regular expression over the URL in lower case, the verdict it carries, and for each way to match the tokens that
+    it can't match without."""
 
     name: str
     regex: str
     verdict: str
-    literals: tuple[str, ...]
+    ways: tuple[tuple[str, ...], ...]
 
 
 HOST = r"://([^/?#]*[.\-])?"
 
 
 def _site(name: str, *tokens: str, end: str = r"([.\-][^/?#]*)?([/?#]|$)") -> Pattern:
-    return Pattern(name, HOST + "-".join(tokens) + end, "block", tokens)
+    return Pattern(name, HOST + "-".join(tokens) + end, "block", (tokens,))
 
 
 #: Production rules: gambling, adult, pills, advertising and spam hosts, and addresses that hold no prose.
@@ -45,11 +47,11 @@ PATTERNS = (
     _site("ads-track", "ads", "track"),
     _site("spam-farm", "spam", "farm"),
     _site("doubleclick", "doubleclick"),
-    Pattern("affiliate-link", r"[?&]aff(iliate)?_id=[0-9]+", "block", ("id",)),
-    Pattern("session-link", r"[?&]phpsessid=[0-9a-f]+", "block", ("phpsessid",)),
-    Pattern("cart", r"/(cart|checkout)/(add|step)[/?]", "block", ()),
-    Pattern("search-page", r"/search\?([^#]*&)?q=", "block", ("search", "q")),
-    Pattern("archive", r"\.(zip|rar|7z)([?#]|$)", "block", ()),
+    Pattern("affiliate-link", r"[?&]aff(iliate)?_id=[0-9]+", "block", (("aff", "id"), ("affiliate", "id"))),
+    Pattern("session-link", r"[?&]phpsessid=[0-9a-f]+", "block", (("phpsessid",),)),
+    Pattern("cart", r"/(cart|checkout)/(add|step)[/?]", "block", (("cart",), ("checkout",))),
+    Pattern("search-page", r"/search\?([^#]*&)?q=", "block", (("search", "q"),)),
+    Pattern("archive", r"\.(zip|rar|7z)([?#]|$)", "block", (("zip",), ("rar",), ("7z",))),
 )
 
 #: Host and path rules: (host, path, verdict).
@@ -77,19 +79,42 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(ascii_lower(url), "[^a-z0-9]+"), ""))
 
 
-def pattern_index(spark: SparkSession, urls: DataFrame, patterns: tuple[Pattern, ...]) -> DataFrame:
-    """Rows (token, name, regex, verdict, rank): each rule under its rarest literal, by counts over `urls`; rules that
-    state no literal are under the empty token, which every URL looks up."""
-    rules = spark.createDataFrame(
-        [(i, p.name, p.regex, p.verdict, list(p.literals) or [""]) for i, p in enumerate(patterns)],
-        "rank int, name string, regex string, verdict string, literals array<string>",
-    )
-    asked = rules.select("rank", "name", "regex", "verdict", F.explode("literals").alias("token"))
+RULES = "rank int, name string, regex string, verdict string, ways array<array<string>>"
+
+
+def pattern_table(spark: SparkSession, patterns: tuple[Pattern, ...] | DataFrame) -> DataFrame:
+    """Pattern rules as a table (see RULES), from rules written here or from one that is kept elsewhere. The first rank
+    that matches wins. Rules without a way, or with a way that states no token, are refused."""
+    if isinstance(patterns, DataFrame):
+        rules = patterns.select(*(c.split()[0] for c in RULES.split(", ")))
+    else:
+        rules = spark.createDataFrame(
+            [(i, p.name, p.regex, p.verdict, [list(w) for w in p.ways]) for i, p in enumerate(patterns)], RULES
+        )
+    sound = F.coalesce((F.size("ways") > 0) & F.forall("ways", lambda w: F.coalesce(F.size(w) > 0, F.lit(False))), F.lit(False))
+    bare = [r["name"] for r in rules.where(~sound).limit(5).collect()]
+    if bare:
+        raise ValueError(f"pattern rules without a literal token for each way to match: {bare}")
+    return rules
+
+
+def pattern_index(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rows (token, rank, name, regex, verdict): each rule under the rarest token of every way, by counts over `urls`."""
+    ways = rules.select("rank", "name", "regex", "verdict", F.posexplode("ways").alias("way", "tokens"))
+    asked = materialise(ways.select("rank", "name", "regex", "verdict", "way", F.explode("tokens").alias("token")))
     seen = urls.select(F.explode(tokens_of(F.col("url"))).alias("token"))
-    counts = seen.join(F.broadcast(asked.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("n"))
+    counts = join_counted(seen, asked.select("token").distinct(), ["token"], "left_semi").groupBy("token").agg(F.count("*").alias("n"))
     counted = asked.join(counts, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rarest = counted.groupBy("rank", "name", "regex", "verdict").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
-    return rarest
+    rarest = counted.groupBy("rank", "name", "regex", "verdict", "way").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+    return rarest.drop("way").distinct()
+
+
+def candidates(urls: DataFrame, index: DataFrame) -> DataFrame:
+    """(url, rank, name, regex, verdict): the rules whose token a URL holds, the only ones to run on it."""
+    asks = urls.select("url", F.explode(tokens_of(F.col("url"))).alias("token"))
+    found = join_counted(asks, index, ["token"], "inner").drop("token")
+    # rules stand together, so an expression is compiled once for all the URLs of a task that it runs on
+    return materialise(found.sortWithinPartitions("rank"))
 
 
 def judge(
@@ -98,7 +123,7 @@ def judge(
     url: str = "url",
     page_id: str = "page_id",
     host_rules: tuple[tuple[str, str, str], ...] = HOST_RULES,
-    patterns: tuple[Pattern, ...] = PATTERNS,
+    patterns: tuple[Pattern, ...] | DataFrame = PATTERNS,
 ) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, pattern.
 
@@ -106,8 +131,8 @@ def judge(
     path wins, then the longer host. Where none fits, the verdict is that of the first pattern rule (in their order)
     that matches, else `allow`. Null URLs, and those without `://`, have an empty host and path; patterns still look at
     what text there is. Each different URL is judged once, and pages that repeat it, or its id, read that judgement.
-    Empty tables give no rows; other columns are not looked at. Both rule tables are written by hand and joined by
-    broadcast up to a counted size.
+    Empty tables give no rows; other columns are not looked at. Pattern rules may be a table of any size (see RULES); both
+    rule tables are joined by broadcast up to a counted size.
     """
     spark = pages.sparkSession
     narrow = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"))
@@ -132,9 +157,8 @@ def judge(
             F.struct(F.length(rule), F.length("rule_host"), rule),
         ).alias("site")
     )
-    index = pattern_index(spark, urls, patterns)
-    asks = urls.select("url", F.explode(F.array_union(tokens_of(F.col("url")), F.array(F.lit("")))).alias("token"))
-    matching = join_counted(asks, materialise(index), ["token"], "inner").where(F.expr("lower(url) rlike regex"))
+    index = materialise(pattern_index(urls, pattern_table(spark, patterns)))
+    matching = candidates(urls.select("url"), index).where(F.expr("lower(url) rlike regex"))
     matching = matching.groupBy("url").agg(F.min_by(F.struct("name", "verdict"), "rank").alias("found"))
     judged = urls.join(fitting, "url", "left").join(matching, "url", "left")
     out = narrow.join(judged, "url", "left")

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from borewatch.llm import mixing, quality_rules, sharding, urls
 
@@ -220,7 +221,35 @@ def test_urls(spark):
 
 
 def test_patterns_hold_their_literals():
-    for url in ["http://x.casino.com/", "http://free-bets.org", "http://a.org/p?aff_id=1", "http://a.org/search?q=1", "http://cheap-pills-x.de"]:
+    urls_held = ["http://x.casino.com/", "http://free-bets.org", "http://a.org/p?aff_id=1", "http://a.org/p?affiliate_id=1",
+                 "http://a.org/search?q=1", "http://cheap-pills-x.de", "http://a.org/cart/add/", "http://a.org/checkout/step?",
+                 "http://a.org/x.zip", "http://a.org/x.7z?a"]
+    hit = set()
+    for url in urls_held:
         tokens = set(re.split("[^a-z0-9]+", url))
         for p in urls.PATTERNS:
-            assert not re.search(p.regex, url) or set(p.literals) <= tokens
+            if re.search(p.regex, url):
+                hit.add(p.name)
+                assert any(set(w) <= tokens for w in p.ways)
+    assert {"cart", "archive", "affiliate-link", "search-page"} <= hit
+
+
+def test_rules_from_a_table_run_where_their_token_stands(spark):
+    n = 3000
+    rows = [(i, f"brand{i}", rf"://([^/?#]*[.\-])?brand{i}-(shop|store)[.\-]", "block", [[f"brand{i}", "shop"], [f"brand{i}", "store"]])
+            for i in range(n)]
+    rules = spark.createDataFrame(rows, urls.RULES).withColumn("note", F.lit("x"))
+    found = [f"http://brand{i}-{'shop' if i % 2 else 'store'}.example.org/p{i}" for i in range(0, n, 7)]
+    found += [f"http://shop.org/store/brand{i}" for i in range(0, n, 11)] + ["http://shop.org/", "nothing", None]
+    pages = spark.createDataFrame(list(enumerate(found)), "page_id long, url string")
+    out = {r.page_id: r for r in urls.judge(pages, patterns=rules, host_rules=()).collect()}
+    for i, url in enumerate(found):
+        name = re.search(r"//(brand\d+)-(?:shop|store)\.", url or "")
+        assert out[i].pattern == (name[1] if name else None) and out[i].verdict == ("block" if name else "allow")
+    distinct = pages.where("url is not null").select("url").distinct()
+    run = urls.candidates(distinct, urls.pattern_index(distinct, urls.pattern_table(spark, rules)))
+    per_url = Counter(r.url for r in run.collect())
+    assert max(per_url.values()) == 1, "one of 3,000 expressions runs on a URL"
+    for bad in ([], [["a"], []], None):
+        with pytest.raises(ValueError, match="without a literal"):
+            urls.judge(pages, patterns=spark.createDataFrame([(1, "all", ".", "block", bad)], urls.RULES))
