@@ -134,6 +134,16 @@ def test_pack_and_simhash_of_equal_rows(spark, hot):
     assert groups.count() == 1800 and groups.where("doc_id = 7").select("component_id").distinct().count() >= 1
 
 
+def test_other_tokenizer_files_are_used_plainly():
+    import public_tokenizers
+
+    words, bytes_ = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    assert isinstance(packing._ids(words), packing.Ids) and isinstance(packing._ids(bytes_), packing.PlainIds)
+    texts = ["A pump, a PUMP.", "", "x\ty  z"]
+    whole = [packing._encoder(bytes_).encode(t, add_special_tokens=False).ids for t in texts]
+    assert [list(memoryview(b).cast("I")) for b in packing._ids(bytes_).of(texts)] == whole
+
+
 def test_pipeline_without_rows(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
