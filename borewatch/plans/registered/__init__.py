@@ -5,6 +5,7 @@ from borewatch.plans.registered import (  # noqa: F401
     cover,
     decisions,
     detection,
+    evidence,
     generation,
     retrieval,
     stores,
