@@ -395,8 +395,8 @@ def overview_front(
     """For overview queries the overview chunks to put first: query, chunk keys, front_rank.
 
     Chunks of 180 characters or more are preferred if there are enough; then by overlap with the
-    query, length and index.  Every overview chunk is ranked: they are dealt into blocks, each
-    query visits each block, and only the best `count` per query and task are shuffled.
+    query, length and index.  Every overview chunk is ranked: both sides are dealt into slices, a
+    pair of slices meets in one task, and only the best `count` per query and task are shuffled.
     """
     pool = chunks.filter(F.col("source_path").ilike(pattern)).select(*CHUNK_KEY, "content")
     long = F.length(tx.strip(F.col("content"))) >= shortest
@@ -404,13 +404,20 @@ def overview_front(
     if size["long"] >= min(4, count // 2):
         pool = pool.filter(long)
     blocks = max(1, -(-size["n"] // OVERVIEW_BLOCK))
-    asking = queries.filter(tx.is_overview_query(F.col("query"))).select(
+    wanted = queries.filter(tx.is_overview_query(F.col("query")))
+    asks = max(1, -(-wanted.count() // QUERY_BLOCK))
+
+    def numbers(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    asking = wanted.select(
         "query_id",
         tx.substantive_tokens(F.col("query")).alias("_terms"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block"),
+        F.pmod(F.xxhash64("query_id"), F.lit(asks)).alias("_ask"),
+        numbers(blocks).alias("_block"),
     )
-    dealt = pool.withColumn("_block", F.pmod(F.xxhash64(*CHUNK_KEY), F.lit(blocks)))
-    rated = asking.join(dealt.hint("merge"), "_block").select(
+    dealt = pool.select("*", F.pmod(F.xxhash64(*CHUNK_KEY), F.lit(blocks)).alias("_block"), numbers(asks).alias("_ask"))
+    rated = asking.join(dealt.hint("merge"), ["_ask", "_block"]).select(
         "query_id", *CHUNK_KEY,
         tx.share_contained(F.col("_terms"), F.lower("content")).alias("_overlap"),
         F.length("content").alias("_length"),

@@ -57,6 +57,21 @@ def monthly_production(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "wellbore_monthly_production",
+    f"""WITH {MONTHLY_SQL} SELECT 'bore ' || field_name AS well_id, field_name, "year", "month", oil_net_mill_sm3, produced_water_mill_sm3 AS water_net_mill_sm3, oil_bopd, water_bwpd, water_cut_pct, gor_scf_bbl
+FROM monthly WHERE "year" BETWEEN 1993 AND 1996""",
+)
+def wellbore_monthly_production(spark: SparkSession, folder: str) -> DataFrame:
+    """The monthly file of wellbores, which names its columns in its own way (S3)."""
+    raw = raw_monthly(spark, folder).withColumnRenamed("prfPrdProducedWaterInFieldMillSm3", "prfPrdWaterNetMillSm3")
+    raw = raw.withColumn("wlbWellboreName", F.concat(F.lit("bore "), "prfInformationCarrier"))
+    return production.normalise_wellbore_monthly(raw, 1993, 1996).select(
+        "well_id", "field_name", "year", "month", "oil_net_mill_sm3", "water_net_mill_sm3", "oil_bopd", "water_bwpd",
+        "water_cut_pct", "gor_scf_bbl",
+    )
+
+
 @query(
     "well_statistics",
     f"""WITH {DAILY_SQL}
