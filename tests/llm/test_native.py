@@ -133,6 +133,31 @@ def test_quality_word_soup(spark):
     for i in range(100, 104):
         assert not out[i].base_failed and out[i].class_distance < 0.2 and not out[i].kept
 
+    # the words' half a second time: common words by the share of each text, distances, the bare one, the limit
+    mass = Counter()
+    split = {i: found(t) for i, t, _ in rows}
+    for w in split.values():
+        if len(w) >= 50:
+            for x in w:
+                mass[x] += 10**9 // len(w)
+    listed = sorted((x for x in mass if len(x.encode()) <= 24 and re.search("[^\\W\\d_]", x)), key=lambda x: (-mass[x], x))[:16]
+
+    def shares(w):
+        n = Counter(w)
+        return [n[x] / len(w) for x in listed] + [sum(k for x, k in n.items() if x not in listed) / len(w)]
+
+    def js(p, q):
+        return math.sqrt(max(0.0, sum(a * math.log2(2 * a / (a + b)) for x, y in zip(p, q) for a, b in ((x, y), (y, x)) if a) / 2))
+
+    usable = [shares(w) for i, w in split.items() if not out[i].base_failed and sum(map(len, w)) >= 100]
+    ref = [sum(u[k] for u in usable) / len(usable) for k in range(17)]
+    bare = js([0.0] * 16 + [1.0], ref)
+    for i, w in split.items():
+        distance = js(shares(w), ref)
+        assert out[i].word_distance == pytest.approx(distance, abs=1e-9)
+        too_far = distance**2 > (0.6 * bare) ** 2 + 16 / (8 * math.log(2) * len(w))
+        assert out[i].kept == (not out[i].base_failed and not too_far and out[i].class_distance <= 0.3)
+
 
 def test_quality_of_other_languages(spark):
     """Languages without any list beforehand, a script without case, and no language; soup of each, and a rare tongue."""
