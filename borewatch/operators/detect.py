@@ -347,6 +347,9 @@ def fold_series_v2(
     `train_rows` names a column with the number of training rows of the key, if there is one.  Stored `thresholds`
     (keys and threshold_<feature>) and `models` take the place of calibration and training (D5).
     """
+    if is_train is not None:
+        # sizes, calibration and windows each read these rows
+        series = series.transform(cut_lineage)
     if is_train is not None and thresholds is None:
         if train_rows is None:
             train_rows = "train_rows"

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from borewatch.operators.ordering import BLOCK, HALO, POS, KeyedSeries, join_null_safe
+from borewatch.session import cut_lineage
 
 SUBSAMPLE = 256
 FIT_AT = "_fit_at"
@@ -61,10 +62,13 @@ def epochs_v2(train_rows: Column, retrain: int = 60, history: int = 500, least:
 def forest_scores(series: KeyedSeries, features: list[str], spec: ForestSpec, out: str = "if_score") -> KeyedSeries:
     """Add the forest score of each row, 0 where no forest exists yet.
 
-    Needs `_fit_at` and `_history`.  A group is one block and its halo, so its size is bounded.
+    Needs `_fit_at` and `_history`.  A group is one block and its halo, so its size is bounded.  Only
+    keys, positions and features leave the JVM, and scores come back; the rows meet them again by position.
     """
     keys = series.keys
-    schema = T.StructType([*series.df.schema.fields, T.StructField(out, T.DoubleType())])
+    # read by the growing and by the join
+    series = series.transform(cut_lineage)
+    schema = T.StructType([series.df.schema[k] for k in keys]).add(POS, T.LongType()).add(out, T.DoubleType())
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(POS, kind="stable")
@@ -82,9 +86,14 @@ def forest_scores(series: KeyedSeries, features: list[str], spec: ForestSpec, ou
             if len(learn) >= 20:
                 forest = fit_forest(learn, spec, zlib.crc32(key.encode()), int(epoch))
                 result[rows] = forest.score(np.nan_to_num(values[rows]), spec)
-        return pdf.assign(**{out: result})
+        found = own & (result != 0)
+        return pd.DataFrame({**{k: pdf[k].to_numpy()[found] for k in keys}, POS: position[found], out: result[found]})
 
-    return series.transform(lambda df: df.groupBy(*keys, BLOCK).applyInPandas(score, schema))
+    narrow = series.df.select(*keys, BLOCK, POS, HALO, FIT_AT, HISTORY, *features)
+    scores = narrow.groupBy(*keys, BLOCK).applyInPandas(score, schema)
+    return series.transform(
+        lambda df: join_null_safe(df, scores, [*keys, POS], "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
+    )
 
 
 @dataclass
