@@ -19,6 +19,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 50_000
 #: Rows of a key above which it is joined apart from the others.
 HUB = 512
+#: Parts over which the neighbours of a node are dealt where stars of a graph are joined.
+HUB_PARTS = 8
 #: Parts in which a large group of equal rows is numbered.
 COPY_BUCKETS = 256
 
@@ -69,15 +71,13 @@ def join_hubs(df: DataFrame, side: DataFrame, on: str, how: str = "inner") -> Da
     at most HUB rows a key, by merge. Null keys join nothing.
     """
     hubs = df.groupBy(on).agg(F.count("*").alias("hub__rows")).where(F.col("hub__rows") > HUB).select(on)
-    return split_hubs(df, side, on, materialise(hubs.where(F.col(on).isNotNull())), how)
-
-
-def split_hubs(df: DataFrame, side: DataFrame, on: str, hubs: DataFrame, how: str = "inner") -> DataFrame:
-    """As `join_hubs`, with the hubs known."""
+    hubs = hubs.where(F.col(on).isNotNull())
     found = hubs.count()
     if not found or found > BROADCAST_ROWS:
         return df.join(side.hint("merge"), on, how)
-    few = materialise(side.join(F.broadcast(hubs), on, "left_semi"))
+    # few rows, so they are written as one file
+    hubs = materialise(hubs.repartition(1))
+    few = materialise(side.join(F.broadcast(hubs), on, "left_semi").repartition(1))
     many = df.join(F.broadcast(hubs), on, "left_semi").join(F.broadcast(few), on, how)
     rest = df.join(F.broadcast(hubs), on, "left_anti").join(side.hint("merge"), on, how)
     return many.unionByName(rest)
@@ -89,10 +89,11 @@ def copy_numbers(df: DataFrame, mark: str, row_no: str = "row_no") -> DataFrame:
     Tells equal rows of a large group apart, so that a hash over it deals them out. Which of the equal rows has which
     number doesn't matter; the numbers are the same however the rows are partitioned.
     """
-    hubs = materialise(df.groupBy(mark).agg(F.count("*").alias("n")).where(F.col("n") > HUB).select(mark))
+    hubs = df.groupBy(mark).agg(F.count("*").alias("n")).where(F.col("n") > HUB).select(mark)
     found = hubs.count()
     if not found:
         return df.withColumn("copy_no", F.lit(0).cast("long"))
+    hubs = materialise(hubs.repartition(1 + found // BROADCAST_ROWS))
     few = F.broadcast(hubs) if found <= BROADCAST_ROWS else hubs.hint("merge")
     rest = df.join(few, mark, "left_anti").withColumn("copy_no", F.lit(0).cast("long"))
     many = df.join(few, mark, "left_semi").withColumns(
@@ -129,15 +130,17 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of an edge table (a, b): rows (node, component_id) with the smallest node of each component.
 
     Alternates large-star and small-star steps until the edges stop changing; every star takes its minimum by a
-    combined aggregate and joins hubs apart from the rest, so a hub needs no single task. Nodes without an edge are not
+    combined aggregate and meets it in HUB_PARTS parts, so a hub needs no single task. Nodes without an edge are not
     listed.
     """
 
     def stars(pairs: DataFrame, large: bool) -> DataFrame:
         """pairs (u, v). Large: all neighbours above u go to the least of u and its neighbours. Small: the other way."""
-        least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
-        least = materialise(least)
-        joined = split_hubs(pairs, least.drop("n"), "u", least.where(F.col("n") > HUB).select("u"))
+        least = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        # rows of a hub are dealt over parts, each of which meets a copy of its minimum
+        dealt = pairs.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(HUB_PARTS)))
+        copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(HUB_PARTS - 1).cast("long")))
+        joined = dealt.join(least.select("u", "m", copies.alias("part")).hint("merge"), ["u", "part"])
         if large:
             return joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         return joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(
