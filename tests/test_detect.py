@@ -179,3 +179,17 @@ def test_anomaly_types_and_the_unreachable_collapse(spark):
         "water": ("water_breakthrough",) * 2, "dry": (other,) * 2, "gor": ("gor_spike",) * 2,
         "bhp": ("bhp_depletion",) * 2, "oil": (other, "oil_rate_collapse"), "hot": ("thermal_excursion",) * 2,
     }
+
+
+def test_stored_models_come_in_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    from borewatch.operators import forest
+    from borewatch.plans.registered import detection
+
+    monkeypatch.setattr(forest, "MODELS_A_FILE", 1)
+    one = noisy(200, 1)
+    wells = [one.assign(well_id=f"W-{i}", reading_id=np.arange(len(one)) + 1000 * i) for i in range(3)]
+    frame = pd.concat(wells)
+    monkeypatch.setattr(detection, "telemetry", lambda *_: spark.createDataFrame(frame))
+    _, _, models = detection.stored_training(spark, str(tmp_path), True)
+    held = models.groupBy(F.input_file_name()).count().collect()
+    assert len(held) == 3 and {r["count"] for r in held} == {1}
