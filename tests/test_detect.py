@@ -181,6 +181,22 @@ def test_anomaly_types_and_the_unreachable_collapse(spark):
     }
 
 
+def test_leaves_found_while_growing_are_those_of_a_walk():
+    values = np.random.default_rng(8).normal(size=(300, 6)).round(1)
+    forest = fit_forest(values, V2_FOREST, 3)
+    x = (values - forest.mean) / forest.scale
+    want = np.empty((V2_FOREST.trees, len(x)))
+    for tree in range(V2_FOREST.trees):
+        for i, reading in enumerate(x):
+            node = 0
+            while forest.feature[tree, node] >= 0:
+                node = 2 * node + 1 + int(reading[forest.feature[tree, node]] > forest.threshold[tree, node])
+            want[tree, i] = forest.path[tree, node]
+    rows = np.broadcast_to(np.arange(len(x)), want.shape)
+    assert np.array_equal(forest.paths(x, rows), want)
+    assert forest.offset == np.percentile(forest.decision(want), 100 * V2_FOREST.contamination)
+
+
 def test_stored_models_come_in_files_of_bounded_size(spark, tmp_path, monkeypatch):
     from borewatch.operators import forest
     from borewatch.plans.registered import detection
