@@ -1,5 +1,6 @@
 """A key cut into blocks must give the rows an uncut key gives."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +112,26 @@ def test_area_does_not_depend_on_blocks(spark):
     )
     a, b = (sorted(metrics.roc_auc(rows, "s", F.col("y"), ["k"], **o).collect()) for o in ({}, {"block_rows": 16}))
     assert a == b and len(a) == 2
+
+
+def test_moments_equal_window_aggregates_over_nulls_and_batches(spark):
+    rng = np.random.default_rng(4)
+    rows = [
+        (key, i, None if rng.random() < 0.2 else float(rng.normal()), float(rng.normal()) if i % 5 else float("nan"))
+        for key, n in (("a", 1), ("b", 70), (None, 40), ("c", 9)) for i in range(n)
+    ]
+    df = spark.createDataFrame(rows, "k STRING, i INT, x DOUBLE, y DOUBLE")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for series in (KeyedSeries.build(df, ["k"], ["i"], 12), KeyedSeries.build(df, ["k"], ["i"], 12, 20)):
+            for first, last, sample in ((-12, -1, True), (-11, -3, False)):
+                over = series.trailing(first, last)
+                deviation = F.stddev_samp if sample else F.stddev_pop
+                want = {f"m_{c}": F.avg(c).over(over) for c in "xy"} | {f"s_{c}": deviation(c).over(over) for c in "xy"}
+                names = ["k", "_pos", *want]
+                moved = rolling.moments(series, ["x", "y"], [rolling.Frame(first, last, "m", "s", sample)])
+                got = sorted(map(str, moved.rows().select(*names).collect()))
+                assert got == sorted(map(str, series.transform(lambda d: d.withColumns(want)).rows().select(*names).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
