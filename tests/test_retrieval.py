@@ -1,3 +1,6 @@
+import hashlib
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -130,3 +133,25 @@ def test_gold_names_match_by_base_or_ending(spark):
     audit = metrics.retrieval_audit(metrics.gold_per_query(weak, found, sources, gold)).first()
     assert (audit["queries_with_gold"], audit["query_hits"], audit["chunk_hits"], audit["chunk_misses"]) == (2, 2, 5, 11)
     assert audit["miss_and_weak_evidence"] == 1 and audit["retrieval_recall"] == 1.0
+
+
+def test_embedding_counts_each_text_where_it_is_read(spark):
+    rows = [(1, "Pump pump SAND"), (1, "sand a/b-c"), (2, None), (3, "Kelvin İx"), (None, "pump"), (None, "valve"), (4, "!!"), (5, "")]
+    df = spark.createDataFrame(rows, "id INT, body STRING").repartition(3)
+    found = rt.hashed_embedding(df, ["id"], "body", size=8)
+    # One row per text is shuffled, once; before, every bucket of a text was, and then the texts again.
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = {}
+    for key, body in rows:
+        for token in re.findall(r"[a-z0-9][a-z0-9\-_/]*", (body or "").lower()):
+            digest = hashlib.md5(token.encode()).hexdigest()
+            want.setdefault(key, np.zeros(8))[int(digest[:6], 16) % 8] += 1 if int(digest[6], 16) < 8 else -1
+    got = {r["id"]: r["embedding"] for r in found.collect()}
+    assert got == {k: (v / np.sqrt((v * v).sum())).tolist() for k, v in want.items() if v.any()}
+
+
+def test_remembered_buckets_are_bounded(monkeypatch):
+    monkeypatch.setattr(rt, "KNOWN_TERMS", 3)
+    known, fresh = rt._Buckets(64), rt._Buckets(64)
+    for i in range(50):
+        assert known[f"term{i % 7}"] == fresh.__missing__(f"term{i % 7}") and len(known) <= 3
