@@ -1,7 +1,8 @@
-"""A data source that writes one text file per name, with exactly that name.
+"""A data source of text files by name: it writes one per name, with exactly that name, and reads them back.
 
 Tasks write below a hidden attempt folder.  Only the commit step, which knows that all tasks are through, moves files to
-their names, so a failed or repeated task leaves nothing behind, and running the job again gives the same names.
+their names, so a failed or repeated task leaves nothing behind, and running the job again gives the same names.  A reading
+task takes many small files.
 """
 
 from __future__ import annotations
@@ -11,12 +12,15 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 FORMAT = "named_text"
+# Files, and bytes of files, that one task reads, and bytes that it hands on together.
+SLICE_FILES, SLICE_BYTES, BATCH_BYTES = 1024, 64 << 20, 4 << 20
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -24,11 +28,17 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
+def sizes_below(path: str, allow_not_found: bool = True) -> dict[str, int]:
+    """Name and bytes of the files of a folder by name, hidden ones and folders left out."""
+    files, root = filesystem(path)
+    found = files.get_file_info(pafs.FileSelector(root, allow_not_found=allow_not_found))
+    kept = (f for f in found if f.type == pafs.FileType.File and not f.base_name.startswith((".", "_")))
+    return dict(sorted((f.base_name, f.size) for f in kept))
+
+
 def files_below(path: str) -> list[str]:
     """Names of the files of a folder, hidden ones and folders left out."""
-    files, root = filesystem(path)
-    found = files.get_file_info(pafs.FileSelector(root, allow_not_found=True))
-    return sorted(f.base_name for f in found if f.type == pafs.FileType.File and not f.base_name.startswith((".", "_")))
+    return list(sizes_below(path))
 
 
 @dataclass
@@ -71,11 +81,9 @@ class NamedTextWriter(DataSourceWriter):
             raise ValueError("rows of one name were written by several tasks: partition them by name")
         files.create_dir(root, recursive=True)
         for message in done:
+            # a move takes the place of a file of that name
             for name in message.names:
-                target = posixpath.join(root, name)
-                if files.get_file_info(target).type == pafs.FileType.File:
-                    files.delete_file(target)
-                files.move(posixpath.join(message.attempt, name), target)
+                files.move(posixpath.join(message.attempt, name), posixpath.join(root, name))
             if message.names:
                 files.delete_dir(message.attempt)
         if self.overwrite:
@@ -89,6 +97,45 @@ class NamedTextWriter(DataSourceWriter):
                 files.delete_dir(message.attempt)
 
 
+@dataclass
+class Slice(InputPartition):
+    names: list[str]
+
+
+class NamedTextReader(DataSourceReader):
+    def __init__(self, path: str):
+        self.path = path
+
+    def partitions(self) -> list[Slice]:
+        slices, held = [Slice([])], 0
+        for name, size in sizes_below(self.path, allow_not_found=False).items():
+            if not size:
+                continue
+            if slices[-1].names and (len(slices[-1].names) == SLICE_FILES or held + size > SLICE_BYTES):
+                slices.append(Slice([]))
+                held = 0
+            slices[-1].names.append(name)
+            held += size
+        return slices
+
+    def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
+        files, root = filesystem(self.path)
+        names: list[str] = []
+        texts: list[str] = []
+        held = 0
+        for name in partition.names:
+            with files.open_input_stream(posixpath.join(root, name)) as file:
+                data = file.read()
+            names.append(name)
+            texts.append(data.decode("utf-8", "replace"))
+            held += len(data)
+            if held >= BATCH_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], ["name", "text"])
+                names, texts, held = [], [], 0
+        if names:
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], ["name", "text"])
+
+
 class NamedText(DataSource):
     """Option `path`; rows (name string, text string)."""
 
@@ -96,6 +143,12 @@ class NamedText(DataSource):
     def name(cls) -> str:
         return FORMAT
 
+    def schema(self) -> str:
+        return "name string, text string"
+
+    def reader(self, schema) -> NamedTextReader:
+        return NamedTextReader(self.options["path"])
+
     def writer(self, schema, overwrite: bool) -> NamedTextWriter:
         return NamedTextWriter(self.options["path"], overwrite)
 
@@ -113,7 +166,6 @@ def write_named(df: DataFrame, folder: str, order: list[str] | None = None, over
 
 
 def read_named(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, text) of every file of a folder."""
-    texts = spark.read.text(folder, wholetext=True).select("value", F.input_file_name().alias("path"))
-    name = F.url_decode(F.replace(F.regexp_extract("path", r"([^/]*)$", 1), F.lit("+"), F.lit("%2B")))
-    return texts.select(name.alias("name"), F.col("value").alias("text"))
+    """(name, text) of every file of a folder that holds anything."""
+    spark.dataSource.register(NamedText)
+    return spark.read.format(FORMAT).option("path", folder).load()

@@ -8,8 +8,8 @@ from borewatch.operators import production_stats as stats
 from borewatch.operators.retrieval import CHUNK_KEY, hashed_embedding
 from borewatch.plans import corpus
 from borewatch.schema import CHUNK, DOCUMENT, ESCALATION
-from borewatch.sources import buckets, documents, production, tables, topics
-from borewatch.sources.named_files import files_below, read_named
+from borewatch.sources import buckets, documents, named_files, production, tables, topics
+from borewatch.sources.named_files import files_below, read_named, write_named
 from borewatch.streaming.jobs import append_batches
 
 HEADER = "DATEPRD,NPD_WELL_BORE_NAME,NPD_FIELD_NAME,FLOW_KIND,ON_STREAM_HRS,BORE_OIL_VOL,BORE_WAT_VOL,BORE_GAS_VOL,AVG_DOWNHOLE_PRESSURE,AVG_WHP_P,AVG_WHT_P,AVG_CHOKE_SIZE_P"
@@ -160,6 +160,35 @@ def test_generated_corpus_and_golden_set(spark, tmp_path):
     assert whole == {n: "".join(b["text"] for b in parts if b["name"] == n) for n in {b["name"] for b in parts}}
 
 
+def test_many_named_files(spark, tmp_path):
+    folder = str(tmp_path / "many")
+    pages = spark.range(600).select(F.format_string("a %%41+%d.md", "id").alias("name"), F.concat(F.lit("\u00fc\r\n"), "id").alias("text"))
+    empty = spark.createDataFrame([("empty.md", None)], "name string, text string")
+    write_named(spark.createDataFrame([("old.md", "gone"), ("a %41+7.md", "old")], "name string, text string"), folder)
+    write_named(pages.unionByName(empty), folder)
+    assert len(files_below(folder)) == 601 and "old.md" not in files_below(folder)
+    (tmp_path / "many" / "bad.md").write_bytes(b"a\xff")
+    (tmp_path / "many" / "_hidden").write_text("no")
+    found = read_named(spark, folder)
+    # A task takes many files; before, it took as many as fit their opening costs, 32.
+    assert found.rdd.getNumPartitions() == 1
+    want = {f"a %41+{i}.md": f"\u00fc\r\n{i}" for i in range(600)} | {"bad.md": "a\ufffd"}
+    assert {r["name"]: r["text"] for r in found.collect()} == want
+
+
+def test_named_files_are_dealt_into_slices(tmp_path, monkeypatch):
+    monkeypatch.setattr(named_files, "SLICE_FILES", 3)
+    monkeypatch.setattr(named_files, "SLICE_BYTES", 10)
+    for name, size in zip("abcdefgh", (1, 1, 1, 1, 9, 30, 0, 2)):
+        (tmp_path / name).write_text("x" * size)
+    reader = named_files.NamedTextReader(str(tmp_path))
+    assert ["".join(s.names) for s in reader.partitions()] == ["abc", "de", "f", "h"]
+    monkeypatch.setattr(named_files, "BATCH_BYTES", 2)
+    assert [b.to_pydict() for b in reader.read(reader.partitions()[0])] == [
+        {"name": ["a", "b"], "text": ["x", "x"]}, {"name": ["c"], "text": ["x"]}
+    ]
+
+
 def test_golden_file(spark, tmp_path):
     path = tmp_path / "golden.json"
     path.write_text(json.dumps([{"id": "1", "category": "c", "question": "q", "expected_topics": ["t"], "ground_truth": "g", "document_sources": ["a.md", "b.md"]}], indent=1))
