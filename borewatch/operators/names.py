@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from borewatch.operators.ordering import small_side
-from borewatch.session import stored_once
+from borewatch.session import spread, stored_once
 
 GRAM = 3
 # Letters of a text that are walked together; substrings of a short piece are cheap to reach.
@@ -32,7 +32,7 @@ def names_in_texts(names: DataFrame, texts: DataFrame, name: str, keys: list[str
     if not facts["longest"]:
         return texts.select(F.lit(None).cast("string").alias(name), *keys).limit(0)
     margin = facts["longest"]
-    pieces = _pieces(texts, keys, text, max(PIECE, margin), margin)
+    pieces = spread(_pieces(texts, keys, text, max(PIECE, margin), margin))
     seen = _grams(pieces, sorted(facts["grams"]))
 
     # every gram of every name, and how often the texts hold it
@@ -42,8 +42,9 @@ def names_in_texts(names: DataFrame, texts: DataFrame, name: str, keys: list[str
         F.sequence(F.lit(0), F.length("_name") - size), lambda i: F.struct(F.substring("_name", i + 1, size).alias("_gram"), i.alias("_at"))
     )
     filed = stored_once(spelled.select("_name", F.explode(grams).alias("_g")).select("_name", "_g.*"))
-    kinds = filed.select("_gram").distinct()
-    frequency = seen.join(small_side(kinds, filed.count()), "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    # names share their grams, so that those are few even where names are many
+    kinds = stored_once(filed.select("_gram").distinct())
+    frequency = seen.join(small_side(kinds, kinds.count()), "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
     # a gram that no text holds rules its name out
     rarest = Window.partitionBy("_name").orderBy(F.col("_n").asc_nulls_first(), "_gram", "_at")
     index = (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from borewatch.operators.names import names_in_texts
 from borewatch.operators.quantiles import exact_quantiles
 from borewatch.schema import ESCALATION_STATUSES
+from borewatch.session import stored_once
 from borewatch.sources.tables import insert_absent
 
 # Upper bounds of the confidence histogram.
@@ -96,11 +97,12 @@ def maintenance_records(wells: DataFrame, chunks: DataFrame, newest: int = 5) ->
 
     The two conditions are two joins: an equi-join on the well, and the names that the texts hold
     (`names_in_texts`).  Both are exact, so no well meets a text that does not name it.  Only the
-    newest few per well leave a task.
+    newest few per well leave a task.  The chunks, which are read four times, are worked out once.
     """
     logs = chunks.filter(F.col("doc_type") == "Maintenance Log").select(
         "document_id", "chunk_index", "title", "doc_type", "content", "indexed_at", F.col("well_id").alias("_filed")
     )
+    logs = stored_once(logs)
     key = ["document_id", "chunk_index"]
     filed = wells.select("well_id").join(logs, F.col("well_id") == F.col("_filed"))
     named = names_in_texts(wells, logs, "well_id", key, "content").join(logs, key)

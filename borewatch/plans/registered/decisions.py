@@ -313,7 +313,8 @@ SELECT well_id, CAST(n AS INTEGER) AS record_no, document_id, chunk_index, md5(s
 )
 def maintenance_records(spark: SparkSession, folder: str) -> DataFrame:
     source = corpus(spark, folder)
-    documents = as_documents(source, F.lit("2024-01-01").cast("timestamp"))
+    # Chunks of other documents are no records; the type follows from the path, as the id does.
+    documents = as_documents(source, F.lit("2024-01-01").cast("timestamp")).filter(F.col("doc_type") == "Maintenance Log")
     stamps = source.select(F.substring(F.sha2("path", 256), 1, 16).alias("document_id"), F.timestamp_seconds("doc_id").alias("indexed_at"))
     rows = as_chunks(documents).join(
         documents.select("document_id", "title", "doc_type", "well_id"), "document_id"

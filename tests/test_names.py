@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from borewatch.operators import names
+from borewatch.operators import names, queues
 from borewatch.operators.names import names_in_texts
 
 
@@ -49,3 +49,23 @@ def test_a_long_text_and_many_names(spark):
     assert want <= got and all(n.lower() in text for n, _ in got)
     # the others in the text are there by chance of the filler
     assert len(got) <= len(want) + 5
+
+
+def test_chunks_of_maintenance_are_worked_out_once(spark):
+    """A long scan of texts, as a cut into chunks is, isn't repeated for every step that reads its rows."""
+    worked = spark.sparkContext.accumulator(0)
+
+    def cut(batches):
+        for batch in batches:
+            worked.add(batch.num_rows)
+            yield batch
+
+    rows = [(f"d{i}", i % 3, "t", "Maintenance Log", f"pump of W-{i} and w-{i + 1}", None if i % 2 else "W-7") for i in range(40)]
+    schema = "document_id string, chunk_index int, title string, doc_type string, content string, well_id string"
+    texts = spark.createDataFrame(rows, schema).repartition(2)
+    chunks = texts.mapInArrow(cut, schema).selectExpr("*", "timestamp_seconds(chunk_index) AS indexed_at")
+    wells = spark.createDataFrame([("W-7",), ("W-12",), ("W-99",)], "well_id string")
+    got = {(r.well_id, r.document_id) for r in queues.maintenance_records(wells, chunks, newest=100).collect()}
+    assert {d for w, d in got if w == "W-12"} == {"d11", "d12"} and {w for w, _ in got} == {"W-7", "W-12"}
+    assert {d for w, d in got if w == "W-7"} == {f"d{i}" for i in range(0, 40, 2)} | {"d7"}
+    assert worked.value == len(rows)
