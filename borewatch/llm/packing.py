@@ -12,7 +12,7 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +26,9 @@ from borewatch.session import ship_package
 
 ROOM, END = 4096, 1
 #: Words whose ids a Python worker keeps; texts are encoded in chunks between white space, which no token crosses.
-MEMORY = 700_000
+MEMORY = 1_200_000
+#: Texts encoded together.
+TEXTS = 500
 LETTERS = re.compile("([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,]?)")
 CONTROLS = "\x1c\x1d\x1e\x1f"
 #: Third lengths tried for each first length, and rounds of the fit.
@@ -41,16 +43,30 @@ def _encoder(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=2)
+def _letter_encoder(path: str):
+    """The tokenizer for runs of lower-case letters with blanks between them, which need neither rules of white space and
+    case nor cuts."""
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+    letters = Tokenizer.from_file(path)
+    letters.normalizer = None
+    letters.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+    return letters
+
+
 class Ids:
     """Ids of texts as little-endian unsigned 32-bit bytes, by a memory of the chunks between white space.
 
     The tokenizer works on pieces between white space, and cuts letters from other characters; so a chunk of Latin
     letters, with or without a stop or comma behind them, has the ids of its letters in lower case and of the mark.
-    Unknown runs of letters are encoded together: each of them ends in a token that closes a word.
+    Unknown runs of letters are encoded together, by the tokenizer's model and bytes alone, as they need no cutting and
+    are in lower case already: each of them ends in a token that closes a word.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _encoder(path), {}
+        self.tokenizer, self.letters, self.known = _encoder(path), _letter_encoder(path), {}
         self.mark = {m: self.encode([m])[0] for m in ".,"} | {"": b""}
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -61,28 +77,30 @@ class Ids:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     def learn_letters(self, runs: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode(" ".join(runs), add_special_tokens=False).ids, dtype="<u4")
+        found = self.letters.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0]
+        ids = np.array(found.ids, dtype="<u4")
         ends = np.flatnonzero(self.closes[ids]) + 1
         if len(ends) != len(runs) or ends[-1] != len(ids):
             self.known.update(zip(runs, self.encode(runs), strict=True))
             return
-        whole, at = ids.tobytes(), 0
-        for run, end in zip(runs, (4 * ends).tolist(), strict=True):
-            self.known[run] = whole[at:end]
-            at = end
+        whole, at = ids.tobytes(), (4 * ends).tolist()
+        self.known.update(zip(runs, map(whole.__getitem__, map(slice, [0, *at[:-1]], at)), strict=True))
 
-    def learn(self, chunks: list[str]) -> None:
-        known, plain, rest = self.known, [], []
+    def learn(self, chunks: Iterable[str]) -> None:
+        known, words, marked, rest = self.known, [], [], []
         for chunk in chunks:
-            found = LETTERS.fullmatch(chunk)
-            if found:
-                plain.append((chunk, found[1].lower(), found[2]))
+            if chunk.isascii() and chunk.isalpha():
+                words.append(chunk)
+            elif found := LETTERS.fullmatch(chunk):
+                marked.append((chunk, found[1].lower(), found[2]))
             else:
                 rest.append(chunk)
-        runs = list({run for _, run, _ in plain}.difference(known))
+        lower = " ".join(words).lower().split(" ") if words else []
+        runs = list({*lower, *(run for _, run, _ in marked)}.difference(known))
         for k in range(0, len(runs), 5000):
             self.learn_letters(runs[k : k + 5000])
-        for chunk, run, mark in plain:
+        known.update(zip(words, map(known.__getitem__, lower), strict=True))
+        for chunk, run, mark in marked:
             known[chunk] = known[run] + self.mark[mark]
         for k in range(0, len(rest), 5000):
             known.update(zip(rest[k : k + 5000], self.encode(rest[k : k + 5000]), strict=True))
@@ -92,7 +110,7 @@ class Ids:
         split = [t.split(" ") if any(c in t for c in CONTROLS) else t.split() for t in texts]
         if len(self.known) > MEMORY:
             self.known.clear()
-        self.learn(list(set().union(*split).difference(self.known)))
+        self.learn(set().union(*split).difference(self.known))
         get = self.known.__getitem__
         return [b"".join(map(get, chunks)) for chunks in split]
 
@@ -113,6 +131,7 @@ class PlainIds:
 PROBES = (
     "The pump, the PUMP and the Pump. Pump.x 12.5 a,b", "  two  spaces\tand\n\nlines \r\n", "Ünïcode straße Éa ÉCOLE ñandú œuvre",
     "don't e-mail x_y <b>bold</b> #tag @me (a) [b] {c} 100% a/b", "日本語 текст हिन्दी عربى 한국", "\x1ca\x1fb\x00c\u00a0d\u200be", "", ".", "a" * 300,
+    "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ",
 )
 
 
@@ -135,8 +154,8 @@ def pieces_of(path: str, room: int, with_ids: bool):
         end = np.array([END], dtype="<u4").tobytes()
         ids = _ids(path)
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
+            for k in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(k, TEXTS)
                 row, piece, start, length, crc, lists = [], [], [], [], [], []
                 for i, found in enumerate(ids.of(part.column("body").to_pylist())):
                     found += end

@@ -118,6 +118,14 @@ def test_pack_round_trip(docs, rows, no_docs):
     assert packing.pack(no_docs, tokenizer=FILE).count() == 0
 
 
+
+def test_runs_of_letters_are_encoded_without_rules_of_case_and_white_space():
+    ids, plain = packing.Ids(FILE), packing.PlainIds(FILE)
+    assert ids.letters.normalizer is None and ids.tokenizer.normalizer is not None
+    texts = ["Pump PUMP pump. Grün, GRÜN grün straße, ñandú Œuvre x2 don't a.b", "À la Façade, ÿ þ Ð.", "", "ab " * 3000]
+    assert ids.of(texts) == plain.of(texts) and ids.of(texts[::-1]) == plain.of(texts[::-1])
+
+
 def test_memory_of_ids_is_the_tokenizer():
     ids = packing.Ids(FILE)
     texts = ["İstanbul Σας ΣΑΣ x\x1cy <|endoftext|> don't 'll ﬁ é", "Ñandú, µ. ..", "", " ", "x\u0301y ＡＢ ǅ.", "a\u00a0b\u3000c"]
