@@ -74,6 +74,21 @@ def test_cells_find_most_neighbours(spark):
         assert len({(r["query_id"], r["vec_id"]) for r in near} & exact) / len(exact) > 0.9
 
 
+def test_postings_shuffle_only_what_shares_a_key(spark):
+    alone = [("a", 0, "Pump pump the sand"), ("b", 0, ""), ("c", 0, None), ("d", 1, "the of")]
+    twice = [("e", 0, "sand pump pump"), ("e", 0, "sand sand gas"), ("e", 0, "gas"), (None, 0, "scale"), (None, 0, "scale")]
+    schema = "document_id STRING, chunk_index INT, content STRING"
+    index = rt.postings(spark.createDataFrame(alone, schema))
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    found = sorted(tuple(r) for r in index.collect())
+    assert found == [("a", 0, 3, "pump", 2, True), ("a", 0, 3, "sand", 1, False)]
+    both = {tuple(r) for r in rt.postings(spark.createDataFrame(alone + twice, schema).repartition(5)).collect()}
+    assert both - set(found) == {
+        ("e", 0, 3, "sand", 3, True), ("e", 0, 3, "pump", 2, False), ("e", 0, 3, "gas", 1, False), ("e", 0, 1, "gas", 1, True),
+        (None, 0, 1, "scale", 2, True),
+    }
+
+
 def test_lexical_ladder(spark, chunks):
     queries = ask(spark, "pump alpha sand", "pump alpha volcano", "volcano zebra inspection", "volcano", "pump alpha sand")
     rows = rt.lexical_top_k(queries, rt.postings(chunks), 10).collect()
