@@ -1,11 +1,14 @@
 """English stems by the published second Porter algorithm, as column expressions.
 
-Meant for a vocabulary, one row per distinct word, rather than for every occurrence: words are joined with their stems.
+Meant for a vocabulary, one row per distinct word, rather than for every occurrence.  `stem_of` is the same for a single
+word, for tasks that read whole texts and remember the words they have met.
 Words are lower-case; digits, hyphens and letters outside a-z count as non-vowels.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,3 +141,77 @@ def with_stems(words: DataFrame, word: str, out: str = "stem") -> DataFrame:
         .otherwise(F.translate(last, "Y", "y"))
     )
     return steps.withColumn(out, stem).drop("_w", "_p1", "_p2", "_plain")
+
+
+_FIND_PAIR = re.compile("^.*?[aeiouy][^aeiouy]").match
+_FIND_REGION = re.compile(f"^({REGION_WORDS})").match
+_HAS_VOWEL = re.compile("[aeiouy]").search
+_MARK_Y = re.compile("([aeiouy])y").sub
+_PLURAL = re.compile("[aeiouy].+s$").search
+_ENDS_IN_Y = re.compile("^.+[^aeiouy][yY]$").search
+_SHORT = re.compile(SHORT_END).search
+_DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
+
+
+def _shortened(w: str, rules, allowed) -> str:
+    for suffix, put in rules:
+        if w.endswith(suffix):
+            return w[: len(w) - len(suffix)] + put if allowed(w, suffix) else w
+    return w
+
+
+def stem_of(word: str) -> str:
+    """The stem of one lower-case word, as `with_stems` has it."""
+    if word in WHOLE:
+        return WHOLE[word]
+    if len(word) <= 2:
+        return word
+    w = _MARK_Y(r"\1Y", "Y" + word[1:] if word[0] == "y" else word)
+    found = _FIND_REGION(w) or _FIND_PAIR(w)
+    p1 = found.end() if found else len(w)
+    found = _FIND_PAIR(w[p1:])
+    p2 = p1 + found.end() if found else len(w)
+    if w.endswith("sses"):
+        w = w[:-2]
+    elif w.endswith(("ied", "ies")):
+        w = w[:-2] if len(w) > 4 else w[:-1]
+    elif not w.endswith(("us", "ss")) and _PLURAL(w):
+        w = w[:-1]
+    if w in AFTER_PLURALS:
+        return w
+    w = _without_past(w, p1)
+    if _ENDS_IN_Y(w):
+        w = w[:-1] + "i"
+
+    def behind(w: str, suffix: str, start: int) -> bool:
+        return len(w) - len(suffix) >= start
+
+    def second(w: str, suffix: str) -> bool:
+        before = w[-len(suffix) - 1 : -len(suffix)]
+        fits = behind(w, suffix, p1)
+        return fits and (before == "l" if suffix == "ogi" else suffix != "li" or before in tuple("cdeghkmnrt"))
+
+    w = _shortened(w, STEP_2, second)
+    w = _shortened(w, STEP_3, lambda w, s: behind(w, s, p2 if s == "ative" else p1))
+    w = _shortened(w, [(s, "") for s in STEP_4], lambda w, s: behind(w, s, p2) and (s != "ion" or w[-4:-3] in ("s", "t")))
+    if w.endswith("e") and (len(w) - 1 >= p2 or (len(w) - 1 >= p1 and not _SHORT(w[:-1]))):
+        w = w[:-1]
+    elif w.endswith("ll") and len(w) - 1 >= p2:
+        w = w[:-1]
+    return w.replace("Y", "y")
+
+
+def _without_past(w: str, p1: int) -> str:
+    if w.endswith("eedly"):
+        return w[:-3] if len(w) - 5 >= p1 else w
+    if w.endswith("eed"):
+        return w[:-1] if len(w) - 3 >= p1 else w
+    for suffix in ("ingly", "edly", "ing", "ed"):
+        if w.endswith(suffix):
+            stem = w[: -len(suffix)]
+            if not _HAS_VOWEL(stem):
+                return w
+            if stem.endswith(("at", "bl", "iz")) or (p1 >= len(stem) and not stem.endswith(_DOUBLES) and _SHORT(stem)):
+                return stem + "e"
+            return stem[:-1] if stem.endswith(_DOUBLES) else stem
+    return w

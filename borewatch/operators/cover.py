@@ -8,17 +8,28 @@ words in it.  So terms that stand together count for more than terms far apart,
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from borewatch.functions import text as tx
-from borewatch.functions.stem import with_stems
+from borewatch.functions.fixed import STOPWORDS, TOKEN_PATTERN
+from borewatch.functions.stem import stem_of, with_stems
 from borewatch.operators.ordering import small_side
-from borewatch.operators.retrieval import CHUNK_KEY, query_ladder
-from borewatch.session import cut_lineage
+from borewatch.operators.retrieval import CHUNK_KEY, KNOWN_LETTERS, TEXTS_AT_ONCE, counted_by_text, query_ladder
+from borewatch.session import cut_lineage, stored_once
 
 # Fixed value: weight of a term at an unmarked place.
 PLAIN_WEIGHT = 0.1
+# Words whose stems a task remembers.
+KNOWN_WORDS = 1 << 19
+STOPPED = frozenset(STOPWORDS)
 
 
 def vocabulary(words: DataFrame, term: str = "term") -> DataFrame:
@@ -26,14 +37,53 @@ def vocabulary(words: DataFrame, term: str = "term") -> DataFrame:
     return with_stems(words.select(F.col(term).alias("term")).distinct(), "term")
 
 
+class _Stems(dict):
+    """Word -> its stem, None for stopwords; forgets all once it holds KNOWN_WORDS."""
+
+    def __missing__(self, word: str) -> str | None:
+        stem = None if word in STOPPED else stem_of(word)
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        if len(word) <= KNOWN_LETTERS:
+            self[word] = stem
+        return stem
+
+
+def _stem_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (keys, lower-case `_text`) to keys, stem, places, one row per stem of a text."""
+    known, find = _Stems(), re.compile(TOKEN_PATTERN).findall
+    for batch in batches:
+        at = batch.schema.get_field_index("_text")
+        kept = [n for i, n in enumerate(batch.schema.names) if i != at]
+        for start in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            part = batch.slice(start, TEXTS_AT_ONCE)
+            rows, stems, sizes, places = [], [], [], []
+            for text in part.column(at):
+                held = defaultdict(list)
+                for place, stem in enumerate(map(known.__getitem__, find(text.as_py() or ""))):
+                    held[stem].append(place)
+                held.pop(None, None)
+                rows.append(len(held))
+                stems += held
+                sizes += map(len, held.values())
+                places.extend(chain.from_iterable(held.values()))
+            row = pa.array(np.repeat(np.arange(len(rows)), np.array(rows, dtype=np.int64)))
+            ends = pa.array(np.cumsum([0, *sizes]).astype(np.int32))
+            columns = [part.column(n).take(row) for n in kept]
+            columns += [pa.array(stems, pa.string()), pa.ListArray.from_arrays(ends, pa.array(places, pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, "stem", "places"])
+
+
 def positional_index(chunks: DataFrame, keys: list[str] = CHUNK_KEY, text: str = "content") -> DataFrame:
     """Keys, stem and the sorted positions at which words of that stem stand; all words count as places, stopwords are
-    left out.  Only distinct words are stemmed; their table is joined by broadcast where it is counted small."""
-    placed = chunks.select(*keys, F.posexplode(tx.tokens(F.col(text))).alias("_place", "term"))
-    placed = placed.filter(~tx.is_stopword(F.col("term")))
-    stems = cut_lineage(vocabulary(placed))
-    named = placed.join(small_side(stems, stems.count()), "term")
-    return named.groupBy(*keys, "stem").agg(F.array_sort(F.collect_list("_place")).alias("places"))
+    left out.  Words are stemmed and placed in the task that reads a chunk, and only rows of keys that several chunks
+    share are shuffled.  `chunks` is read twice."""
+    fields = [("stem", T.StringType()), ("places", T.ArrayType(T.IntegerType()))]
+
+    def added(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys, "stem").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
+
+    return counted_by_text(chunks, keys, text, _stem_places, fields, added)
 
 
 def stemmed_ladder(queries: DataFrame, query_key: str, text: str, first_terms: int | None) -> DataFrame:
@@ -102,7 +152,7 @@ def cover_density_top_k(
     ladder = stemmed_ladder(named.select("_q", text).dropDuplicates(["_q"]), "_q", text, first_terms)
     rungs = cut_lineage(ladder)
     wanted = rungs.select("stem").distinct()
-    kept = cut_lineage(index.join(small_side(wanted, rungs.count()), "stem", "left_semi"))
+    kept = stored_once(index.join(small_side(wanted, rungs.count()), "stem", "left_semi"))
     frequency = kept.groupBy("stem").agg(F.count(F.lit(1)).alias("df"))
     asked = cut_lineage(rungs.join(frequency, "stem"))
     terms = asked.count()

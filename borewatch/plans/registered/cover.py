@@ -9,7 +9,7 @@ from borewatch.functions import text as tx
 from borewatch.operators import cover, retrieval
 from borewatch.plans.catalogue import query
 from borewatch.plans.registered.retrieval import CHUNKS_SQL, asked, chunks
-from borewatch.session import cut_lineage
+from borewatch.session import stored_once
 
 # The SQL has its own lists: the words of the published algorithm, and the stopwords and token form of this library.
 _STOP_SQL = "['" + "','".join(
@@ -136,6 +136,6 @@ SELECT query_id, document_id, chunk_index, level, round(score, 6) AS score,
 FROM scored QUALIFY "rank" <= 192""",
 )
 def cover_density_top_k(spark: SparkSession, folder: str) -> DataFrame:
-    index = cut_lineage(cover.positional_index(chunks(spark, folder)))
+    index = stored_once(cover.positional_index(stored_once(chunks(spark, folder))))
     limit = retrieval.lexical_limit(retrieval.pool_size(16))
     return cover.cover_density_top_k(asked(spark, folder), index, limit).withColumn("score", F.round("score", 6))

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from borewatch.functions.stem import with_stems
+from borewatch.functions.stem import stem_of, with_stems
 from borewatch.operators import cover
 from borewatch.operators.retrieval import lexical_limit
 
@@ -183,3 +183,22 @@ def test_first_terms_has_a_form_without_limit(spark):
 @pytest.mark.parametrize("entries, terms, score", [([(0, 0)], 1, 0.1), ([(0, 0), (1, 1)], 2, 0.1), ([(0, 0), (5, 1)], 2, 0.02)])
 def test_spans_by_hand(entries, terms, score):
     assert covers(entries, terms) == pytest.approx(score)
+
+
+def test_stems_of_single_words_are_those_of_the_column(spark):
+    draw = random.Random(3)
+    ends = "ational tional izer fulli ogi logi li ousli ative ical ness ion sion ement ate e ll le s ies ied eed eedly ing ingly ed y yes".split()
+    words = {"".join(draw.choices("abeilnorsty", k=draw.randint(0, 6))) + draw.choice(ends) for _ in range(3000)} | set(PAIRS) | {"a1-b_s", "x/y"}
+    rows = with_stems(spark.createDataFrame([(w,) for w in sorted(words)], "term string"), "term").collect()
+    assert all(stem_of(r["term"]) == r["stem"] for r in rows)
+
+
+def test_places_are_shuffled_only_for_shared_keys(spark):
+    schema = "document_id STRING, chunk_index INT, content STRING"
+    rows = [("a", 0, "Pumps the pumping sand"), ("b", 0, None), ("c", 0, "the")]
+    index = cover.positional_index(spark.createDataFrame(rows, schema))
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in index.collect()) == [("a", 0, "pump", [0, 2]), ("a", 0, "sand", [3])]
+    rows += [("d", 0, "sand pump"), ("d", 0, "pump sand pumped"), (None, 0, "gas"), (None, 0, "gas")]
+    both = {(r[0], r[2], tuple(r[3])) for r in cover.positional_index(spark.createDataFrame(rows, schema).repartition(4)).collect()}
+    assert {x for x in both if x[0] not in ("a",)} == {("d", "pump", (0, 1, 2)), ("d", "sand", (0, 1)), (None, "gas", (0, 0))}
