@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from borewatch.operators import detect, passes
 from borewatch.operators.ordering import POS, KeyedSeries
+from borewatch.plans import benchmark
 from borewatch.plans.registered.detection import with_train_mark
 from borewatch.schema import FEATURES
 from tests.series import noisy
@@ -77,3 +78,11 @@ def test_a_fold_out_of_order_is_refused(spark):
     frame = pd.DataFrame({"well": "W", POS: [1, 3, 2], "z_x": 0.0, "raw_flag": False})
     with pytest.raises(Exception, match="not in their order"):
         detect.fold_in_order(spark.createDataFrame(frame).coalesce(1), ["well"], ["x"])
+
+
+def test_a_benchmark_stores_its_readings_once(spark, stored):
+    """The split rows are stored as files and injected where they are read; checkpoints hold events and alerts."""
+    frame = noisy(2, 700)
+    frame["is_producing"] = True
+    rows = benchmark.compare_versions(benchmark.producing(spark.createDataFrame(frame))).collect()
+    assert len(rows) == 2 and stored and max(stored) < 100
