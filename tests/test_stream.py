@@ -1,12 +1,15 @@
 """A stream in several triggers must raise the alerts of the batch form."""
 
 import json
+import zlib
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from borewatch.operators import detect
+from borewatch.operators import detect, forest
+from borewatch.operators.ordering import POS
 from borewatch.sources import topics
 from borewatch.streaming import blocks, detector, jobs
 from borewatch.schema import FEATURES
@@ -128,3 +131,34 @@ def test_a_hot_well_is_cut_into_blocks(spark, tmp_path, use_forest):
     again(spark.createDataFrame(final), last)
     read = spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/out/alerts")
     assert sorted(read.select(*columns).collect()) == want
+
+
+def test_a_trigger_stores_its_last_forest_once():
+    """Readings that pass the cadence several times grow several forests, and one enters the state, as bytes."""
+    rng = np.random.default_rng(4)
+    every = pd.DataFrame(rng.normal(size=(330, len(FEATURES))), columns=FEATURES)
+    every[POS] = np.arange(1, 331)
+    processor = detector.TrainedDetectorV2("well_id", ["timestamp"], FEATURES, [])
+
+    class State:
+        held = None
+        updates = 0
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held, self.updates = value, self.updates + 1
+
+    processor.forest, processor.forest_fields = State(), ["fit_at", *forest.PACKED, "depth", "normaliser", "offset"]
+    scores = processor._forest_scores("W-0", every, 150, 150)
+    row = dict(zip(processor.forest_fields, processor.forest.held))
+    assert processor.forest.updates == 1 and row["fit_at"] == 330 and all(isinstance(row[n], bytes) for n in forest.PACKED)
+    values = every[FEATURES].to_numpy()
+    last = forest.fit_forest(values, forest.V2_FOREST, zlib.crc32(b"W-0"), 330)
+    assert np.array_equal(forest.unpack_forest(row).score(values, forest.V2_FOREST), last.score(values, forest.V2_FOREST))
+    before = forest.fit_forest(values[:270], forest.V2_FOREST, zlib.crc32(b"W-0"), 270)
+    assert np.array_equal(scores[119:179], before.score(values[269:329], forest.V2_FOREST))
