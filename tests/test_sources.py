@@ -249,3 +249,29 @@ def test_upsert_keeps_one_row_per_key(spark):
     new = spark.createDataFrame([(1, "b"), (1, "c"), (2, "d")], "k INT, v STRING")
     out = tables.upsert(old, new, ["k"]).collect()
     assert sorted(r["k"] for r in out) == [1, 2] and "a" not in {r["v"] for r in out}
+
+
+def test_the_driver_holds_little_of_each_named_file(tmp_path, monkeypatch):
+    """What a writing task reports and what a reading task is told take a few bytes for each file, whatever its name."""
+    import pickle
+
+    monkeypatch.setattr(named_files, "ENTRIES_AT_ONCE", 7)
+    names = [f"{'long' * 30}-{i}.md" for i in range(400)]
+    folder = tmp_path / "out"
+    folder.mkdir()
+    for old in ("gone.md", names[3], *(f"old-{i}" for i in range(20))):
+        (folder / old).write_text("old")
+    writer = named_files.NamedTextWriter(str(folder), overwrite=True)
+    parts = [names[:150], [], names[150:]]
+    messages = [writer.write(iter([{"name": n, "text": t} for n in part for t in (n, "!")])) for part in parts]
+    assert sum(len(pickle.dumps(m)) for m in messages) < 40 * len(names)
+    writer.commit(messages)
+    assert files_below(str(folder)) == sorted(names) and not list(folder.glob("_attempt*"))
+    slices = named_files.NamedTextReader(str(folder)).partitions()
+    assert sum(len(pickle.dumps(s)) for s in slices) < 40 * len(names)
+    assert [n for s in slices for n in s.names] == sorted(names)
+    assert (folder / names[3]).read_text() == names[3] + "!"
+    twice = [writer.write(iter([{"name": "a.md", "text": "x"}])) for _ in range(2)]
+    with pytest.raises(ValueError, match="several tasks"):
+        writer.commit(twice)
+    assert files_below(str(folder)) == sorted(names) and not list(folder.glob("_attempt*"))
