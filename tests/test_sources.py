@@ -275,3 +275,20 @@ def test_the_driver_holds_little_of_each_named_file(tmp_path, monkeypatch):
     with pytest.raises(ValueError, match="several tasks"):
         writer.commit(twice)
     assert files_below(str(folder)) == sorted(names) and not list(folder.glob("_attempt*"))
+
+
+def test_ingestion_embeds_a_chunk_once(spark, tmp_path):
+    embedded = spark.sparkContext.accumulator(0)
+
+    def embed(chunks):
+        def run(parts):
+            for part in parts:
+                embedded.add(len(part))
+                yield part.assign(embedding=[[1.0]] * len(part))
+
+        return chunks.mapInPandas(run, f"{chunks._jdf.schema().toDDL()}, embedding ARRAY<FLOAT>")
+
+    corpus = spark.createDataFrame([(f"a/{i}.md", "word " * 1300) for i in range(5)], "path string, text string")
+    totals = documents.ingest(spark, corpus, str(tmp_path / "documents"), str(tmp_path / "chunks"), embed).collect()
+    assert len(totals) == 5 and {r["total_chunks"] for r in totals} == {3}
+    assert embedded.value == 15
