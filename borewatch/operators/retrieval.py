@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -492,6 +493,66 @@ def fuse(
     )
 
 
+def _best_overlaps(count: int, keys: list[str], names: list[str]) -> Callable:
+    """Of queries (`query_id`, `_terms`) and chunks (keys, lower-case `_text`, `_length`) the pairs that may be among the
+    best `count` of a query by overlap and length, with both.
+
+    A term that occurs in a text lies in a run of characters that terms are made of, and the terms in a run are looked up
+    once for all queries and texts that share it.
+    """
+    last: dict = {}
+
+    def lookup(terms: list[str]) -> tuple[dict, Callable, list[int], dict]:
+        if last.get("terms") != terms:
+            letters = "".join(re.escape(c) for c in sorted({c for t in terms for c in t}))
+            runs = re.compile(f"[{letters}]+").findall if letters else lambda _: []
+            sizes = sorted({len(t) for t in terms if t})
+            last.update(terms=terms, found=({t: i for i, t in enumerate(terms)}, runs, sizes, {}))
+        return last["found"]
+
+    def within(run: str, ids: dict, sizes: list[int]) -> list[int]:
+        found = {ids.get(run[i : i + n]) for n in sizes if n <= len(run) for i in range(len(run) - n + 1)}
+        return [i for i in found if i is not None]
+
+    def compare(asks: pa.Table, held: pa.Table) -> pa.Table:
+        queries = [t or [] for t in asks.column("_terms").to_pylist()]
+        ids, runs, sizes, known = lookup(sorted({t for terms in queries for t in terms}))
+        wanted = np.zeros((len(queries), len(ids)), dtype=np.float32)
+        for row, terms in enumerate(queries):
+            for term in terms:
+                wanted[row, ids[term]] += 1
+        there = np.zeros((len(ids), held.num_rows), dtype=np.float32)
+        for column, text in enumerate(held.column("_text").to_pylist()):
+            if text is None:
+                continue
+            present = {ids[""]} if "" in ids else set()
+            for run in set(runs(text)):
+                inside = known.get(run)
+                if inside is None:
+                    inside = within(run, ids, sizes)
+                    if len(run) <= KNOWN_LETTERS:
+                        if len(known) >= KNOWN_TERMS:
+                            known.clear()
+                        known[run] = inside
+                present.update(inside)
+            there[list(present), column] = 1
+        matched = (wanted @ there).astype(np.int64)
+        number = np.array([len(t) for t in queries], dtype=np.int64)
+        length = pc.fill_null(held.column("_length"), -1).to_numpy().astype(np.int64)
+        place = matched * (length.max(initial=0) + 2) + length + 1
+        keep = np.ones(place.shape, dtype=bool)
+        if held.num_rows > count:
+            keep = place >= -np.partition(-place, count - 1, axis=1)[:, count - 1 : count]
+        row, column = np.nonzero(keep)
+        overlap = matched[row, column] / np.maximum(number[row], 1)
+        chunks = held.select([*keys, "_length"]).take(pa.array(column))
+        columns = {"query_id": asks.column("query_id").take(pa.array(row)), "_overlap": pa.array(overlap)}
+        columns.update({n: chunks.column(n) for n in chunks.column_names})
+        return pa.table({n: columns[n] for n in names})
+
+    return compare
+
+
 def overview_front(
     queries: DataFrame, chunks: DataFrame, pattern: str = "%Field_Overview%", count: int = OVERVIEW_CHUNKS, shortest: int = 180
 ) -> DataFrame:
@@ -499,7 +560,8 @@ def overview_front(
 
     Chunks of 180 characters or more are preferred if there are enough; then by overlap with the
     query, length and index.  Every overview chunk is ranked: both sides are dealt into slices, a
-    pair of slices meets in one task, and only the best `count` per query and task are shuffled.
+    pair of slices meets in one task, which reads a text once for all its queries, and only the
+    best `count` per query and task, with what is equal to the last of them, are shuffled.
     """
     pool = chunks.filter(F.col("source_path").ilike(pattern)).select(*CHUNK_KEY, "content")
     long = F.length(tx.strip(F.col("content"))) >= shortest
@@ -519,12 +581,15 @@ def overview_front(
         F.pmod(F.xxhash64("query_id"), F.lit(asks)).alias("_ask"),
         numbers(blocks).alias("_block"),
     )
-    dealt = pool.select("*", F.pmod(F.xxhash64(*CHUNK_KEY), F.lit(blocks)).alias("_block"), numbers(asks).alias("_ask"))
-    rated = asking.join(dealt.hint("merge"), ["_ask", "_block"]).select(
-        "query_id", *CHUNK_KEY,
-        tx.share_contained(F.col("_terms"), F.lower("content")).alias("_overlap"),
-        F.length("content").alias("_length"),
+    dealt = pool.select(
+        *CHUNK_KEY, F.lower("content").alias("_text"), F.length("content").alias("_length"),
+        F.pmod(F.xxhash64(*CHUNK_KEY), F.lit(blocks)).alias("_block"), numbers(asks).alias("_ask"),
     )
+    schema = T.StructType([asking.schema["query_id"], *[dealt.schema[c] for c in CHUNK_KEY]])
+    schema.add("_overlap", T.DoubleType()).add(dealt.schema["_length"])
+    ship_package(queries.sparkSession)
+    pair = ["_ask", "_block"]
+    rated = asking.groupBy(*pair).cogroup(dealt.groupBy(*pair)).applyInArrow(_best_overlaps(count, CHUNK_KEY, schema.fieldNames()), schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("_overlap"), F.desc("_length"), "chunk_index", "document_id")
     return (
         rated.withColumn("front_rank", F.row_number().over(order))

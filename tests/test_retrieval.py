@@ -2,7 +2,9 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from borewatch.operators import metrics
@@ -170,3 +172,33 @@ def test_remembered_buckets_are_bounded(monkeypatch):
     known, fresh = rt._Buckets(64), rt._Buckets(64)
     for i in range(50):
         assert known[f"term{i % 7}"] == fresh.__missing__(f"term{i % 7}") and len(known) <= 3
+
+
+def test_overview_overlap_is_that_of_every_pair(spark, monkeypatch):
+    """Terms are sought once in a run of letters that chunks share; before, each query searched each text for each term."""
+    from borewatch.functions import text as tx
+
+    rng = np.random.default_rng(11)
+    words = ["pump", "pumps", "sand", "highest", "thousand", "\u0130sland", "a-b/c", "peak_peak", "x" * 90 + "sandpump", "z\u00e9ro"]
+    texts = [" ".join(rng.choice(words, 12)) for _ in range(60)] + [None, "", "Peak"]
+    chunks = spark.createDataFrame(
+        [("d" if i % 3 else None, i % 50, t, "a/Field_Overview_z.md") for i, t in enumerate(texts)],
+        "document_id string, chunk_index int, content string, source_path string",
+    )
+    asked = ["Which well has the highest peak, sand and pump", "how many wells thousand a-b/c", "Compare all wells highest z\u00e9ro land", "pump"]
+    queries = spark.createDataFrame(list(enumerate(asked)) + [(0, asked[1])], "query_id int, query string")
+    wide = queries.filter(tx.is_overview_query(F.col("query"))).crossJoin(chunks.filter(F.length(tx.strip(F.col("content"))) >= 40)).select(
+        "query_id", *rt.CHUNK_KEY, F.length("content").alias("n"),
+        tx.share_contained(tx.substantive_tokens(F.col("query")), F.lower("content")).alias("o"),
+    )
+    order = Window.partitionBy("query_id").orderBy(F.desc("o"), F.desc("n"), "chunk_index", "document_id")
+    want = wide.withColumn("r", F.row_number().over(order)).filter("r <= 9").select("query_id", *rt.CHUNK_KEY, "r")
+    for block in (7, 256):
+        monkeypatch.setattr(rt, "OVERVIEW_BLOCK", block)
+        front = rt.overview_front(queries, chunks, count=9, shortest=40)
+        assert sorted(map(repr, map(tuple, front.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+    # no pair of a query and a text leaves a task unless it may be among the best
+    compare = rt._best_overlaps(2, rt.CHUNK_KEY, ["query_id", *rt.CHUNK_KEY, "_overlap", "_length"])
+    held = pa.table({"document_id": ["d"] * 50, "chunk_index": range(50), "_text": ["sand"] * 50, "_length": range(50)})
+    out = compare(pa.table({"query_id": [1], "_terms": [["sand", "pump"]]}), held)
+    assert out.column("chunk_index").to_pylist() == [48, 49] and out.column("_overlap").to_pylist() == [0.5, 0.5]
